@@ -37,15 +37,23 @@ def json_paths(df: DataFrame, json_col: str, paths: dict[str, str | list[str]])
 
 
 def json_list(text: Column, path: str) -> Column:
-    """The values at a ``[*]`` path as one flat array; empty if there are none.
+    """The present values at a path with ``[*]`` steps, as one flat array.
 
-    A single match comes back from Spark bare, so it is wrapped again.
+    ``$.solutions[*].campaigns[*].name`` opens each list in turn; an absent
+    list gives an empty array.
     """
-    found = F.get_json_object(text, path)
-    wrapped = F.when(F.startswith(found, F.lit("[")), found).otherwise(
-        F.when(found.isNotNull(), F.to_json(F.array(found)))
-    )
-    return F.coalesce(F.from_json(wrapped, "array<string>"), F.array().cast("array<string>"))
+    *lists, last = path.removeprefix("$").split("[*]")
+    found = F.array(text)
+    for step in lists:
+        found = F.flatten(F.transform(found, _opened(f"${step}")))
+    if last:
+        found = F.transform(found, lambda entry: F.get_json_object(entry, f"${last}"))
+    return F.filter(found, lambda value: value.isNotNull())
+
+
+def _opened(path: str):
+    none = F.array().cast("array<string>")
+    return lambda entry: F.coalesce(F.from_json(F.get_json_object(entry, path), "array<string>"), none)
 
 
 def bad_keys(text: Column, allowed: dict, prefix: Column | None = None) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankloom.plans import recipes, runs, tables  # noqa: F401  (importing registers the queries)
+from rankloom.plans import columns, files, recipes, runs, streams, tables  # noqa: F401  (importing registers)
 from rankloom.plans.registry import CHECKS, QUERIES, Query
 
 

@@ -74,18 +74,22 @@ def headers(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
 def import_csv(spark: SparkSession, path: str, avro_json: str | dict) -> tuple[DataFrame, DataFrame]:
     """(good, bad) rows of a CSV file or folder with a declared schema.
 
-    Columns are bound by name: each header in use is read with the schema laid
-    out in its own order and checked against the files. A row with a field that
-    does not parse goes to ``bad``, with its line in ``_corrupt_line``.
+    Columns are bound by name: each header in use is read in its own order and
+    checked against its files. A row is bad if its line has too few or too many
+    fields, if a field does not parse, or if one that must be there is empty;
+    ``bad`` holds the raw fields and the line in ``_corrupt_line``.
+
+    Fields are read as text and cast here, so which rows are bad never depends
+    on the columns a later step happens to use.
     """
     declared = spark_schema(avro_json)
-    names = [f.name for f in declared.fields]
+    names = declared.fieldNames()
     parts = []
-    for line, files in _one_pass_per_header(spark, path):
-        order = [name.strip() for name in next(csv.reader([line]))]
+    for line, files in headers(spark, path):
+        order = [name.strip() for name in next(csv.reader([line.lstrip("\ufeff")]))]
         if sorted(order) != sorted(names):
             raise ValueError(f"header {order} does not hold the declared columns {names}")
-        layout = T.StructType([declared[name] for name in order] + [T.StructField(CORRUPT, T.StringType())])
+        layout = T.StructType([T.StructField(name, T.StringType()) for name in [*order, CORRUPT]])
         read = (
             spark.read.schema(layout)
             .option("header", True)
@@ -96,15 +100,17 @@ def import_csv(spark: SparkSession, path: str, avro_json: str | dict) -> tuple[D
         )
         parts.append(read.select(*names, CORRUPT))
     if not parts:
-        parts = [spark.createDataFrame([], declared.add(T.StructField(CORRUPT, T.StringType())))]
+        nothing = T.StructType([T.StructField(name, T.StringType()) for name in [*names, CORRUPT]])
+        parts = [spark.createDataFrame([], nothing)]
     rows = reduce(DataFrame.unionByName, parts)
-    return rows.where(F.col(CORRUPT).isNull()).select(*names), rows.where(F.col(CORRUPT).isNotNull())
-
 
-def _one_pass_per_header(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
-    """Files grouped by header. Spark marks its header check per file group, so
-    files holding only a header line are fine as well."""
-    return [(line.lstrip("﻿"), files) for line, files in headers(spark, path)]
+    wrong = F.col(CORRUPT).isNotNull()
+    for field in declared.fields:
+        unparsed = F.col(field.name).isNotNull() & F.col(field.name).try_cast(field.dataType).isNull()
+        wrong = wrong | (unparsed if field.nullable else unparsed | F.col(field.name).isNull())
+    typed = [F.col(f.name).try_cast(f.dataType).alias(f.name, metadata=f.metadata) for f in declared.fields]
+    whole_line = F.coalesce(F.col(CORRUPT), F.to_csv(F.struct(*names)))
+    return rows.where(~wrong).select(*typed), rows.where(wrong).withColumn(CORRUPT, whole_line)
 
 
 def resolve_parts(spark: SparkSession, root: str, dataset: str, avro_json: str | dict) -> DataFrame | None:

@@ -18,7 +18,8 @@ TYPES = {
 
 
 def spark_schema(avro_json: str | dict) -> T.StructType:
-    """The schema of one flat record; ``categorical`` is kept as metadata."""
+    """The schema of one flat record; ``categorical`` is kept as metadata, and a
+    union with ``null`` makes a field nullable."""
     record = json.loads(avro_json) if isinstance(avro_json, str) else avro_json
     if record.get("type") != "record" or not record.get("fields"):
         raise ValueError("a schema must be a record with fields")
@@ -32,4 +33,4 @@ def _field(field: dict) -> T.StructField:
     if len(names) != 1 or not isinstance(names[0], str) or names[0] not in TYPES:
         raise ValueError(f"field {field['name']} has an unsupported type {declared}")
     metadata = {"categorical": True} if field.get("categorical") else {}
-    return T.StructField(field["name"], TYPES[names[0]], True, metadata)
+    return T.StructField(field["name"], TYPES[names[0]], nullable, metadata)

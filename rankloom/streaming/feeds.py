@@ -29,7 +29,7 @@ def deduplicated(stream: DataFrame, delay: str, id: str = "event_id", ts: str =
 
 def ingest_events(stream: DataFrame, sink: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
     """Append new events to the dataset at ``sink``; run until none is left."""
-    return _drain(deduplicated(stream, delay), sink, checkpoint)
+    return drain(deduplicated(stream, delay), sink, checkpoint)
 
 
 def windowed_counters(stream: DataFrame, period: str = "1 day", delay: str = "1 day") -> DataFrame:
@@ -39,10 +39,10 @@ def windowed_counters(stream: DataFrame, period: str = "1 day", delay: str = "1
 
 
 def write_counters(stream: DataFrame, sink: str, checkpoint: str, period: str = "1 day", delay: str = "1 day") -> StreamingQuery:
-    return _drain(windowed_counters(stream, period, delay), sink, checkpoint)
+    return drain(windowed_counters(stream, period, delay), sink, checkpoint)
 
 
-def _drain(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+def drain(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
     return (
         stream.writeStream.outputMode("append")
         .format("parquet")

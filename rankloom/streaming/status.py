@@ -1,9 +1,10 @@
-"""Status changes of long-running work, as a stream and as a batch twin.
+"""Status changes of long-running work, as streams and as a batch twin.
 
 Per key: one CREATING row when it is first seen, one ACTIVE row when it has
-become ACTIVE after the cutoff. Both are defined without regard to the order
-of rows inside a batch, so the function keeps a few scalars per key and never
-a key's rows.
+become ACTIVE after the cutoff. ``status_changes`` is built from Spark's own
+deduplication state and is the one to use. ``status_changes_stateful`` picks
+the earliest of several ACTIVE rows inside one micro-batch and can let state
+expire on the clock, at the price of a Python call per key.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,58 +22,81 @@ CREATING, ACTIVE = "CREATING", "ACTIVE"
 OUTPUT = "key string, status string, at timestamp, duration long"
 
 
-class StatusProcessor(StatefulProcessor):
-    """Remembers per key whether its creation and completion were reported."""
-
-    def __init__(self, cutoff: pd.Timestamp, keep_ms: int | None):
-        self.cutoff, self.keep_ms = cutoff, keep_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.reported = handle.getValueState("reported", "completed boolean", self.keep_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = self.reported.exists()
-        completed = bool(self.reported.get()[0]) if seen else False
-        first, done = None, None
-        for batch in rows:
-            earliest = batch["created"].min()
-            if pd.notna(earliest) and (first is None or earliest < first):
-                first = earliest
-            ready = batch[(batch["status"] == ACTIVE) & (batch["last_updated"] > self.cutoff) & batch["created"].notna()]
-            if len(ready):
-                row = ready.sort_values(["last_updated", "created"]).iloc[0]
-                if done is None or (row["last_updated"], row["created"]) < done:
-                    done = (row["last_updated"], row["created"])
-        out = []
-        if not seen:
-            out.append((key[0], CREATING, first, None))
-        if done is not None and not completed:
-            seconds = int((done[0] - done[1]).total_seconds())
-            out.append((key[0], ACTIVE, done[0], seconds or None))
-            completed = True
-        self.reported.update((completed,))
-        if out:
-            frame = pd.DataFrame(out, columns=["key", "status", "at", "duration"])
-            frame["duration"] = frame["duration"].astype("Int64")
-            yield frame
-
-    def close(self) -> None:
-        pass
-
-
-def status_changes(stream: DataFrame, cutoff: str, keep_ms: int | None = None) -> DataFrame:
+def status_processor(cutoff: pd.Timestamp, keep_ms: int | None) -> StatefulProcessor:
+    """The state function. The class is local so that it travels to the
+    executors by value and they need not have this package installed."""
+
+    class StatusProcessor(StatefulProcessor):
+        """Remembers per key whether its completion was reported."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.reported = handle.getValueState("reported", "completed boolean", keep_ms)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            seen = self.reported.exists()
+            completed = bool(self.reported.get()[0]) if seen else False
+            first, done = None, None
+            for batch in rows:
+                earliest = batch["created"].min()
+                if pd.notna(earliest) and (first is None or earliest < first):
+                    first = earliest
+                late = (batch["status"] == ACTIVE) & (batch["last_updated"] > cutoff) & batch["created"].notna()
+                for pair in zip(batch["last_updated"][late], batch["created"][late]):
+                    done = pair if done is None else min(done, pair)
+            changes = [] if seen else [(key[0], CREATING, first, None)]
+            if done is not None and not completed:
+                changes.append((key[0], ACTIVE, done[0], int((done[0] - done[1]).total_seconds()) or None))
+                completed = True
+            self.reported.update((completed,))
+            if changes:
+                frame = pd.DataFrame(changes, columns=["key", "status", "at", "duration"])
+                yield frame.astype({"duration": "Int64"})
+
+        def close(self) -> None:
+            pass
+
+    return StatusProcessor()
+
+
+def _change_rows(cutoff: str) -> Column:
+    """The changes one sighting may stand for: CREATING always, ACTIVE if ready."""
+    ready = (F.col("status") == ACTIVE) & (F.col("last_updated") > F.lit(cutoff).cast("timestamp"))
+    seconds = F.timestamp_diff("SECOND", F.col("created"), F.col("last_updated"))
+    creating = F.struct(F.lit(CREATING).alias("status"), F.col("created").alias("at"), F.lit(None).cast("long").alias("duration"))
+    active = F.struct(
+        F.lit(ACTIVE).alias("status"), F.col("last_updated").alias("at"), F.when(seconds != 0, seconds).alias("duration")
+    )
+    return F.array_compact(F.array(creating, F.when(ready & F.col("created").isNotNull(), active)))
+
+
+def status_changes(stream: DataFrame, cutoff: str, delay: str | None = None) -> DataFrame:
     """Change rows of a stream of key, status, created, last_updated: key,
     status, at, duration (whole seconds, null if 0).
 
-    ``keep_ms`` lets the state of a key expire that long after its last write;
-    the default keeps it. Needs the RocksDB state store.
+    The first change of each kind per key comes out, repeats are dropped. With
+    ``delay`` a kind is remembered for that long in event time only, so the
+    state stays bounded; without it every key is remembered.
+    """
+    source = stream if delay is None else stream.withWatermark("last_updated", delay)
+    timed = [] if delay is None else ["last_updated"]
+    changes = source.select("key", *timed, F.explode(_change_rows(cutoff)).alias("change")).select("key", *timed, "change.*")
+    if delay is None:
+        return changes.dropDuplicates(["key", "status"])
+    return changes.dropDuplicatesWithinWatermark(["key", "status"]).drop("last_updated")
+
+
+def status_changes_stateful(stream: DataFrame, cutoff: str, keep_ms: int | None = None) -> DataFrame:
+    """The same rows from a state function; of several ACTIVE rows in one
+    micro-batch the earliest counts.
+
+    ``keep_ms`` lets the state of a key expire that long after its last write.
+    Needs the RocksDB state store.
     """
-    timed = keep_ms is not None
     return stream.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=StatusProcessor(pd.Timestamp(cutoff), keep_ms),
+        statefulProcessor=status_processor(pd.Timestamp(cutoff), keep_ms),
         outputStructType=OUTPUT,
         outputMode="append",
-        timeMode="ProcessingTime" if timed else "None",
+        timeMode="None" if keep_ms is None else "ProcessingTime",
     )
 
 
