@@ -59,7 +59,7 @@ def similar_items(ix: DataFrame, k: int = 25, heavy_user_items: int = 2000) -> D
     light = seen.join(heavy_users, "USER_ID", "left_anti")
     heavy = seen.join(heavy_users, "USER_ID", "left_semi")
     profiles = materialise(_profiles(heavy), "profiles")
-    overlap = materialise(_profile_overlap(heavy, profiles, heavy_user_items), "overlap")
+    overlap = materialise(_profile_overlap(heavy, profiles, max(heavy_user_items, 1)), "overlap")
 
     profile_a = profiles.select(F.col("ITEM_ID").alias("a"), F.col("profile").alias("pa"))
     profile_b = profiles.select(F.col("ITEM_ID").alias("b"), F.col("profile").alias("pb"))

@@ -3,8 +3,8 @@
 Per key: one CREATING row when it is first seen, one ACTIVE row when it has
 become ACTIVE after the cutoff. ``status_changes`` is built from Spark's own
 deduplication state and is the one to use. ``status_changes_stateful`` picks
-the earliest of several ACTIVE rows inside one micro-batch and can let state
-expire on the clock, at the price of a Python call per key.
+the earliest of several ACTIVE rows inside one micro-batch, at the price of a
+Python call per key.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ CREATING, ACTIVE = "CREATING", "ACTIVE"
 OUTPUT = "key string, status string, at timestamp, duration long"
 
 
-def status_processor(cutoff: pd.Timestamp, keep_ms: int | None) -> StatefulProcessor:
+def status_processor(cutoff: pd.Timestamp) -> StatefulProcessor:
     """The state function. The class is local so that it travels to the
     executors by value and they need not have this package installed."""
 
@@ -30,7 +30,7 @@ def status_processor(cutoff: pd.Timestamp, keep_ms: int | None) -> StatefulProce
         """Remembers per key whether its completion was reported."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.reported = handle.getValueState("reported", "completed boolean", keep_ms)
+            self.reported = handle.getValueState("reported", "completed boolean")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             seen = self.reported.exists()
@@ -85,18 +85,14 @@ def status_changes(stream: DataFrame, cutoff: str, delay: str | None = None) ->
     return changes.dropDuplicatesWithinWatermark(["key", "status"]).drop("last_updated")
 
 
-def status_changes_stateful(stream: DataFrame, cutoff: str, keep_ms: int | None = None) -> DataFrame:
+def status_changes_stateful(stream: DataFrame, cutoff: str) -> DataFrame:
     """The same rows from a state function; of several ACTIVE rows in one
-    micro-batch the earliest counts.
-
-    ``keep_ms`` lets the state of a key expire that long after its last write.
-    Needs the RocksDB state store.
-    """
+    micro-batch the earliest counts. Needs the RocksDB state store."""
     return stream.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=status_processor(pd.Timestamp(cutoff), keep_ms),
+        statefulProcessor=status_processor(pd.Timestamp(cutoff)),
         outputStructType=OUTPUT,
         outputMode="append",
-        timeMode="None" if keep_ms is None else "ProcessingTime",
+        timeMode="None",
     )
 
 
