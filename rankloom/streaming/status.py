@@ -10,9 +10,9 @@ Python call per key.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -22,9 +22,10 @@ CREATING, ACTIVE = "CREATING", "ACTIVE"
 OUTPUT = "key string, status string, at timestamp, duration long"
 
 
-def status_processor(cutoff: pd.Timestamp) -> StatefulProcessor:
-    """The state function. The class is local so that it travels to the
-    executors by value and they need not have this package installed."""
+def status_processor(cutoff: int) -> StatefulProcessor:
+    """The state function; times are microseconds since 1970. The class is
+    local so that it travels to the executors by value and they need not have
+    this package installed."""
 
     class StatusProcessor(StatefulProcessor):
         """Remembers per key whether its completion was reported."""
@@ -32,25 +33,22 @@ def status_processor(cutoff: pd.Timestamp) -> StatefulProcessor:
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.reported = handle.getValueState("reported", "completed boolean")
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            seen = self.reported.exists()
-            completed = bool(self.reported.get()[0]) if seen else False
+        def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+            known = self.reported.get()
             first, done = None, None
-            for batch in rows:
-                earliest = batch["created"].min()
-                if pd.notna(earliest) and (first is None or earliest < first):
-                    first = earliest
-                late = (batch["status"] == ACTIVE) & (batch["last_updated"] > cutoff) & batch["created"].notna()
-                for pair in zip(batch["last_updated"][late], batch["created"][late]):
-                    done = pair if done is None else min(done, pair)
-            changes = [] if seen else [(key[0], CREATING, first, None)]
-            if done is not None and not completed:
-                changes.append((key[0], ACTIVE, done[0], int((done[0] - done[1]).total_seconds()) or None))
-                completed = True
-            self.reported.update((completed,))
-            if changes:
-                frame = pd.DataFrame(changes, columns=["key", "status", "at", "duration"])
-                yield frame.astype({"duration": "Int64"})
+            for row in rows:
+                if row.created is not None:
+                    first = row.created if first is None else min(first, row.created)
+                    if row.status == ACTIVE and row.last_updated is not None and row.last_updated > cutoff:
+                        pair = (row.last_updated, row.created)
+                        done = pair if done is None else min(done, pair)
+            completes = done is not None and not (known and known[0])
+            if known is None:
+                yield Row(key=key[0], status=CREATING, at=first, duration=None)
+            if completes:
+                yield Row(key=key[0], status=ACTIVE, at=done[0], duration=(done[0] - done[1]) // 1_000_000 or None)
+            if known is None or completes:
+                self.reported.update((completes,))
 
         def close(self) -> None:
             pass
@@ -88,12 +86,19 @@ def status_changes(stream: DataFrame, cutoff: str, delay: str | None = None) ->
 def status_changes_stateful(stream: DataFrame, cutoff: str) -> DataFrame:
     """The same rows from a state function; of several ACTIVE rows in one
     micro-batch the earliest counts. Needs the RocksDB state store."""
-    return stream.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=status_processor(pd.Timestamp(cutoff)),
-        outputStructType=OUTPUT,
-        outputMode="append",
-        timeMode="None",
+    after = datetime.fromisoformat(cutoff).replace(tzinfo=timezone.utc)
+    times = {name: F.unix_micros(name) for name in ("created", "last_updated")}
+    changes = (
+        stream.withColumns(times)
+        .groupBy("key")
+        .transformWithState(
+            statefulProcessor=status_processor(int(after.timestamp()) * 1_000_000),
+            outputStructType="key string, status string, at long, duration long",
+            outputMode="append",
+            timeMode="None",
+        )
     )
+    return changes.withColumn("at", F.timestamp_micros("at"))
 
 
 def status_changes_batch(df: DataFrame, cutoff: str) -> DataFrame:
