@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.session import materialise
+
 
 def metric_counters(points: DataFrame, period: str = "1 day") -> DataFrame:
     """Summed counter values per period, service and name: from TS, service,
@@ -29,13 +31,19 @@ def nest_children(df: DataFrame, parent: str, columns: list[str], max_children:
     A parent with up to ``max_children`` children is one row. A larger one is
     dealt over several rows by a hash of the child, so no task and no row ever
     holds a whole hot parent; nothing is left out. ``columns[0]`` must tell the
-    children of one parent apart.
+    children of one parent apart. The list of large parents is at most one
+    ``max_children``-th of the rows and usually tiny; it is written first, so
+    that it is broadcast if small and AQE can split a hot parent if it is not.
     """
-    sizes = df.groupBy(parent).agg(F.count(F.lit(1)).alias("_size"))
-    parts = F.ceil(F.col("_size") / F.lit(max_children)).cast("long").alias("parts")
+    sizes = df.groupBy(parent).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > max_children)
+    split = sizes.select(parent, F.ceil(F.col("_size") / F.lit(max_children)).cast("long").alias("parts"))
     return (
-        df.join(sizes.select(parent, parts), parent)
+        df.join(materialise(split, "large-parents"), parent, "left")
+        .withColumn("parts", F.coalesce("parts", F.lit(1)))
         .withColumn("part", spread(F.col(columns[0]), F.col("parts")))
+        # Without this the lists would be built where the join left the rows,
+        # which is by parent alone: a hot parent would meet in one task.
+        .repartition(parent, "part")
         .groupBy(parent, "part", "parts")
         .agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("children"))
     )
@@ -51,11 +59,13 @@ def spread(value: Column, parts: Column) -> Column:
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     """Row count and checksum of the content, whatever the row order.
 
-    A check value to see whether data changed, not a cryptographic digest.
+    A check value to see whether data changed, not a cryptographic digest. The
+    sum is kept in a wide decimal, as billions of rows overflow a long.
     """
     text = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
-    head = F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long")
-    return df.agg(F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum(head), F.lit(0)).cast("long").alias("checksum"))
+    head = F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("decimal(28,0)")
+    checksum = F.coalesce(F.sum(head), F.lit(0)) % F.lit(1 << 62).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("row_count"), checksum.cast("long").alias("checksum"))
 
 
 def attribution_report(ix: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.operators.ranking import topk
+from rankloom.session import materialise
 
 
 def cold_items(ix: DataFrame, items: DataFrame, attribute: str, k: int = 25) -> DataFrame:
@@ -20,7 +21,9 @@ def cold_items(ix: DataFrame, items: DataFrame, attribute: str, k: int = 25) ->
 def score_by_profile(ix: DataFrame, items: DataFrame, fresh: DataFrame, attribute: str, k: int) -> DataFrame:
     """Items sharing a value score alike for a user and tie by id, so only the
     ``k`` smallest ids of each value can reach a list of ``k``: the fan-out per
-    (user, value) is k, however many new items hold the value."""
+    (user, value) is k, however many new items hold the value. That short table
+    is written first, so that it is broadcast if small and AQE can split the
+    users of a common value if it is not."""
     profile = (
         ix.select("USER_ID", "ITEM_ID")
         .join(items.select("ITEM_ID", attribute), "ITEM_ID")
@@ -29,6 +32,7 @@ def score_by_profile(ix: DataFrame, items: DataFrame, fresh: DataFrame, attribut
     )
     by_id = Window.partitionBy(attribute).orderBy("ITEM_ID")
     reachable = fresh.withColumn("_place", F.row_number().over(by_id)).where(F.col("_place") <= k).drop("_place")
+    reachable = materialise(reachable, "reachable")
     scored = profile.join(reachable, attribute).select("USER_ID", "ITEM_ID", "score")
     return topk(scored, k, by=["USER_ID"]).select("USER_ID", "ITEM_ID", "score", "rank")
 

@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.numeric import round6
-from rankloom.operators.popularity import popularity
-from rankloom.operators.ranking import topk
+from rankloom.operators.ranking import topk, topk_global
 from rankloom.session import materialise
 
 PAIRS_PER_TASK = 20_000_000
@@ -43,21 +42,23 @@ def similar_items(ix: DataFrame, k: int = 25, heavy_user_items: int = 2000) -> D
     ``heavy_user_items`` only moves work between the two exact ways of
     counting; it never changes the result.
     """
-    seen = materialise(_seen_with_counts(ix), "seen")
-    held = seen.groupBy("USER_ID").agg(F.count(F.lit(1)).alias("held"))
+    chosen = materialise(ix.select("USER_ID", "ITEM_ID").distinct(), "chosen")
+    held = chosen.groupBy("USER_ID").agg(F.count(F.lit(1)).alias("held"))
     is_light = F.col("held") <= heavy_user_items
     size = held.agg(
         F.max("held").alias("most"),
         F.sum(F.when(is_light, F.col("held").cast("double") * F.col("held") / 2)).alias("light_pairs"),
     ).first()
-    tasks = _tasks_for(seen, size.light_pairs or 0.0)
+    tasks = _tasks_for(chosen, size.light_pairs or 0.0)
+    seen = _with_item_counts(chosen)
     if (size.most or 0) <= heavy_user_items:
         scored = _pair_counts(seen, tasks).withColumn("score", cosine("c", "n_a", "n_b"))
         return _ranked(_mirrored(scored.select("a", "b", "score")), k)
 
+    seen = materialise(seen, "seen")
     heavy_users = materialise(held.where(~is_light).select("USER_ID"), "heavy-users")
     light = seen.join(heavy_users, "USER_ID", "left_anti")
-    heavy = seen.join(heavy_users, "USER_ID", "left_semi")
+    heavy = materialise(seen.join(heavy_users, "USER_ID", "left_semi"), "heavy")
     profiles = materialise(_profiles(heavy), "profiles")
     overlap = materialise(_profile_overlap(heavy, profiles, max(heavy_user_items, 1)), "overlap")
 
@@ -77,14 +78,15 @@ def similar_items(ix: DataFrame, k: int = 25, heavy_user_items: int = 2000) -> D
     return _ranked(both.groupBy("ITEM_ID", "SIMILAR_ID").agg(F.max("score").alias("score")), k)
 
 
-def _seen_with_counts(ix: DataFrame) -> DataFrame:
-    """Distinct (user, item) with the item's number of users.
+def _with_item_counts(chosen: DataFrame) -> DataFrame:
+    """(user, item) rows with the item's number of users.
 
-    Joining the count here, on rows, saves joining it twice on pairs.
+    Joining the count here, on rows, saves joining it twice on pairs. The
+    counts are written first: as a plain table they are broadcast if small, and
+    otherwise leave AQE free to split an item that a third of the rows hold.
     """
-    seen = ix.select("USER_ID", "ITEM_ID").distinct()
-    counts = seen.groupBy("ITEM_ID").agg(F.count(F.lit(1)).alias("n"))
-    return seen.join(counts, "ITEM_ID")
+    counts = materialise(chosen.groupBy("ITEM_ID").agg(F.count(F.lit(1)).alias("n")), "item-counts")
+    return chosen.join(counts, "ITEM_ID")
 
 
 def _tasks_for(seen: DataFrame, pairs: float) -> int:
@@ -143,7 +145,9 @@ def _profile_overlap(heavy: DataFrame, profiles: DataFrame, block: int) -> DataF
     """
     stand_in = profiles.groupBy("profile").agg(F.min("ITEM_ID").alias("ITEM_ID"))
     members = heavy.select("USER_ID", "ITEM_ID").join(stand_in, "ITEM_ID").select("USER_ID", "profile")
-    blocks = members.groupBy("USER_ID").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    members = materialise(members, "members")
+    held = members.groupBy("USER_ID").agg(F.count(F.lit(1)).alias("held"))
+    blocks = materialise(held.select("USER_ID", F.ceil(F.col("held") / F.lit(block)).cast("int").alias("blocks")), "blocks")
     dealt = members.join(blocks, "USER_ID").withColumn("own", F.pmod(F.hash("profile"), F.col("blocks")))
 
     lower = dealt.select(
@@ -187,6 +191,7 @@ def _heavy_candidates(profiles: DataFrame, overlap: DataFrame, k: int) -> DataFr
     class_pairs = classes.join(overlap, "pa").join(shortlist, "pb")
     scored = class_pairs.withColumn("score", cosine("shared", "n_a", "n_b"))
     class_lists = topk(scored, k + 1, by=["pa", "n_a"], id="SIMILAR_ID").select("pa", "n_a", "SIMILAR_ID", "score")
+    class_lists = materialise(class_lists, "class-lists")
     members = profiles.select("ITEM_ID", F.col("profile").alias("pa"), F.col("n").alias("n_a"))
     return (
         members.join(class_lists, ["pa", "n_a"])
@@ -195,21 +200,28 @@ def _heavy_candidates(profiles: DataFrame, overlap: DataFrame, k: int) -> DataFr
     )
 
 
-def _contributions(ix: DataFrame, similar: DataFrame) -> DataFrame:
+def chosen_items(ix: DataFrame) -> DataFrame:
+    """Distinct (user, item) with the number of interactions: all that the
+    personal recipes need to know of ``ix``, in one pass over it."""
+    return ix.groupBy("USER_ID", "ITEM_ID").agg(F.count(F.lit(1)).alias("times"))
+
+
+def _contributions(chosen: DataFrame, similar: DataFrame) -> DataFrame:
     """One row per (user's item, neighbour): USER_ID, ITEM_ID, score.
 
     The join has a bounded fan-out (k neighbours per item) and two plain
     shuffles under it, so AQE may split a hot item or broadcast a small table.
     """
-    seen = ix.select("USER_ID", F.col("ITEM_ID").alias("FROM_ID")).distinct()
+    held = chosen.select("USER_ID", F.col("ITEM_ID").alias("FROM_ID"))
     near = similar.select(F.col("ITEM_ID").alias("FROM_ID"), F.col("SIMILAR_ID").alias("ITEM_ID"), "score")
-    return seen.join(near, "FROM_ID").select("USER_ID", "ITEM_ID", "score")
+    return held.join(near, "FROM_ID").select("USER_ID", "ITEM_ID", "score")
 
 
 def affinity(ix: DataFrame, similar: DataFrame) -> DataFrame:
     """Raw scores: summed similarity from a user's items to every neighbour,
     items already seen included. USER_ID, ITEM_ID, score."""
-    return _contributions(ix, similar).groupBy("USER_ID", "ITEM_ID").agg(round6(F.sum("score")).alias("score"))
+    added = _contributions(chosen_items(ix), similar)
+    return added.groupBy("USER_ID", "ITEM_ID").agg(round6(F.sum("score")).alias("score"))
 
 
 def personalised_knn(ix: DataFrame, similar: DataFrame, k: int = 25, users: DataFrame | None = None) -> DataFrame:
@@ -219,11 +231,11 @@ def personalised_knn(ix: DataFrame, similar: DataFrame, k: int = 25, users: Data
     after it, which saves a second shuffle and the sorts of an anti-join.
     ``users`` adds everyone without interactions; they get the popular items.
     """
-    seen = ix.select("USER_ID", "ITEM_ID").distinct()
-    marked = _contributions(ix, similar).select("USER_ID", "ITEM_ID", "score", F.lit(0).alias("seen"))
-    marks = seen.select("USER_ID", "ITEM_ID", F.lit(0.0).alias("score"), F.lit(1).alias("seen"))
+    chosen = materialise(chosen_items(ix), "chosen")
+    added = _contributions(chosen, similar).select("USER_ID", "ITEM_ID", "score", F.lit(0).alias("seen"))
+    marks = chosen.select("USER_ID", "ITEM_ID", F.lit(0.0).alias("score"), F.lit(1).alias("seen"))
     fresh = (
-        marked.unionByName(marks)
+        added.unionByName(marks)
         .groupBy("USER_ID", "ITEM_ID")
         .agg(round6(F.sum("score")).alias("score"), F.max("seen").alias("seen"))
         .where(F.col("seen") == 0)
@@ -232,22 +244,23 @@ def personalised_knn(ix: DataFrame, similar: DataFrame, k: int = 25, users: Data
     lists = topk(fresh, k, by=["USER_ID"]).select("USER_ID", "ITEM_ID", "score", "rank")
     if users is None:
         return lists
-    return lists.unionByName(popular_for(cold_users(users, ix), ix, k))
+    return lists.unionByName(popular_for(cold_users(users, chosen), chosen, k))
 
 
-def cold_users(users: DataFrame, ix: DataFrame) -> DataFrame:
-    known = ix.select("USER_ID").distinct()
+def cold_users(users: DataFrame, chosen: DataFrame) -> DataFrame:
+    known = chosen.select("USER_ID").distinct()
     return users.select("USER_ID").distinct().join(known, "USER_ID", "left_anti")
 
 
-def popular_for(users: DataFrame, ix: DataFrame, k: int) -> DataFrame:
+def popular_for(users: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     """The ``k`` popular items for each given user.
 
     The list is a scalar subquery: one value of k entries, computed once and
     unfolded per user, so no join is needed.
     """
+    counts = chosen.groupBy("ITEM_ID").agg(F.sum("times").alias("score"))
     best_first = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "ITEM_ID")))
-    top = popularity(ix, k).agg(best_first.alias("top")).scalar()
+    top = topk_global(counts, k).agg(best_first.alias("top")).scalar()
     unfolded = users.select("USER_ID", F.posexplode(top).alias("place", "entry"))
     return unfolded.select(
         "USER_ID",
