@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 from rankloom.operators.filters import include_items
 from rankloom.operators.ranking import topk
 
+Scores = DataFrame | Callable[[DataFrame], DataFrame]
+
 
 def batch_inference(
-    inputs: DataFrame, scores: DataFrame, ix: DataFrame | None = None, types: tuple[str, ...] | None = None, k: int = 25
+    inputs: DataFrame, scores: Scores, ix: DataFrame | None = None, types: tuple[str, ...] | None = None, k: int = 25
 ) -> DataFrame:
     """Top ``k`` items of each input user. With ``ix`` the items are first
-    restricted to those the user has interacted with (by ``types`` or any)."""
+    restricted to those the user has interacted with (by ``types`` or any).
+
+    ``scores`` is a finished table, or a function that scores the inputs only:
+    ``lambda users: affinity(ix, similar, users=users)``.
+    """
     return _ranked(inputs, scores, "USER_ID", "ITEM_ID", ix, types, k)
 
 
 def batch_segment(
-    inputs: DataFrame, scores: DataFrame, ix: DataFrame | None = None, types: tuple[str, ...] | None = None, k: int = 25
+    inputs: DataFrame, scores: Scores, ix: DataFrame | None = None, types: tuple[str, ...] | None = None, k: int = 25
 ) -> DataFrame:
     """Top ``k`` users of each input item, or attribute value if that is what
     ``inputs`` holds."""
@@ -25,9 +33,9 @@ def batch_segment(
 
 
 def _ranked(inputs, scores, key, id, ix, types, k) -> DataFrame:
-    """The semi-join with the inputs comes first, so Catalyst can push it below
-    the score aggregate; the item filter runs before the cut to ``k``."""
-    wanted = scores.join(inputs.select(key).distinct(), key, "left_semi")
+    """The item filter runs before the cut to ``k``, so no list comes up short."""
+    asked = inputs.select(key)
+    wanted = scores(asked) if callable(scores) else scores.join(asked, key, "left_semi")
     if ix is not None:
         wanted = include_items(wanted, ix, types)
     return topk(wanted, k, by=[key], id=id).select(key, id, "score", "rank")

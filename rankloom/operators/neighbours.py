@@ -217,10 +217,22 @@ def _contributions(chosen: DataFrame, similar: DataFrame) -> DataFrame:
     return held.join(near, "FROM_ID").select("USER_ID", "ITEM_ID", "score")
 
 
-def affinity(ix: DataFrame, similar: DataFrame) -> DataFrame:
+def affinity(
+    ix: DataFrame, similar: DataFrame, users: DataFrame | None = None, items: DataFrame | None = None
+) -> DataFrame:
     """Raw scores: summed similarity from a user's items to every neighbour,
-    items already seen included. USER_ID, ITEM_ID, score."""
-    added = _contributions(chosen_items(ix), similar)
+    items already seen included. USER_ID, ITEM_ID, score.
+
+    ``users`` and ``items`` restrict the scores to the given ids. They cut the
+    history and the neighbour table before these meet, so the work follows the
+    lists; Catalyst would push such a semi-join below the sum only for a list
+    small enough to broadcast.
+    """
+    chosen = chosen_items(ix if users is None else ix.join(users.select("USER_ID"), "USER_ID", "left_semi"))
+    if items is not None:
+        wanted = items.select(F.col("ITEM_ID").alias("SIMILAR_ID"))
+        similar = similar.join(wanted, "SIMILAR_ID", "left_semi")
+    added = _contributions(chosen, similar)
     return added.groupBy("USER_ID", "ITEM_ID").agg(round6(F.sum("score")).alias("score"))
 
 

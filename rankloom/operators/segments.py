@@ -11,14 +11,8 @@ from rankloom.operators.ranking import topk
 
 
 def item_segments(ix: DataFrame, similar: DataFrame, input_items: DataFrame, k: int = 25) -> DataFrame:
-    """For each input item, users by raw affinity: ITEM_ID, USER_ID, score, rank.
-
-    The neighbour table is cut to the input items before it meets the history,
-    so the work follows the input list and not the whole catalogue.
-    """
-    wanted = input_items.select(F.col("ITEM_ID").alias("SIMILAR_ID")).distinct()
-    near = similar.join(wanted, "SIMILAR_ID", "left_semi")
-    ranked = topk(affinity(ix, near), k, by=["ITEM_ID"], id="USER_ID")
+    """For each input item, users by raw affinity: ITEM_ID, USER_ID, score, rank."""
+    ranked = topk(affinity(ix, similar, items=input_items), k, by=["ITEM_ID"], id="USER_ID")
     return ranked.select("ITEM_ID", "USER_ID", "score", "rank")
 
 
@@ -33,7 +27,7 @@ def attribute_segments(
     far smaller, and the history then joins it with one row per value instead
     of one per neighbour.
     """
-    held = items.join(values.select(attribute).distinct(), attribute, "left_semi").select(
+    held = items.join(values.select(attribute), attribute, "left_semi").select(
         F.col("ITEM_ID").alias("SIMILAR_ID"), attribute
     )
     reach = similar.join(held, "SIMILAR_ID").groupBy("ITEM_ID", attribute).agg(F.sum("score").alias("score"))

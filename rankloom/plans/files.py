@@ -115,7 +115,7 @@ def newest_file_query(spark, sf_dir):
     return newest.select(F.substring_index("path", "/", -1).alias("file"), F.unix_timestamp("modified").alias("modified"))
 
 
-@query("batch_input", "SELECT DISTINCT c_custkey AS \"USER_ID\" FROM customer")
+@query("batch_input", "SELECT c_custkey AS \"USER_ID\" FROM customer")
 def batch_input(spark, sf_dir):
     return read_batch_input(spark, _user_list(spark, sf_dir), "user", "long")
 
@@ -139,9 +139,10 @@ def _user_list(spark, sf_dir) -> str:
 def batch_output(spark, sf_dir):
     """A whole inference job: JSON lines in, ranked JSON lines out."""
     out = fresh_path(spark, "batch-output")
-    scores = affinity(ix_events(spark, sf_dir), similar_events(spark, sf_dir))
+    ix, near = ix_events(spark, sf_dir), similar_events(spark, sf_dir)
     inputs = read_batch_input(spark, _user_list(spark, sf_dir), "user", "long")
-    write_batch_output(batch_inference(inputs, scores, k=10), out, "USER_ID", "ITEM_ID", "userId")
+    ranked = batch_inference(inputs, lambda asked: affinity(ix, near, users=asked), k=10)
+    write_batch_output(ranked, out, "USER_ID", "ITEM_ID", "userId")
     return read_batch_output(spark, out, "userId")
 
 
@@ -159,7 +160,8 @@ def batch_segment_output(spark, sf_dir):
     """A whole segment job: item list in, ranked users out."""
     source, out = fresh_path(spark, "segment-input"), fresh_path(spark, "segment-output")
     items(spark, sf_dir).select(F.col("ITEM_ID").cast("string").alias("itemId")).write.json(source)
-    scores = affinity(ix_events(spark, sf_dir), similar_events(spark, sf_dir))
-    ranked = batch_segment(read_batch_input(spark, source, "item", "long"), scores, k=10)
+    ix, near = ix_events(spark, sf_dir), similar_events(spark, sf_dir)
+    inputs = read_batch_input(spark, source, "item", "long")
+    ranked = batch_segment(inputs, lambda asked: affinity(ix, near, items=asked), k=10)
     write_batch_output(ranked, out, "ITEM_ID", "USER_ID", "itemId")
     return read_batch_output(spark, out, "itemId")

@@ -234,8 +234,9 @@ def attribute_affinity_segment(spark, sf_dir):
 )
 def batch_inference_query(spark, sf_dir):
     ix = ix_events(spark, sf_dir)
-    scores = affinity(ix, similar_events(spark, sf_dir))
-    return batch_inference(users(spark, sf_dir).select("USER_ID"), scores, ix, ("purchase",), 10)
+    near = similar_events(spark, sf_dir)
+    people = users(spark, sf_dir).select("USER_ID")
+    return batch_inference(people, lambda asked: affinity(ix, near, users=asked), ix, ("purchase",), 10)
 
 
 @query(
@@ -250,8 +251,8 @@ def batch_inference_query(spark, sf_dir):
 )
 def batch_segment_query(spark, sf_dir):
     ix = ix_events(spark, sf_dir)
-    scores = affinity(ix, similar_events(spark, sf_dir))
-    return batch_segment(items(spark, sf_dir).select("ITEM_ID"), scores, k=10)
+    near = similar_events(spark, sf_dir)
+    return batch_segment(items(spark, sf_dir).select("ITEM_ID"), lambda asked: affinity(ix, near, items=asked), k=10)
 
 
 # --- new items, versions, pointers ----------------------------------------

@@ -10,11 +10,15 @@ INPUT_FIELDS = {"user": ("userId", "USER_ID"), "item": ("itemId", "ITEM_ID")}
 
 
 def read_batch_input(spark: SparkSession, path: str, kind: str, id_type: str = "string") -> DataFrame:
-    """Distinct inputs of a job: ``user``, ``item``, or an attribute's name."""
+    """Inputs of a job: ``user``, ``item``, or an attribute's name.
+
+    Records without the field are left out. A repeated input stays; it only
+    ever meets a semi-join, where it does no harm.
+    """
     field, column = INPUT_FIELDS.get(kind, (kind, kind))
     records = spark.read.schema(f"`{field}` string").json(path)
     wanted = records.select(F.col(field).try_cast(id_type).alias(column))
-    return wanted.where(F.col(column).isNotNull()).distinct()
+    return wanted.where(F.col(column).isNotNull())
 
 
 def write_batch_output(ranked: DataFrame, path: str, key: str, id: str, field: str | None = None) -> None:

@@ -87,7 +87,7 @@ def test_newest_file(spark, tmp_path):
 
 def test_batch_files(spark, tmp_path):
     source = write(tmp_path / "job_config.json", '{"userId": "1"}\n{"userId": "2"}\n{"userId": "1"}\nnonsense\n')
-    assert rows(read_batch_input(spark, source, "user", "long")) == [(1,), (2,)]
+    assert rows(read_batch_input(spark, source, "user", "long")) == [(1,), (1,), (2,)]
     ranked = spark.createDataFrame([(1, 10, 0.5, 2), (1, 11, 0.9, 1), (2, 7, 0.1, 1)], "USER_ID long, ITEM_ID long, score double, rank long")
     out = str(tmp_path / "out")
     write_batch_output(ranked, out, "USER_ID", "ITEM_ID", "userId")

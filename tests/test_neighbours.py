@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from rankloom.operators.batch import batch_inference, batch_segment
 from rankloom.operators.coldstart import cold_items, update_new_items
 from rankloom.operators.filters import include_items
 from rankloom.operators.neighbours import affinity, personalised_knn, similar_items
@@ -125,6 +126,20 @@ def test_item_segments_are_cut_to_the_input(spark):
     assert got == sorted(want)
 
 
+def test_batch_jobs_from_a_table_and_from_a_function(spark):
+    ix = as_ix(spark, random_pairs(12))
+    near = similar_items(ix, 5)
+    people = spark.createDataFrame([(1,), (2,), (1,), (999,)], "USER_ID long")
+    things = spark.createDataFrame([(3,), (4,)], "ITEM_ID long")
+    scores = affinity(ix, near)
+    table = rows(batch_inference(people, scores, ix, ("view",), 3))
+    assert table and {r[0] for r in table} <= {1, 2}
+    assert table == rows(batch_inference(people, lambda asked: affinity(ix, near, users=asked), ix, ("view",), 3))
+    table = rows(batch_segment(things, scores, k=3))
+    assert table and {r[0] for r in table} <= {3, 4}
+    assert table == rows(batch_segment(things, lambda asked: affinity(ix, near, items=asked), k=3))
+
+
 def test_attribute_segments_equal_summed_scores(spark):
     pairs = random_pairs(10)
     ix = as_ix(spark, pairs)
