@@ -236,27 +236,46 @@ def affinity(
     return added.groupBy("USER_ID", "ITEM_ID").agg(round6(F.sum("score")).alias("score"))
 
 
-def personalised_knn(ix: DataFrame, similar: DataFrame, k: int = 25, users: DataFrame | None = None) -> DataFrame:
+def personalised_knn(
+    ix: DataFrame, similar: DataFrame, k: int = 25, users: DataFrame | None = None, heavy_user_items: int = 2000
+) -> DataFrame:
     """Top ``k`` unseen items of each user: USER_ID, ITEM_ID, score, rank.
 
-    Seen items go through the same aggregate as marked rows and are dropped
-    after it, which saves a second shuffle and the sorts of an anti-join.
     ``users`` adds everyone without interactions; they get the popular items.
+    The scores of a light user are bounded, so they are shuffled by user once
+    and summed and ranked there. Those of a heavy user are spread by (user,
+    item) and cut to k rows per task before they meet.
     """
     chosen = materialise(chosen_items(ix), "chosen")
+    held = chosen.groupBy("USER_ID").agg(F.count(F.lit(1)).alias("held"))
+    most = held.agg(F.max("held").alias("most")).first().most or 0
+    if most <= heavy_user_items:
+        lists = _best_unseen(chosen, similar, k, by_user=True)
+    else:
+        heavy_users = materialise(held.where(F.col("held") > heavy_user_items).select("USER_ID"), "heavy-users")
+        light = chosen.join(heavy_users, "USER_ID", "left_anti")
+        heavy = chosen.join(heavy_users, "USER_ID", "left_semi")
+        lists = _best_unseen(light, similar, k, by_user=True).unionByName(_best_unseen(heavy, similar, k, by_user=False))
+    if users is None:
+        return lists
+    return lists.unionByName(popular_for(cold_users(users, chosen), chosen, k))
+
+
+def _best_unseen(chosen: DataFrame, similar: DataFrame, k: int, by_user: bool) -> DataFrame:
+    """Seen items go through the same aggregate as marked rows and are dropped
+    after it, which saves the shuffle and the sorts of an anti-join."""
     added = _contributions(chosen, similar).select("USER_ID", "ITEM_ID", "score", F.lit(0).alias("seen"))
     marks = chosen.select("USER_ID", "ITEM_ID", F.lit(0.0).alias("score"), F.lit(1).alias("seen"))
+    rows = added.unionByName(marks)
+    if by_user:
+        rows = rows.repartition("USER_ID")
     fresh = (
-        added.unionByName(marks)
-        .groupBy("USER_ID", "ITEM_ID")
+        rows.groupBy("USER_ID", "ITEM_ID")
         .agg(round6(F.sum("score")).alias("score"), F.max("seen").alias("seen"))
         .where(F.col("seen") == 0)
         .drop("seen")
     )
-    lists = topk(fresh, k, by=["USER_ID"]).select("USER_ID", "ITEM_ID", "score", "rank")
-    if users is None:
-        return lists
-    return lists.unionByName(popular_for(cold_users(users, chosen), chosen, k))
+    return topk(fresh, k, by=["USER_ID"]).select("USER_ID", "ITEM_ID", "score", "rank")
 
 
 def cold_users(users: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -88,11 +88,12 @@ def test_heavy_users_in_many_blocks(spark):
     assert rows(similar_items(as_ix(spark, pairs), 6, 4)) == brute_similar(pairs, 6)
 
 
-def test_personal_lists_against_brute_force(spark):
+@pytest.mark.parametrize("threshold", [2000, 12, 0])
+def test_personal_lists_against_brute_force(spark, threshold):
     pairs = random_pairs(3)
     similar = brute_similar(pairs, 5)
     near = spark.createDataFrame(similar, "ITEM_ID long, SIMILAR_ID long, score double, rank long")
-    assert rows(personalised_knn(as_ix(spark, pairs), near, 4)) == brute_personal(pairs, similar, 4)
+    assert rows(personalised_knn(as_ix(spark, pairs), near, 4, None, threshold)) == brute_personal(pairs, similar, 4)
 
 
 def test_users_without_interactions_get_popular_items(spark):
