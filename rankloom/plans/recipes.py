@@ -305,7 +305,7 @@ def update_new_items_query(spark, sf_dir):
         "totals AS (SELECT EVENT_TYPE, ITEM_ID, count(*) AS score FROM ix_orders GROUP BY 1, 2)",
         sql.ranked("totals", "EVENT_TYPE", "ITEM_ID", "best"),
     )
-    + "SELECT *, 2 AS version FROM best",
+    + "SELECT *, CAST(2 AS BIGINT) AS version FROM best",
 )
 def retrain_full_query(spark, sf_dir):
     """Trains, is told that version 1 is current, and is then forced to 2."""

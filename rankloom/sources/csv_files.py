@@ -62,7 +62,7 @@ def headers(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
                 yield batch.head(1)
                 return
 
-    lines = spark.read.option("pathGlobFilter", "*.csv").option("maxPartitionBytes", "128m").text(path)
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(path)
     heads = lines.select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
     )
