@@ -15,7 +15,9 @@ items of one user. Users are therefore split by their number of items:
   adds one pair instead of the square of its items. Profile pairs are counted
   in blocks, so no task ever holds more than one block pair of one user.
 
-Both parts are exact and are added up; nobody is dropped, capped or sampled.
+The parts are added up; nobody is dropped, capped or sampled. Profiles are told
+apart by size and two 64-bit hashes, so only a collision in all three could
+merge two of them.
 """
 
 from __future__ import annotations
@@ -39,8 +41,8 @@ def cosine(c, n_a, n_b):
 def similar_items(ix: DataFrame, k: int = 25, heavy_user_items: int = 2000) -> DataFrame:
     """Best ``k`` neighbours of each item: ITEM_ID, SIMILAR_ID, score, rank.
 
-    ``heavy_user_items`` only moves work between the two exact ways of
-    counting; it never changes the result.
+    ``heavy_user_items`` only moves work between the two ways of counting; it
+    does not change the result.
     """
     chosen = materialise(ix.select("USER_ID", "ITEM_ID").distinct(), "chosen")
     held = chosen.groupBy("USER_ID").agg(F.count(F.lit(1)).alias("held"))
