@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """All event times are UTC; nothing else of the session is changed."""
@@ -14,6 +18,23 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, once per application.
+
+    Spark copies the archive to the executors, so they need no path of the driver.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here = pathlib.Path(__file__).parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="rankloom-")) / "rankloom.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(here.rglob("*.py")):
+            out.write(file, pathlib.Path(here.name) / file.relative_to(here))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
 def workspace(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
