@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from rankloom.session import ship_package
+
 ROWS = 1024
 
 
@@ -23,6 +25,7 @@ def map_batches(
     df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[list]], schema: StructType | str
 ) -> DataFrame:
     """Apply ``work`` per partition; it yields one list per column of ``schema`` at a time."""
+    ship_package(df.sparkSession)
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     target = to_arrow_schema(schema)
 

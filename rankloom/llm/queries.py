@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rankloom.llm import packing, token_files
+from rankloom.llm import fm_index, language, licenses, minhash, packing, repetition, substrings, token_files
 from rankloom.llm.tokens import vocabulary_path
 from rankloom.session import fresh_path
 
@@ -13,18 +14,53 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    models = language.train(docs.where(~held_out).select("text", "lang"))
+    return language.identify(docs, models).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted"
+    )
+
+
+def op2_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition_metrics(documents(spark, sf_dir))
+
+
+def op3_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
+def op4_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), size=4, percent=80).drop("class_id")
+
+
 def op5_bit_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     token_files.write_token_files(documents(spark, sf_dir), path, vocabulary_path("byte_bpe_50k.json"))
     return token_files.read_token_files(spark, path)
 
 
+def op8_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
+def op9_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_index.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary_path("word_bpe_49k.json"))
 
 
 QUERIES = {
+    "op1_compression_language": op1_compression_language,
+    "op2_repetition_rules": op2_repetition_rules,
+    "op8_license_rules": op8_license_rules,
+    "op3_prefix_doubling": op3_prefix_doubling,
+    "op4_bbit_minhash": op4_bbit_minhash,
     "op5_bit_packed_tokens": op5_bit_packed_tokens,
+    "op9_fm_index": op9_fm_index,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 CHECKS: dict[str, str] = {}
