@@ -3,7 +3,8 @@
 Each language has a zstandard raw-content dictionary of sampled text. A text is
 compressed with every dictionary and belongs to the language whose dictionary
 gives the fewest bytes. Where the runner-up is almost as good the answer is
-marked as not accepted.
+marked as not accepted. Both sides are lower-cased words joined by blanks, so that
+capitals, digits and punctuation have no say.
 
 Training reads all labelled rows and keeps a bounded sample: per language at
 most ``pieces`` stretches of ``piece_chars`` characters, one for each bucket of
@@ -13,13 +14,14 @@ text count once. Prediction sees nothing but the text.
 
 Cases: null texts and texts without a letter are ``und`` with score 0, not
 accepted; without any labelled text everything is; ties go to the language
-first by name; very long texts are compressed in blocks and their sizes added;
+with more labelled texts; very long texts are compressed in blocks and their sizes added;
 repeated rows are judged each; other columns are not read.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 
 import pyarrow as pa
 import zstandard
@@ -29,11 +31,12 @@ from pyspark.sql import functions as F
 from rankloom.llm.arrow import map_batches
 
 UNKNOWN = "und"
-BLOCK = 4096
+BLOCK = 2048
+_NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def train(labelled: DataFrame, pieces: int = 192, piece_chars: int = 512) -> dict[str, bytes]:
-    """Dictionaries by language from the columns ``text`` and ``lang``."""
+    """Dictionaries by language from the columns ``text`` and ``lang``, the most frequent language first."""
     texts = labelled.where("lang IS NOT NULL").where(F.col("text").rlike(r"\p{L}")).select(
         "lang", "text", F.xxhash64("text").alias("h")
     )
@@ -48,10 +51,16 @@ def train(labelled: DataFrame, pieces: int = 192, piece_chars: int = 512) -> dic
         .orderBy("lang", "h")
         .collect()
     )
+    often = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     found: dict[str, list[bytes]] = {}
-    for row in rows:
-        found.setdefault(row["lang"], []).append(row["piece"].encode("utf-8", "surrogatepass"))
-    return {lang: b"\n".join(parts) for lang, parts in found.items()}
+    for row in sorted(rows, key=lambda r: (-often[r["lang"]], r["lang"])):
+        found.setdefault(row["lang"], []).append(plain(row["piece"]))
+    return {lang: b"".join(parts) for lang, parts in found.items()}
+
+
+def plain(text: str) -> bytes:
+    """Lower-case words between single blanks."""
+    return _NO_LETTERS.sub(" ", f" {text.lower()} ").encode("utf-8", "surrogatepass")
 
 
 @functools.lru_cache(maxsize=4)
@@ -69,19 +78,21 @@ def _compressors(models: tuple[tuple[str, bytes], ...], level: int):
 
 
 def classify(text: str | None, models, level: int, margin: float) -> tuple[str, float, bool]:
-    """(language, score, accepted). The score is the share by which the runner-up is larger, in twentieths of its size."""
+    """(language, score, accepted). The score is the share by which the runner-up is larger, five times, at most 1."""
     if not text or not models or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0, False
-    raw = text.encode("utf-8", "surrogatepass")
+    raw = plain(text)
     blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-    sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in _compressors(models, level))
+    sizes = sorted(
+        ((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in _compressors(models, level)), key=lambda x: x[0]
+    )
     ahead = 1.0 if len(sizes) == 1 else (sizes[1][0] - sizes[0][0]) / sizes[1][0]
     return sizes[0][1], min(1.0, ahead * 5), ahead >= margin
 
 
-def identify(docs: DataFrame, models: dict[str, bytes], level: int = 3, margin: float = 0.01) -> DataFrame:
+def identify(docs: DataFrame, models: dict[str, bytes], level: int = 9, margin: float = 0.01) -> DataFrame:
     """doc_id, lang_pred, score and accepted for every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(sorted(models.items())))
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(models.items()))
 
     def work(batches):
         for batch in batches:

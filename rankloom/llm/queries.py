@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import fm_index, language, licenses, minhash, packing, repetition, substrings, token_files
+from rankloom.llm import fm_index, language, licenses, minhash, packing, repetition, substrings, surrogates, templates, token_files
 from rankloom.llm.tokens import vocabulary_path
 from rankloom.session import fresh_path
 
+#: The key of the surrogates; production jobs pass their own.
+KEY = "registered queries"
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -41,6 +44,14 @@ def op5_bit_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op7_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(documents(spark, sf_dir).select("doc_id", "text"), KEY)
+
+
 def op8_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
@@ -56,6 +67,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_compression_language": op1_compression_language,
     "op2_repetition_rules": op2_repetition_rules,
+    "op6_template_decontamination": op6_template_decontamination,
+    "op7_surrogate_pii": op7_surrogate_pii,
     "op8_license_rules": op8_license_rules,
     "op3_prefix_doubling": op3_prefix_doubling,
     "op4_bbit_minhash": op4_bbit_minhash,

@@ -3,7 +3,7 @@
 An entity is an e-mail address, phone number, IP address, card number, IBAN, social
 security number, secret, or a given name or surname. Its surrogate comes from a
 keyed digest of type and value: digits become digits, letters letters of the same
-case, punctuation stays; names become names of the same gender and script. So equal
+case, punctuation and country codes stay, card numbers stay valid; names become names of the same gender and script. So equal
 entities get equal surrogates everywhere. All different entities of the corpus and
 their surrogates are compared: where two would share one, or one equals an entity
 that really occurs, the later gets the next digest, until all differ. Names have
@@ -41,10 +41,12 @@ SURNAMES = {
 
 _ALL_GIVEN = "|".join(n for names in GIVEN.values() for n in names.split())
 _ALL_TITLES = "|".join(TITLES.values())
+#: What only looks like an entity; it stays as it is.
+NOT_AN_ENTITY = "none"
 #: (type, pattern); the first that matches at a place is taken.
 PATTERNS = {
     "email": r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.?[A-Za-z]{2,}",
-    "secret": r"(?i:(?<![\w-])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s?[=:]\s?[\"']?)[A-Za-z0-9_\-/+]{8,}",
+    "secret": r"(?i:(?=[apst])(?<![\w-])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s?[=:]\s?[\"']?)[A-Za-z0-9_\-/+]{8,}",
     "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -52,12 +54,13 @@ PATTERNS = {
     "phone": r"(?<![\d\p{L}])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
     "phone_long": r"(?<![\d\p{L}+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
     "card": r"(?<![\d-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{3,4}(?![\d-])",
-    "surname": rf"(?<=\b(?:{_ALL_GIVEN}) |\b(?:{_ALL_TITLES})\.? )\p{{Lu}}\p{{Ll}}+(?!\p{{L}})",
-    "given": rf"\b(?:{_ALL_GIVEN})(?!\p{{L}})",
+    # The cheap look at the first letter comes first, so that the long lists are rarely tried.
+    "surname": rf"(?=\p{{Lu}})(?<=\b(?:{_ALL_GIVEN}) |\b(?:{_ALL_TITLES})\.? )\p{{Lu}}\p{{Ll}}+(?!\p{{L}})",
+    "given": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_ALL_GIVEN})(?!\p{{L}})",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What every entity has somewhere; texts without it are left alone at little cost.
-_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: What every entity has in or before it; most texts have none of it and are left alone at little cost.
+HINT = rf"[0-9@=:]|(?=\p{{Lu}})(?<!\p{{L}})(?:{_ALL_GIVEN}|{_ALL_TITLES})(?!\p{{L}})"
 
 
 def entities(text: Column) -> Column:
@@ -73,18 +76,35 @@ def kind(value: Column) -> Column:
     # A look at what stands around an entity is not possible here, so patterns lose their look-behind.
     for name in ("email", "secret", "key", "iban", "ssn", "ip", "phone", "phone_long", "card"):
         pattern = PATTERNS[name].split(")", 1)[1] if PATTERNS[name].startswith("(?<!") else PATTERNS[name]
-        out = out.when(value.rlike(f"^(?:{pattern})$"), name)
+        test = value.rlike(f"^(?:{pattern})$")
+        if name == "card":  # other long numbers only look like one
+            out = out.when(test & (_luhn(value) % 10 != 0), NOT_AN_ENTITY)
+        out = out.when(test, name)
     return out.when(value.rlike(r"^\p{IsCyrillic}"), "surname_cyrillic").otherwise("surname_latin")
 
 
+def _luhn(value: Column) -> Column:
+    """The sum whose last digit is 0 for a valid card number."""
+    digits = F.split(F.reverse(F.regexp_replace(value, "[^0-9]", "")), "")
+    weighed = F.transform(
+        digits, lambda d, i: d.cast("int") * (1 + i % 2) - F.when((i % 2 == 1) & (d.cast("int") > 4), 9).otherwise(0)
+    )
+    return F.aggregate(weighed, F.lit(0), lambda a, b: a + b)
+
+
+def _with_check_digit(value: Column) -> Column:
+    body = F.substring(value, F.lit(1), F.length(value) - 1)
+    return F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
+
+
 def digest(key: str, kind_: Column, value: Column, attempt: Column) -> Column:
     """128 hex digits that only the holder of the key can compute."""
     parts = [F.lit(key), kind_, value, attempt.cast("string")]
     return F.concat(*(F.sha2(F.concat_ws("\x1f", F.lit(str(k)), *parts), 256) for k in range(2)))
 
 
-def _like(value: Column, hexes: Column, keep: int = 0) -> Column:
-    """A text of the same form: digit for digit, letter for letter of the same case."""
+def _like(value: Column, hexes: Column, keep: Column | int = 0) -> Column:
+    """A text of the same form: digit for digit, letter for letter of the same case. The first ``keep`` stay."""
     digits = F.translate(hexes, "abcdef", "274953")
     letters = F.translate(hexes, "0123456789", "ghkmnprstv")
 
@@ -116,21 +136,26 @@ def _pick(names: str, hexes: Column, attempt: Column) -> Column:
 
 def surrogate(key: str, kind_: Column, value: Column, attempt: Column) -> Column:
     hexes = digest(key, kind_, F.when(kind_ == "email", F.lower(value)).otherwise(value), attempt)
-    local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
+    local = F.substring_index(value, "@", 1)
     host = F.concat(F.lit("mail"), (_number(hexes, 33) % 100).cast("string"), F.lit(".example.org"))
     label = F.regexp_extract(value, r"^(.*[=:]\s?[\"']?)", 1)
-    secret = F.expr("substring(v, length(l) + 1)") if False else F.regexp_replace(value, r"^.*[=:]\s?[\"']?", "")
+    secret = F.regexp_replace(value, r"^.*[=:]\s?[\"']?", "")
+    hex_like = F.substring(hexes, F.lit(1), F.length(secret))
+    secret_like = F.when(secret.rlike("^[0-9A-F]{8,128}$"), F.upper(hex_like)).when(
+        secret.rlike("^[0-9a-f]{8,128}$"), hex_like
+    ).otherwise(_like(secret, hexes))
     octets = [(_number(hexes, 1 + 8 * k) % (254 if k else 223) + 1).cast("string") for k in range(4)]
     code = F.substring(value, 1, 2)
+    country = F.length(F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])", 0))
     out = (
         F.when(kind_ == "email", F.concat(_like(local, hexes), F.lit("@"), host))
-        .when(kind_ == "secret", F.concat(label, _like(secret, hexes)))
+        .when(kind_ == "secret", F.concat(label, secret_like))
         .when(kind_ == "key", _like(value, hexes))
         .when(kind_ == "iban", F.concat(code, _like(F.regexp_replace(value, "^..", ""), hexes)))
         .when(kind_ == "ip", F.concat_ws(".", *octets))
-        .when(kind_ == "card", _like(value, hexes, keep=1))
+        .when(kind_ == "card", _with_check_digit(_like(value, hexes, keep=1)))
+        .when(kind_.isin("phone", "phone_long"), _like(value, hexes, keep=country))
     )
-    del domain
     for name, names in {**GIVEN, **SURNAMES}.items():
         out = out.when(kind_ == name, _pick(names, hexes, attempt))
     return out.otherwise(_like(value, hexes))
@@ -169,19 +194,35 @@ def mapping(found: DataFrame, key: str, tries: int = 12) -> DataFrame:
 
 def replace(docs: DataFrame, key: str) -> DataFrame:
     """The documents with every entity replaced; all other columns as they are."""
-    return _replaced(docs, key)[0]
+    columns = docs.columns
+    name = "_surrogate_parts"
+    while name in columns:
+        name += "_"
+    has = F.coalesce(F.col("text").rlike(HINT) & F.col("text").rlike(ENTITY), F.lit(False))
+    touched = docs.where(has).withColumn(name, F.struct(F.xxhash64("text").alias("h"), F.length("text").alias("size")))
+    lists, _ = _lists(docs.where(has), key)
+    lists = lists.select(F.struct("h", "size").alias(name), F.col("found").alias(f"{name}f"))
+    # The text between entities and their surrogates, one after the other.
+    between = F.split(F.col("text"), ENTITY, -1)
+    new = F.array_join(
+        F.zip_with(between, F.col(f"{name}f"), lambda a, b: F.concat(a, F.coalesce(b["surrogate"], F.lit("")))), ""
+    )
+    done = touched.join(lists, name).withColumn("text", new).select(columns)
+    return docs.where(~has).unionByName(done)
 
 
-def _replaced(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    has = F.col("text").rlike(ENTITY)
-    texts = docs.where(has).select("text").distinct()
-    found = texts.select(F.xxhash64("text").alias("h"), F.col("text").alias("t"), F.posexplode(entities(F.col("text"))).alias("at", "value"))
-    found = materialise(found.select("h", F.length("t").alias("size"), "at", "value"), "entities")
+def _lists(texts: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(entities of each text with their surrogates in order, the whole mapping)."""
+    found = texts.select(
+        F.xxhash64("text").alias("h"), F.length("text").alias("size"), entities(F.col("text")).alias("values")
+    ).dropDuplicates(["h", "size"])
+    found = materialise(found.select("h", "size", F.posexplode("values").alias("at", "value")), "entities")
     kinds = found.select("value").distinct().select("value", kind(F.col("value")).alias("kind"))
-    named = mapping(kinds, key)
+    named = mapping(kinds.where(F.col("kind") != NOT_AN_ENTITY), key)
     lists = (
-        found.join(named.select("value", "surrogate"), "value")
+        found.join(named.select("value", "surrogate"), "value", "left")
+        .withColumn("surrogate", F.coalesce("surrogate", "value"))
         .groupBy("h", "size")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "value", "surrogate"))).alias("found"))
+        .agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("found"))
     )
     return lists, named
