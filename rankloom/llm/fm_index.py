@@ -191,7 +191,8 @@ def later_starts(members: list[tuple], length: int) -> list[np.ndarray]:
     content, of passages that start earlier in some member, by (doc_id, place)."""
     words = [np.frombuffer(m[2], np.uint64) for m in members]
     index = FMIndex(words, length)
-    docs = np.array([m[0] for m in members], np.int64)
+    first_id = np.iinfo(np.int64).min  # a missing id comes before all others
+    docs = np.array([first_id if m[0] is None else m[0] for m in members], np.int64)
     places = np.array([m[1] for m in members], np.int64)
     # The order of all indexed places in the corpus, and the first of each run of suffixes.
     sizes = np.array([len(w) + 1 for w in words], np.int64)
@@ -259,8 +260,7 @@ def remove_repeats(docs: DataFrame, length: int = 20, window: int = 14, gram: in
         return df.withColumn("doc_id", F.col("row")) if unique else df.join(doc_ids, "row")
 
     rows = materialise(_scan(docs, scheme), "word_anchors")
-    again = rows.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls")
-    rows = materialise(rows.join(again, "cls", "left_semi"), "word_ranked")
+    rows = materialise(substrings.not_alone(rows, "cls"), "word_ranked")
     counted, chosen = substrings.surroundings(with_ids(rows), ["doc_id", "at", "row"])
     earlier = F.struct("doc_id", "at") > F.struct("one.doc_id", "one.at")
     settled = counted.where("n > 1").where(earlier).select(

@@ -32,13 +32,12 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.arrow import map_batches
 from rankloom.llm.components import components
+from rankloom.llm.sizes import broadcast_if_small
 from rankloom.llm.words import HASHES, lower_ascii, mixed, window_hashes, words_of
 from rankloom.session import materialise
 
 BANDS, ROWS, BITS = 24, 4, 2
 MINIMA = BANDS * ROWS
-#: Ids up to this number are broadcast to pick candidates' texts; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 _SEEDS = mixed(np.arange(1, 2 * MINIMA + 1, dtype=np.uint64))
 _FACTORS, _OFFSETS = _SEEDS[:MINIMA] | np.uint64(1), _SEEDS[MINIMA:]
 _LOW_HALVES = 0x5555555555555555
@@ -126,8 +125,7 @@ def _side(classes: DataFrame, side: str) -> DataFrame:
 
 def _texts_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """The texts of chosen documents."""
-    if reps.count() <= BROADCAST_IDS:
-        reps = F.broadcast(reps)
+    reps = broadcast_if_small(reps)
     texts = docs.select("doc_id", "text").join(reps, F.col("doc_id") == F.col("rep"), "left_semi")
     return texts.groupBy("doc_id").agg(F.min("text").alias("text"))
 
@@ -179,7 +177,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     stars = materialise(
         stars.join(sides[0], "a").join(sides[1], "b").where(_plausible(percent)).select("a", "b"), "stars"
     )
-    inside = members.select("rep").distinct()
+    inside = materialise(members.select("rep").distinct(), "inside")
     sets = materialise(_sets(_texts_of(docs, inside), size), "sets")
     links = materialise(_confirmed(stars, sets, percent), "confirmed")
     found = materialise(components(links), "components")
@@ -233,7 +231,7 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     found = near_duplicates(docs, size, percent)
     dropped = materialise(found.where("NOT kept").select("doc_id").distinct(), "dropped")
     twice = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    rest = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    rest = docs.join(broadcast_if_small(dropped), "doc_id", "left_anti").select(docs.columns)
     if not twice.isEmpty():
         named = rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
         rest = named.unionByName(rest.where("doc_id IS NULL"))

@@ -36,12 +36,12 @@ from pyspark.sql import functions as F
 
 from rankloom.llm import anchors
 from rankloom.llm.arrow import map_batches
+from rankloom.llm.sizes import broadcast_if_small
 from rankloom.llm.words import mixed
 from rankloom.session import materialise
 
-#: Rows with ids up to this number are picked by a broadcast of the ids; more by a shuffle.
-BROADCAST_IDS = 1_000_000
 _UNITS = mixed(np.arange(1, 257, dtype=np.uint64))
+#: Bytes of texts that are searched for anchors together.
 TOGETHER = 4_000_000
 
 
@@ -95,6 +95,12 @@ def _scan(docs: DataFrame, scheme: anchors.Scheme, ends: list[int]) -> DataFrame
     return map_batches(docs.select("row", "text"), work, f"row long, at int, {ranks}, around long")
 
 
+def not_alone(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose key occurs again. The keys are written first, so that Spark can split hot ones in the join."""
+    again = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    return rows.join(materialise(again, "again"), key, "left_semi")
+
+
 def surviving_anchors(docs: DataFrame, scheme: anchors.Scheme, ends: list[int]) -> DataFrame:
     """Anchors whose core occurs again, with ``cls`` naming the core."""
     rows = materialise(_scan(docs, scheme, ends), "anchors")
@@ -102,9 +108,7 @@ def surviving_anchors(docs: DataFrame, scheme: anchors.Scheme, ends: list[int])
     for k in range(len(ends)):
         if k:
             rank = F.xxhash64(rank, f"r{k}")
-        ranked = rows.withColumn("rank", rank)
-        again = ranked.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank")
-        rows = materialise(ranked.join(again, "rank", "left_semi").drop("rank"), "ranked")
+        rows = materialise(not_alone(rows.withColumn("rank", rank), "rank").drop("rank"), "ranked")
     return rows.withColumn("cls", rank).select("row", "at", "cls", "around")
 
 
@@ -116,17 +120,15 @@ def surroundings(rows: DataFrame, first: list[str]) -> tuple[DataFrame, DataFram
     groups = materialise(
         rows.groupBy("cls", "around").agg(F.count("*").alias("n"), F.min(F.struct(*first)).alias("first")), "around"
     )
-    kinds = groups.groupBy("cls").agg(F.count("*").alias("kinds"))
-    mixed_classes = groups.join(kinds.where("kinds > 1"), "cls").select("cls", "around", "n", "kinds", "first.*")
+    kinds = materialise(groups.groupBy("cls").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
+    mixed_classes = groups.join(kinds, "cls").select("cls", "around", "n", "kinds", "first.*")
     counted = rows.join(groups.select("cls", "around", "n", F.col("first").alias("one")), ["cls", "around"])
     return counted, mixed_classes
 
 
 def texts_with(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """row and text of the documents that ``rows`` name."""
-    ids = rows.select("row").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = broadcast_if_small(materialise(rows.select("row").distinct(), "ids"))
     return docs.select("row", "text").join(ids, "row", "left_semi")
 
 

@@ -21,13 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.llm.sizes import broadcast_if_small
 from rankloom.session import materialise
 
 #: Marks of names, numbers and units, and a decimal point inside a number. Private-use characters, so no text has them by nature.
 NAME, NUMBER, UNIT, POINT = "\ue000", "\ue001", "\ue002", "\ue003"
 MIN_TOKENS = 4
-#: A table of benchmark windows up to this many rows is broadcast, a larger one is joined by a shuffle.
-BROADCAST_WINDOWS = 500_000
 #: Given names that are names wherever they stand, also at the start of a sentence.
 NAMES = (
     "Alexander Alice Benjamin Charlotte Christopher Daniel David Deborah Dorothy Elizabeth Emily Francis Frederick "
@@ -101,9 +100,7 @@ def _slots(rows: DataFrame, key: str, pos: str, value: str) -> DataFrame:
 
 def hits(docs: DataFrame, windows: DataFrame, window: int) -> DataFrame:
     """(doc_id, doc_pos, item_id, item_pos, size) where templates meet."""
-    names = windows.select("hash", "size", "item_id", "item_pos")
-    if names.count() <= BROADCAST_WINDOWS:
-        names = F.broadcast(names)
+    names = broadcast_if_small(windows.select("hash", "size", "item_id", "item_pos"))
     toks = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), tokens(template(marked(F.coalesce("text", F.lit(""))))).alias("toks")
     )
@@ -155,4 +152,4 @@ def contaminated(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
     """The documents in which no item was found. Rows without a doc_id stay."""
     found = materialise(contaminated(docs, benchmark, **limits).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(broadcast_if_small(found), "doc_id", "left_anti").select(docs.columns)
