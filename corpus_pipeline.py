@@ -1,12 +1,50 @@
-"""The corpus pipeline: rules, near-duplicates, decontamination, PII, packing."""
+"""The corpus pipeline: quality rules, near-duplicates, decontamination, PII, packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rankloom.llm import minhash, packing, repetition, surrogates, templates
+from rankloom.llm.tokens import vocabulary_path
 from rankloom.session import fresh_path
 
-STAGES: list = []
+#: The key of the surrogates; production jobs put their own here.
+KEY = "corpus pipeline"
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the repetition rules reject."""
+    return repetition.keep_good(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
+    return minhash.keep_one(docs, size=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a benchmark item, also with other numbers or names."""
+    return templates.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by surrogates."""
+    return surrogates.replace(docs, KEY)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces in sequences of 4096."""
+    return packing.pack_documents(docs, vocabulary_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("pii", pii),
+    ("packing", pack),
+]
+#: Suffix arrays and tokenizers have no counterpart in SQL; tests compare with plain Python.
 ORACLE_SQL = None
 
 
