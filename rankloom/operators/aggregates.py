@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.session import materialise
@@ -25,45 +25,43 @@ def duplicate_keys(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("occurrences")).where(F.col("occurrences") > 1)
 
 
-def nest_children(df: DataFrame, parent: str, columns: list[str], max_children: int = 1000) -> DataFrame:
-    """Children of each parent as sorted lists: parent, part, parts, children.
+def nest_children(df: DataFrame, parent: str, columns: list[str], part_size: int = 1000) -> DataFrame:
+    """Children of each parent as sorted lists: parent, part, first, children.
 
-    A parent with up to ``max_children`` children is one row. A larger one is
-    dealt over several rows by a hash of the child, so no task and no row ever
-    holds a whole hot parent; nothing is left out. ``columns[0]`` must tell the
-    children of one parent apart. The list of large parents is at most one
-    ``max_children``-th of the rows and usually tiny; it is written first, so
-    that it is broadcast if small and AQE can split a hot parent if it is not.
+    Children are numbered from 0 by ``columns[0]``, which must tell those of one
+    parent apart, and every ``part_size`` of them are one part; ``first`` is the
+    number of a part's first child. The form is the same for every size.
+
+    The numbering needs no task to see a whole parent: rows are spread by range,
+    numbered within their range, and raised by the counts of earlier ranges.
     """
-    sizes = df.groupBy(parent).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > max_children)
-    split = sizes.select(parent, F.ceil(F.col("_size") / F.lit(max_children)).cast("long").alias("parts"))
+    by_range = df.select(parent, *columns).repartitionByRange(parent, columns[0])
+    placed = materialise(by_range.withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = materialise(placed.groupBy(parent, "_range").agg(F.count(F.lit(1)).alias("_rows")), "range-counts")
+    earlier = Window.partitionBy(parent).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(parent, "_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(parent, "_range").orderBy(columns[0])
+    numbered = placed.withColumn("_nth", F.row_number().over(within) - 1).join(before, [parent, "_range"])
+    part = F.floor((F.col("_before") + F.col("_nth")) / F.lit(part_size)).cast("long")
     return (
-        df.join(materialise(split, "large-parents"), parent, "left")
-        .withColumn("parts", F.coalesce("parts", F.lit(1)))
-        .withColumn("part", spread(F.col(columns[0]), F.col("parts")))
-        # Without this the lists would be built where the join left the rows,
-        # which is by parent alone: a hot parent would meet in one task.
-        .repartition(parent, "part")
-        .groupBy(parent, "part", "parts")
+        numbered.withColumn("part", part)
+        .groupBy(parent, "part")
         .agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("children"))
-    )
-
-
-def spread(value: Column, parts: Column) -> Column:
-    """A stable part number from 0 for a value, by the digest of its text."""
-    return F.when(parts > 1, F.pmod(F.conv(F.substring(F.md5(value.cast("string")), 1, 8), 16, 10).cast("long"), parts)).otherwise(
-        F.lit(0).cast("long")
+        .select(parent, "part", (F.col("part") * part_size).alias("first"), "children")
     )
 
 
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     """Row count and checksum of the content, whatever the row order.
 
-    A check value to see whether data changed, not a cryptographic digest. The
+    A check value to see whether data changed, not a cryptographic digest: the
+    sum over all rows of 60 bits of a digest. Nulls are marked and every value
+    has its length before it, so nothing can move between columns unseen. The
     sum is kept in a wide decimal, as billions of rows overflow a long.
     """
-    text = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
-    head = F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("decimal(28,0)")
+    values = [F.col(c).cast("string") for c in columns]
+    text = F.concat(*[F.when(v.isNull(), "n").otherwise(F.concat(F.length(v).cast("string"), F.lit(":"), v)) for v in values])
+    head = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(28,0)")
     checksum = F.coalesce(F.sum(head), F.lit(0)) % F.lit(1 << 62).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("row_count"), checksum.cast("long").alias("checksum"))
 

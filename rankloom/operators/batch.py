@@ -17,6 +17,7 @@ def batch_inference(
 ) -> DataFrame:
     """Top ``k`` items of each input user. With ``ix`` the items are first
     restricted to those the user has interacted with (by ``types`` or any).
+    An input without any such item is one row with null item, score and rank.
 
     ``scores`` is a finished table, or a function that scores the inputs only:
     ``lambda users: affinity(ix, similar, users=users)``.
@@ -28,14 +29,15 @@ def batch_segment(
     inputs: DataFrame, scores: Scores, ix: DataFrame | None = None, types: tuple[str, ...] | None = None, k: int = 25
 ) -> DataFrame:
     """Top ``k`` users of each input item, or attribute value if that is what
-    ``inputs`` holds."""
+    ``inputs`` holds. Inputs nobody is close to are one row of nulls each."""
     return _ranked(inputs, scores, inputs.columns[0], "USER_ID", ix, types, k)
 
 
 def _ranked(inputs, scores, key, id, ix, types, k) -> DataFrame:
     """The item filter runs before the cut to ``k``, so no list comes up short."""
-    asked = inputs.select(key)
+    asked = inputs.select(key).distinct()
     wanted = scores(asked) if callable(scores) else scores.join(asked, key, "left_semi")
     if ix is not None:
         wanted = include_items(wanted, ix, types)
-    return topk(wanted, k, by=[key], id=id).select(key, id, "score", "rank")
+    best = topk(wanted, k, by=[key], id=id).select(key, id, "score", "rank")
+    return asked.join(best, key, "left").select(key, id, "score", "rank")

@@ -49,11 +49,23 @@ def update_new_items(
     items: DataFrame,
     attribute: str,
     k: int = 25,
+    versioned_ix: DataFrame | None = None,
 ) -> DataFrame:
-    """UPDATE training: ``existing`` rows stay as they are, rows for the items
-    added since the last version join them. Raises if nothing was added."""
+    """UPDATE training: ``existing`` rows stay as they are, and rows for items
+    new to the model join them.
+
+    New are items added since the last version. With ``versioned_ix``, the
+    interactions of that version, also those that have had their first
+    interaction since. Raises if neither an item nor an interaction was added.
+    """
     fresh = new_items(items, versioned_items).select("ITEM_ID", attribute)
-    if fresh.isEmpty():
-        raise ValueError("there should be updates to at least one dataset after the last full version")
+    changed = False
+    if versioned_ix is not None:
+        added_ix = ix.select("USER_ID", "ITEM_ID").join(versioned_ix, ["USER_ID", "ITEM_ID"], "left_anti")
+        first = new_items(added_ix.select("ITEM_ID").distinct(), versioned_ix)
+        fresh = fresh.unionByName(items.select("ITEM_ID", attribute).join(first, "ITEM_ID", "left_semi")).distinct()
+        changed = not added_ix.isEmpty()
+    if not changed and fresh.isEmpty():
+        raise ValueError("nothing was added since the last version, so an update has nothing to learn")
     added = score_by_profile(ix, items, fresh, attribute, k)
     return existing.withColumn("origin", F.lit("full")).unionByName(added.withColumn("origin", F.lit("update")))

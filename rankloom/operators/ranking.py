@@ -6,16 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Up to this ``k`` Spark itself cuts every map partition to k rows per group.
+PLANNED_CUT = 1000
+SALTS = 64
+
+
 def topk(df: DataFrame, k: int, by: list[str], score: str = "score", id: str = "ITEM_ID") -> DataFrame:
     """Best ``k`` rows of each group, ties by ``id``; adds ``rank`` from 1.
 
     The ``rank <= k`` test sits directly on the window, so Spark cuts every
     map partition to k rows per group *before* the shuffle. A group holding a
-    third of the data therefore sends k rows per task, not all of them.
+    third of the data therefore sends k rows per task, not all of them. Spark
+    plans that for small k only; for a larger one a group is first dealt over
+    salts by ``id`` and cut to k there.
     """
-    best_first = Window.partitionBy(*by).orderBy(F.col(score).desc(), F.col(id))
-    ranked = df.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
-    return ranked.withColumn("rank", F.col("rank").cast("long"))
+    best_first = [F.col(score).desc(), F.col(id)]
+    if k > PLANNED_CUT:
+        dealt = df.withColumn("_salt", F.pmod(F.xxhash64(id), F.lit(SALTS)))
+        place = F.row_number().over(Window.partitionBy(*by, "_salt").orderBy(*best_first))
+        df = dealt.withColumn("_place", place).where(F.col("_place") <= k).drop("_salt", "_place")
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*best_first)))
+    return ranked.where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
 def topk_global(df: DataFrame, k: int, score: str = "score", id: str = "ITEM_ID") -> DataFrame:

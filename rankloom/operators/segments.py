@@ -20,7 +20,15 @@ def attribute_segments(
     ix: DataFrame, similar: DataFrame, items: DataFrame, attribute: str, values: DataFrame, k: int = 25
 ) -> DataFrame:
     """For each input value of ``attribute``, users by summed affinity to the
-    items holding it: attribute, USER_ID, score, rank.
+    items holding it: attribute, USER_ID, score, rank."""
+    summed = attribute_scores(ix, similar, items, attribute, values)
+    return topk(summed, k, by=[attribute], id="USER_ID").select(attribute, "USER_ID", "score", "rank")
+
+
+def attribute_scores(
+    ix: DataFrame, similar: DataFrame, items: DataFrame, attribute: str, values: DataFrame
+) -> DataFrame:
+    """Summed affinity of users to the items holding a value: attribute, USER_ID, score.
 
     Affinity is a sum over neighbours, so neighbours are summed per (item,
     value) first. That table is no larger than the neighbour table and usually
@@ -32,5 +40,4 @@ def attribute_segments(
     )
     reach = similar.join(held, "SIMILAR_ID").groupBy("ITEM_ID", attribute).agg(F.sum("score").alias("score"))
     seen = ix.select("USER_ID", "ITEM_ID").distinct()
-    summed = seen.join(reach, "ITEM_ID").groupBy(attribute, "USER_ID").agg(round6(F.sum("score")).alias("score"))
-    return topk(summed, k, by=[attribute], id="USER_ID").select(attribute, "USER_ID", "score", "rank")
+    return seen.join(reach, "ITEM_ID").groupBy(attribute, "USER_ID").agg(round6(F.sum("score")).alias("score"))

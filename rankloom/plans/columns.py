@@ -193,18 +193,20 @@ def run_label(spark, sf_dir):
 
 @query(
     "flatten_documents",
-    """SELECT conv_id, turn, role, line_pos - 1 AS line_pos, line FROM (
-  SELECT conv_id, turn, role, unnest(string_split(text, chr(10))) AS line,
-         generate_subscripts(string_split(text, chr(10)), 1) AS line_pos FROM conversations)""",
+    """SELECT conv_id, turn_pos, turn, role, line_pos - 1 AS line_pos, line FROM (
+  SELECT conv_id, turn_pos, turn, role, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS line_pos
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_pos FROM conversations))""",
 )
 def flatten_documents_query(spark, sf_dir):
     """Conversations nested to JSON (turns, and lines in turns) and opened again."""
     lines = F.transform(F.split("text", "\n"), lambda line: F.struct(line.alias("line")))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", lines.alias("lines"))
     nested = nest_children(turns, "conv_id", ["turn", "role", "lines"])
-    docs = nested.select("conv_id", "part", F.to_json(F.struct(F.col("children").alias("turns"))).alias("doc"))
+    docs = nested.select("conv_id", "first", F.to_json(F.struct(F.col("children").alias("turns"))).alias("doc"))
     schema = "turns array<struct<turn: long, role: string, lines: array<struct<line: string>>>>"
-    tables = flatten_documents(docs, "doc", schema, ["conv_id", "part"])
-    keys = ["conv_id", "part", "turns_pos"]
+    tables = flatten_documents(docs, "doc", schema, ["conv_id", "first"])
+    keys = ["conv_id", "first", "turns_pos"]
     opened = tables["turns.lines"].join(tables["turns"], keys)
-    return opened.select("conv_id", "turn", "role", F.col("lines_pos").cast("long").alias("line_pos"), "line")
+    turn_pos = (F.col("first") + F.col("turns_pos")).alias("turn_pos")
+    return opened.select("conv_id", turn_pos, "turn", "role", F.col("lines_pos").cast("long").alias("line_pos"), "line")

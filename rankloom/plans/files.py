@@ -3,17 +3,20 @@ the layout under test and reads it back through the operator."""
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from rankloom.operators.batch import batch_inference, batch_segment
 from rankloom.operators.neighbours import affinity
+from rankloom.operators.segments import attribute_scores
 from rankloom.plans import sql
 from rankloom.plans.recipes import similar_events
 from rankloom.plans.registry import query
 from rankloom.plans.views import ix_events, items, table, users
 from rankloom.session import fresh_path
 from rankloom.sources.batch_files import read_batch_input, read_batch_output, write_batch_output
-from rankloom.sources.csv_files import import_csv, newest_file, resolve_parts
+from rankloom.sources.csv_files import import_csv, newest_rows, resolve_parts
 from rankloom.sources.snapshots import full_import, read_snapshot
 
 INTERACTIONS = {
@@ -108,11 +111,26 @@ def full_import_query(spark, sf_dir):
     return read_snapshot(spark, root, "users").withColumn("version", F.lit(version).cast("long"))
 
 
-@query("newest_file")
+USERS = {
+    "type": "record",
+    "name": "Users",
+    "fields": [{"name": "USER_ID", "type": "long"}, {"name": "SEGMENT", "type": "string"}],
+}
+
+
+@query(
+    "newest_file",
+    'SELECT c_custkey AS "USER_ID", c_mktsegment AS "SEGMENT" FROM customer WHERE c_custkey % 2 = 1',
+)
 def newest_file_query(spark, sf_dir):
-    """The newest of the given table files."""
-    newest = newest_file(spark, sf_dir, ".parquet")
-    return newest.select(F.substring_index("path", "/", -1).alias("file"), F.unix_timestamp("modified").alias("modified"))
+    """Customers in two files, one written after the other; the rows of the newer one count."""
+    path = fresh_path(spark, "arrivals")
+    people = users(spark, sf_dir).select("USER_ID", "SEGMENT")
+    for odd in (0, 1):
+        part = people.where(F.col("USER_ID") % 2 == odd).coalesce(1)  # one file, as it is one file that is asked for
+        part.write.mode("append").option("header", True).csv(path)
+        time.sleep(1.1)  # file systems may keep times in whole seconds
+    return newest_rows(spark, path, USERS)
 
 
 @query("batch_input", "SELECT c_custkey AS \"USER_ID\" FROM customer")
@@ -134,7 +152,8 @@ def _user_list(spark, sf_dir) -> str:
         sql.affinity("ix_events"),
         sql.ranked("affinity", "USER_ID", "ITEM_ID", "best", 10),
     )
-    + 'SELECT CAST(USER_ID AS VARCHAR) AS "userId", CAST(ITEM_ID AS VARCHAR) AS id, score, rank FROM best',
+    + """SELECT CAST(c_custkey AS VARCHAR) AS "userId", CAST(ITEM_ID AS VARCHAR) AS id, score, rank
+FROM customer LEFT JOIN best ON USER_ID = c_custkey""",
 )
 def batch_output(spark, sf_dir):
     """A whole inference job: JSON lines in, ranked JSON lines out."""
@@ -154,7 +173,8 @@ def batch_output(spark, sf_dir):
         sql.affinity("ix_events"),
         sql.ranked("affinity", "ITEM_ID", "USER_ID", "best", 10, "ITEM_ID IN (SELECT p_partkey FROM part)"),
     )
-    + 'SELECT CAST(ITEM_ID AS VARCHAR) AS "itemId", CAST(USER_ID AS VARCHAR) AS id, score, rank FROM best',
+    + """SELECT CAST(p_partkey AS VARCHAR) AS "itemId", CAST(USER_ID AS VARCHAR) AS id, score, rank
+FROM part LEFT JOIN best ON ITEM_ID = p_partkey""",
 )
 def batch_segment_output(spark, sf_dir):
     """A whole segment job: item list in, ranked users out."""
@@ -165,3 +185,29 @@ def batch_segment_output(spark, sf_dir):
     ranked = batch_segment(inputs, lambda asked: affinity(ix, near, items=asked), k=10)
     write_batch_output(ranked, out, "ITEM_ID", "USER_ID", "itemId")
     return read_batch_output(spark, out, "itemId")
+
+
+@query(
+    "batch_segment_attribute",
+    sql.with_(
+        sql.IX_EVENTS,
+        sql.ITEMS,
+        sql.similar("ix_events"),
+        sql.affinity("ix_events"),
+        f"""attribute_scores AS (
+  SELECT BRAND, USER_ID, {sql.r6('sum(score)')} AS score FROM affinity JOIN items USING (ITEM_ID) GROUP BY 1, 2)""",
+        sql.ranked("attribute_scores", "BRAND", "USER_ID", "best", 10),
+    )
+    + """SELECT b.BRAND, CAST(USER_ID AS VARCHAR) AS id, score, rank
+FROM (SELECT DISTINCT p_brand AS BRAND FROM part) b LEFT JOIN best ON best.BRAND = b.BRAND""",
+)
+def batch_segment_attribute(spark, sf_dir):
+    """A segment job by attribute: brands as JSON lines in, ranked users out."""
+    source, out = fresh_path(spark, "segment-input"), fresh_path(spark, "segment-output")
+    catalogue = items(spark, sf_dir)
+    catalogue.select("BRAND").write.json(source)
+    ix, near = ix_events(spark, sf_dir), similar_events(spark, sf_dir)
+    inputs = read_batch_input(spark, source, "BRAND")
+    ranked = batch_segment(inputs, lambda asked: attribute_scores(ix, near, catalogue, "BRAND", asked), k=10)
+    write_batch_output(ranked, out, "BRAND", "USER_ID")
+    return read_batch_output(spark, out, "BRAND")

@@ -230,7 +230,7 @@ def attribute_affinity_segment(spark, sf_dir):
       WHERE x.USER_ID = affinity.USER_ID AND x.ITEM_ID = affinity.ITEM_ID AND x.EVENT_TYPE = 'purchase')""",
         ),
     )
-    + "SELECT * FROM best",
+    + "SELECT c_custkey AS USER_ID, ITEM_ID, score, rank FROM customer LEFT JOIN best ON USER_ID = c_custkey",
 )
 def batch_inference_query(spark, sf_dir):
     ix = ix_events(spark, sf_dir)
@@ -247,7 +247,7 @@ def batch_inference_query(spark, sf_dir):
         sql.affinity("ix_events"),
         sql.ranked("affinity", "ITEM_ID", "USER_ID", "best", 10, "ITEM_ID IN (SELECT p_partkey FROM part)"),
     )
-    + "SELECT * FROM best",
+    + "SELECT p_partkey AS ITEM_ID, USER_ID, score, rank FROM part LEFT JOIN best ON ITEM_ID = p_partkey",
 )
 def batch_segment_query(spark, sf_dir):
     ix = ix_events(spark, sf_dir)
@@ -359,19 +359,41 @@ def serve_current_query(spark, sf_dir):
 # --- latent factors --------------------------------------------------------
 
 
-@query("personalised_als")
+@query(
+    "personalised_als",
+    sql.with_(
+        sql.IX_ORDERS,
+        sql.USERS,
+        TRAIN,
+        "seen AS (SELECT USER_ID, count(DISTINCT ITEM_ID) AS held FROM train GROUP BY 1)",
+        "goods AS (SELECT count(DISTINCT ITEM_ID) AS n FROM train)",
+    )
+    + """SELECT USER_ID, r AS rank, FALSE AS seen_before
+FROM users LEFT JOIN seen USING (USER_ID), goods, range(1, 26) t(r) WHERE r <= n - coalesce(held, 0)""",
+)
 def personalised_als(spark, sf_dir):
+    """What does not hang on the factors: whole lists for everyone, without seen items."""
+
     def build() -> DataFrame:
         train, _ = split_orders(spark, sf_dir)
-        return recommend_als(fit_als(train))
+        lists = recommend_als(fit_als(train), train, users=users(spark, sf_dir))
+        marks = train.select("USER_ID", "ITEM_ID").distinct().withColumn("seen", F.lit(True))
+        marked = lists.join(marks, ["USER_ID", "ITEM_ID"], "left")
+        return marked.select("USER_ID", "rank", F.coalesce("seen", F.lit(False)).alias("seen_before"))
 
     return trained(spark, sf_dir, "lists-als", build)
 
 
-@query("tune_als")
+@query(
+    "tune_als",
+    """SELECT CAST(r AS DOUBLE) AS rank, CAST(p AS DOUBLE) AS "regParam", TRUE AS in_range
+FROM (VALUES (5), (10)) a(r), (VALUES (0.05), (0.5)) b(p)""",
+)
 def tune_als_query(spark, sf_dir):
+    """The settings of the grid, each with a figure between 0 and 1 on the held-out orders."""
     train, held = split_orders(spark, sf_dir)
-    return tune_als(train, held, {"rank": [5, 10], "regParam": [0.05, 0.5]})
+    tuned = tune_als(train, held, {"rank": [5, 10], "regParam": [0.05, 0.5]})
+    return tuned.select("rank", "regParam", F.col("ndcg_at_25").between(0, 1).alias("in_range"))
 
 
 # --- offline metrics -------------------------------------------------------

@@ -91,7 +91,7 @@ def new_data_available_query(spark, sf_dir):
     WHEN 'job-' || (l.parent % 7) = r.name THEN TRUE
     WHEN l.status IS NULL OR l.status NOT IN ('ACTIVE', 'CREATE PENDING', 'CREATE IN_PROGRESS') THEN FALSE
     WHEN coalesce(max_age, 0) <> 0 AND l.status = 'ACTIVE' THEN NOT (
-      date_diff('second', l.last_updated, TIMESTAMP '{NOW}') > max_age AND coalesce(n.data_time > l.last_updated, TRUE))
+      TIMESTAMP '{NOW}' > l.last_updated + max_age * INTERVAL 1 SECOND AND coalesce(n.data_time > l.last_updated, TRUE))
     ELSE TRUE END, FALSE) AS is_current
 FROM requests r LEFT JOIN latest l ON l.parent = r.parent LEFT JOIN newest n ON n.parent = r.parent""",
 )
@@ -129,7 +129,7 @@ def changed_since_query(spark, sf_dir):
 # --- versioned tables ------------------------------------------------------
 
 ORDERED = f"""ordered AS (
-  SELECT o_custkey AS key, o_orderpriority AS payload, o_orderdate,
+  SELECT o_custkey AS key, o_orderpriority AS payload, o_orderdate, o_orderkey,
          row_number() OVER (PARTITION BY o_custkey, o_orderdate < TIMESTAMP '{CUTOFF}' ORDER BY o_orderdate, o_orderkey) AS nth,
          row_number() OVER (PARTITION BY o_custkey, o_orderdate < TIMESTAMP '{CUTOFF}' ORDER BY o_orderdate DESC, o_orderkey DESC) AS back
   FROM orders)"""
@@ -138,16 +138,19 @@ heads AS (SELECT key, payload, nth AS latest FROM ordered WHERE o_orderdate < TI
 history AS (
   SELECT key, payload, version, CAST(NULL AS BIGINT) AS latest FROM body
   UNION ALL SELECT key, payload, 0, latest FROM heads)"""
-BATCH = f"""batch AS (SELECT key, payload FROM ordered WHERE o_orderdate >= TIMESTAMP '{CUTOFF}' AND nth = 1)"""
-UPSERTED = """judged AS (
-  SELECT coalesce(b.key, h.key) AS key, b.key IS NOT NULL AND b.payload <> 'delete' AS given, b.payload AS fresh, h.payload AS old,
-         coalesce(latest, 0) AS latest,
-         b.key IS NOT NULL AND (h.key IS NULL OR b.payload IS DISTINCT FROM h.payload) AS changed
-  FROM heads h FULL OUTER JOIN batch b ON b.key = h.key),
+UPSERTED = f"""later AS (
+  SELECT b.key, b.payload, b.nth, coalesce(h.latest, 0) AS latest, h.key IS NOT NULL AS known,
+         CASE WHEN b.nth = 1 THEN h.payload ELSE lag(b.payload) OVER (PARTITION BY b.key ORDER BY b.nth) END AS old
+  FROM ordered b LEFT JOIN heads h ON h.key = b.key WHERE b.o_orderdate >= TIMESTAMP '{CUTOFF}'),
+numbered AS (
+  SELECT *, latest + count(*) OVER (PARTITION BY key ORDER BY nth) AS version FROM later
+  WHERE (nth = 1 AND NOT known) OR payload IS DISTINCT FROM old),
+newest AS (SELECT key, max_by(payload, version) AS payload, max(version) AS latest FROM numbered GROUP BY 1),
 upserted AS (
   SELECT key, payload, version, CAST(NULL AS BIGINT) AS latest FROM body
-  UNION ALL SELECT key, CASE WHEN given THEN fresh ELSE old END, 0, latest + CASE WHEN changed THEN 1 ELSE 0 END FROM judged
-  UNION ALL SELECT key, fresh, latest + 1, NULL FROM judged WHERE changed)"""
+  UNION ALL SELECT key, payload, version, NULL FROM numbered
+  UNION ALL SELECT key, payload, 0, latest FROM newest
+  UNION ALL SELECT key, payload, 0, latest FROM heads WHERE key NOT IN (SELECT key FROM newest))"""
 SHOWN = "key, payload, CAST(version AS BIGINT) AS version, CAST(coalesce(latest, -1) AS BIGINT) AS latest"
 
 
@@ -166,19 +169,24 @@ def order_history(spark, sf_dir):
     )
 
 
-def first_later_order(spark, sf_dir):
+def later_orders(spark, sf_dir):
     late = table(spark, sf_dir, "orders").where(F.col("o_orderdate") >= ntz(CUTOFF))
-    first = F.min_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey"))
-    return late.groupBy(F.col("o_custkey").alias("key")).agg(first.alias("payload"))
+    return late.select(
+        F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("payload"), "o_orderdate", "o_orderkey"
+    )
 
 
 def _shown(df):
     return df.select("key", "payload", "version", F.coalesce("latest", F.lit(-1)).alias("latest"))
 
 
-@query("versioned_upsert", sql.with_(ORDERED, HISTORY, BATCH, UPSERTED) + f"SELECT {SHOWN} FROM upserted")
+@query("versioned_upsert", sql.with_(ORDERED, HISTORY, UPSERTED) + f"SELECT {SHOWN} FROM upserted")
 def versioned_upsert(spark, sf_dir):
-    return _shown(versions.versioned_upsert(order_history(spark, sf_dir), first_later_order(spark, sf_dir), "key", ["payload"]))
+    """Every later order is a change of its customer's task, unless it repeats the one before it."""
+    history, batch = order_history(spark, sf_dir), later_orders(spark, sf_dir)
+    return _shown(
+        versions.versioned_upsert(history, batch, "key", ["payload"], arrival=["o_orderdate", "o_orderkey"])
+    )
 
 
 @query(

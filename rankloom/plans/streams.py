@@ -8,9 +8,9 @@ from rankloom.plans import sql
 from rankloom.plans.registry import query
 from rankloom.plans.tables import counter_points
 from rankloom.plans.views import table
-from rankloom.session import fresh_path
+from rankloom.session import fresh_path, materialise
 from rankloom.streaming import feeds
-from rankloom.streaming.status import OUTPUT, status_changes, status_changes_batch, status_changes_stateful
+from rankloom.streaming.status import status_changes, status_changes_batch
 
 STATUS_CUTOFF = "2000-07-01 00:00:00"
 
@@ -38,7 +38,7 @@ def event_ingest(spark, sf_dir):
     """Every event is delivered twice and must arrive once."""
     sink, checkpoint = fresh_path(spark, "ingested"), fresh_path(spark, "checkpoint")
     twice = _events_stream(spark, sf_dir).union(_events_stream(spark, sf_dir))
-    feeds.ingest_events(twice, sink, checkpoint, "40 days").awaitTermination()
+    feeds.ingest_events(twice, sink, checkpoint).awaitTermination()
     stored = spark.read.parquet(sink)
     return stored.select(
         "event_id",
@@ -52,16 +52,14 @@ def event_ingest(spark, sf_dir):
     "windowed_counters",
     sql.with_(sql.IX_EVENTS)
     + """SELECT strftime(date_trunc('day', TS), '%Y-%m-%d') AS day, 'events' AS service, EVENT_TYPE AS name, count(*) AS total
-FROM ix_events
-WHERE date_trunc('day', TS) + INTERVAL 1 DAY <= (SELECT max(TS) FROM ix_events) - INTERVAL 1 DAY
-GROUP BY 1, 2, 3""",
+FROM ix_events GROUP BY 1, 2, 3""",
 )
 def windowed_counters(spark, sf_dir):
-    """Days the watermark (one day behind the newest event) has passed."""
+    """All days, those still open included."""
     sink, checkpoint = fresh_path(spark, "counters"), fresh_path(spark, "checkpoint")
     points = counter_points(_interactions(_events_stream(spark, sf_dir)))
     feeds.write_counters(points, sink, checkpoint).awaitTermination()
-    stored = spark.read.schema("period_start timestamp, service string, name string, total long").parquet(sink)
+    stored = feeds.stored_counters(spark, sink)
     return stored.select(F.date_format("period_start", "yyyy-MM-dd").alias("day"), "service", "name", "total")
 
 
@@ -76,6 +74,9 @@ STATUS_ROWS = (
     sql.with_(sql.RUNS)
     + f"""SELECT CAST(run_id AS VARCHAR) AS key, 'CREATING' AS status, CAST(floor(epoch(created)) AS BIGINT) AS at, -1 AS duration FROM runs
 UNION ALL
+SELECT CAST(run_id AS VARCHAR), 'UPDATING', CAST(floor(epoch(created + INTERVAL 1 HOUR)) AS BIGINT), -1
+FROM runs WHERE priority = '2-HIGH'
+UNION ALL
 SELECT CAST(run_id AS VARCHAR), 'ACTIVE', CAST(floor(epoch(last_updated)) AS BIGINT),
        CASE WHEN last_updated = created THEN -1 ELSE date_diff('second', created, last_updated) END
 FROM runs WHERE status = 'ACTIVE' AND last_updated > TIMESTAMP '{STATUS_CUTOFF}'"""
@@ -83,13 +84,21 @@ FROM runs WHERE status = 'ACTIVE' AND last_updated > TIMESTAMP '{STATUS_CUTOFF}'
 
 
 def _two_sightings(orders, shipped):
-    """Each run is seen when it starts and once more in its last state."""
+    """Each run is seen when it starts and once more in its last state; high ones are updated in between."""
     last = F.greatest("o_orderdate", F.coalesce("shipped", "o_orderdate")).cast("timestamp")
     created = F.col("o_orderdate").cast("timestamp")
     final = F.when(F.col("o_orderstatus") == "F", "ACTIVE").when(F.col("o_orderstatus") == "O", "CREATE IN_PROGRESS").otherwise("CREATE FAILED")
-    sightings = F.array(
-        F.struct(F.lit("CREATE PENDING").alias("status"), created.alias("created"), created.alias("last_updated")),
-        F.struct(final.alias("status"), created.alias("created"), last.alias("last_updated")),
+
+    def seen(status, at):
+        return F.struct(status.alias("status"), created.alias("created"), at.alias("last_updated"))
+
+    update = seen(F.lit("UPDATE IN_PROGRESS"), created + F.expr("INTERVAL 1 HOUR"))
+    sightings = F.array_compact(
+        F.array(
+            seen(F.lit("CREATE PENDING"), created),
+            F.when(F.col("o_orderpriority") == "2-HIGH", update),
+            seen(final, last),
+        )
     )
     joined = orders.join(shipped, orders.o_orderkey == shipped.l_orderkey, "left")
     return joined.select(F.col("o_orderkey").cast("string").alias("key"), F.explode(sightings).alias("seen")).select("key", "seen.*")
@@ -103,33 +112,14 @@ def _shipped(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("shipped"))
 
 
-def _orders_stream(spark, sf_dir):
-    schema = table(spark, sf_dir, "orders").schema
-    orders = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
-    return _two_sightings(orders, _shipped(spark, sf_dir))
-
-
-def _run(spark, changes):
-    """Drain a change stream with the RocksDB state store and read it back."""
-    sink, checkpoint = fresh_path(spark, "status"), fresh_path(spark, "checkpoint")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        feeds.drain(changes, sink, checkpoint).awaitTermination()
-    finally:
-        spark.conf.set(provider, before)
-    return _plain(spark.read.schema(OUTPUT).parquet(sink))
-
-
 @query("status_changes", STATUS_ROWS)
 def status_changes_query(spark, sf_dir):
-    return _run(spark, status_changes(_orders_stream(spark, sf_dir), STATUS_CUTOFF))
-
-
-@query("status_changes_stateful", STATUS_ROWS)
-def status_changes_stateful_query(spark, sf_dir):
-    return _run(spark, status_changes_stateful(_orders_stream(spark, sf_dir), STATUS_CUTOFF))
+    sink, checkpoint = fresh_path(spark, "status"), fresh_path(spark, "checkpoint")
+    schema = table(spark, sf_dir, "orders").schema
+    orders = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    shipped = materialise(_shipped(spark, sf_dir), "shipped")
+    status_changes(_two_sightings(orders, shipped), sink, checkpoint, STATUS_CUTOFF).awaitTermination()
+    return _plain(spark.read.parquet(sink))
 
 
 @query("status_changes_batch", STATUS_ROWS)
@@ -145,13 +135,18 @@ def status_changes_batch_query(spark, sf_dir):
   FROM customer) GROUP BY 1""",
 )
 def arriving_files(spark, sf_dir):
-    """One file per nation with its customers; every fifth is not valid JSON."""
+    """One file per nation with its customers. In every fifth some line is not valid JSON, the first one is."""
     root, checkpoint, counts = (fresh_path(spark, n) for n in ("arriving", "checkpoint", "outcomes"))
     customers = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_mktsegment")
-    line = F.when(F.col("c_nationkey") % 5 == 0, F.col("c_mktsegment")).otherwise(F.to_json(F.struct("c_custkey", "c_mktsegment")))
-    per_nation = customers.select(line.alias("value"), F.col("c_nationkey").alias("nation")).repartition("nation")
+    last = customers.groupBy("c_nationkey").agg(F.max("c_custkey").alias("last"))
+    broken = (F.col("c_nationkey") % 5 == 0) & (F.col("c_custkey") == F.col("last"))
+    line = F.when(broken, F.col("c_mktsegment")).otherwise(F.to_json(F.struct("c_custkey", "c_mktsegment")))
+    lines = customers.join(last, "c_nationkey").select(line.alias("value"), F.col("c_nationkey").alias("nation"), "c_custkey")
+    per_nation = lines.repartition("nation").sortWithinPartitions("nation", "c_custkey").drop("c_custkey")
     per_nation.write.partitionBy("nation").option("compression", "none").text(root)
-    valid = F.json_object_keys(F.substring_index("value", "\n", 1)).isNotNull()
-    feeds.arriving_files(spark, f"{root}/nation=*", "*.txt", checkpoint, valid, lambda batch, number: None, counts).awaitTermination()
+    valid = F.json_object_keys("value").isNotNull()
+    feeds.arriving_files(
+        spark, f"{root}/nation=*", "*.txt", checkpoint, valid, lambda batch, number: None, counts, by_line=True
+    ).awaitTermination()
     stored = spark.read.schema("outcome string, count long").parquet(f"{counts}/batch=*")
     return stored.groupBy("outcome").agg(F.sum("count").alias("files"))

@@ -11,7 +11,7 @@ from rankloom.operators import aggregates, relations
 from rankloom.operators.filters import update_supported
 from rankloom.plans import sql
 from rankloom.plans.registry import query
-from rankloom.plans.views import edges, ix_events, ix_orders, items, table, users
+from rankloom.plans.views import edges, epoch_seconds, ix_events, ix_orders, items, table, users
 
 KINDS = ["region", "nation", "customer"]
 
@@ -141,33 +141,41 @@ def duplicate_keys(spark, sf_dir):
 
 @query(
     "nest_children",
-    """WITH sizes AS (SELECT c_nationkey, CAST(ceil(count(*) / 50.0) AS BIGINT) AS parts FROM customer GROUP BY 1),
-dealt AS (
-  SELECT c_nationkey, parts, c_custkey,
-         CASE WHEN parts > 1 THEN CAST('0x' || substr(md5(CAST(c_custkey AS VARCHAR)), 1, 8) AS BIGINT) % parts ELSE 0 END AS part
-  FROM customer JOIN sizes USING (c_nationkey))
-SELECT CAST(c_nationkey AS BIGINT) AS parent, CAST(part AS BIGINT) AS part, parts, count(*) AS held,
+    """WITH numbered AS (
+  SELECT c_nationkey, c_custkey, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 50 AS part FROM customer)
+SELECT CAST(c_nationkey AS BIGINT) AS parent, part, part * 50 AS first, count(*) AS held,
        string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS children
-FROM dealt GROUP BY 1, 2, 3""",
+FROM numbered GROUP BY 1, 2""",
 )
 def nest_children(spark, sf_dir):
     nested = aggregates.nest_children(
-        users(spark, sf_dir).select(F.col("NATION").alias("parent"), "USER_ID"), "parent", ["USER_ID"], max_children=50
+        users(spark, sf_dir).select(F.col("NATION").alias("parent"), "USER_ID"), "parent", ["USER_ID"], part_size=50
     )
     ids = F.transform("children", lambda child: child["USER_ID"].cast("string"))
     return nested.select(
-        "parent", "part", "parts", F.size("children").cast("long").alias("held"), F.array_join(ids, ",").alias("children")
+        "parent", "part", "first", F.size("children").cast("long").alias("held"), F.array_join(ids, ",").alias("children")
     )
 
 
+def _marked_sql(*values: str) -> str:
+    return " || ".join(f"CASE WHEN {v} IS NULL THEN 'n' ELSE length({v}) || ':' || {v} END" for v in values)
+
+
 @query(
     "dataset_fingerprint",
-    """SELECT count(*) AS row_count, CAST(sum(CAST('0x' || substr(sha256(
-  concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderpriority)), 1, 8) AS BIGINT)) AS BIGINT) AS checksum
-FROM orders""",
+    f"""WITH texts AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS a, CAST(o_custkey AS VARCHAR) AS b, o_orderstatus AS c,
+         CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) AS d,
+         CAST(CAST(floor(epoch(o_orderdate)) AS BIGINT) AS VARCHAR) AS e, o_orderpriority AS f FROM orders)
+SELECT count(*) AS row_count, CAST(sum(CAST('0x' || substr(sha256({_marked_sql(*"abcdef")}), 1, 15) AS BIGINT))
+  % 4611686018427387904 AS BIGINT) AS checksum FROM texts""",
 )
 def dataset_fingerprint(spark, sf_dir):
-    return aggregates.fingerprint(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+    """All columns of orders; price in cents and date in seconds, as engines print those alike."""
+    orders = table(spark, sf_dir, "orders").withColumn("o_totalprice", F.round(F.col("o_totalprice") * 100).cast("long"))
+    orders = orders.withColumn("o_orderdate", epoch_seconds("o_orderdate"))
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+    return aggregates.fingerprint(orders, columns)
 
 
 @query(

@@ -38,14 +38,15 @@ def ship_package(spark: SparkSession) -> None:
 def workspace(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Where it is unset a local session gets a fresh temporary folder. A cluster
-    must name one, since a machine-local folder is lost with its machine.
+    Where it is unset, as in a quick local run, a local session gets a fresh
+    temporary folder. A cluster must name one, since a machine-local folder is
+    lost with its machine.
     """
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if shared:
         return shared.rstrip("/")
-    if not sc.master.startswith("local"):
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="rankloom-"))
     return sc.getCheckpointDir().rstrip("/")

@@ -24,24 +24,26 @@ def read_batch_input(spark: SparkSession, path: str, kind: str, id_type: str = "
 def write_batch_output(ranked: DataFrame, path: str, key: str, id: str, field: str | None = None) -> None:
     """One JSON record per input: the input and its results, best first.
 
-    ``ranked`` is at most k rows per input, so a record is bounded. Spark's
+    ``ranked`` is at most k rows per input, so a record is bounded; an input
+    whose only row has a null ``id`` column has an empty list. Spark's
     ``_SUCCESS`` file marks the folder complete.
     """
     batch_records(ranked, key, id, field).write.mode("errorifexists").json(path)
 
 
 def batch_records(ranked: DataFrame, key: str, id: str, field: str | None = None) -> DataFrame:
-    entry = F.struct(F.col("rank"), F.col(id).cast("string").alias("id"), F.col("score").cast("double").alias("score"))
+    found = F.struct(F.col("rank"), F.col(id).cast("string").alias("id"), F.col("score").cast("double").alias("score"))
+    entry = F.when(F.col(id).isNotNull(), found)  # lists leave nulls out
     ordered = F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.struct(e["id"].alias("id"), e["score"].alias("score")))
     grouped = ranked.groupBy(key).agg(ordered.alias("results"))
     return grouped.select(F.struct(F.col(key).cast("string").alias(field or key)).alias("input"), "results")
 
 
 def read_batch_output(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Output records as flat rows: key, id, score, rank."""
+    """Output records as flat rows: key, id, score, rank; nulls for an empty list."""
     schema = f"input struct<`{key}`: string>, results array<struct<id: string, score: double>>"
     records = spark.read.schema(schema).json(path)
-    flat = records.select(F.col(f"input.{key}").alias(key), F.posexplode("results").alias("place", "entry"))
+    flat = records.select(F.col(f"input.{key}").alias(key), F.posexplode_outer("results").alias("place", "entry"))
     return flat.select(
         key,
         F.col("entry.id").alias("id"),

@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Iterator
-from functools import reduce
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from rankloom.session import materialise
 from rankloom.sources.schemas import spark_schema
 
 CORRUPT = "_corrupt_line"
@@ -30,6 +27,12 @@ def newest_file(spark: SparkSession, root: str, suffix: str = ".csv") -> DataFra
     return list_files(spark, root, suffix).orderBy(F.col("modified").desc(), "path").limit(1)
 
 
+def newest_rows(spark: SparkSession, root: str, avro_json: str | dict, suffix: str = ".csv") -> DataFrame:
+    """Good rows of the newest matching file below ``root``; none if there is no file."""
+    newest = newest_file(spark, root, suffix).first()
+    return import_csv(spark, root if newest is None else newest.path, avro_json)[0]
+
+
 def _exists(spark: SparkSession, path: str, suffix: str) -> bool:
     try:
         return not list_files(spark, path, suffix).isEmpty()
@@ -48,61 +51,53 @@ def locate(spark: SparkSession, root: str, dataset: str) -> str | None:
     return single if _exists(spark, single, ".csv") else None
 
 
-def headers(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
-    """(header line, files that start with it) for every header in use.
-
-    Each task looks at the first line of its split and stops reading there; a
-    split at the start of a file holds the file's header. What reaches the
-    driver is the file list, which the reader needs there anyway.
-    """
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their file and, at the start of a file, their place in it."""
+    place = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(path)
+    return lines.select("value", F.col("_metadata.file_path").alias("file"), place.alias("place"))
 
-    def first_row(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                yield batch.head(1)
-                return
 
-    lines = spark.read.option("pathGlobFilter", "*.csv").text(path)
-    heads = lines.select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
+def _heads(lines: DataFrame) -> DataFrame:
+    """file, header, head_place: the first line of every file."""
+    first = F.min(F.struct("place", "value")).alias("first")
+    return lines.where("place IS NOT NULL").groupBy("file").agg(first).select(
+        "file", F.col("first.value").alias("header"), F.col("first.place").alias("head_place")
     )
-    first = heads.mapInPandas(first_row, "value string, file string, start long")
-    found = first.where(F.col("start") == 0).groupBy("value").agg(F.sort_array(F.collect_set("file")).alias("files"))
-    return [(row.value, row.files) for row in found.orderBy("value").collect()]
 
 
 def import_csv(spark: SparkSession, path: str, avro_json: str | dict) -> tuple[DataFrame, DataFrame]:
     """(good, bad) rows of a CSV file or folder with a declared schema.
 
-    Columns are bound by name: each header in use is read in its own order and
-    checked against its files. A row is bad if its line has too few or too many
-    fields, if a field does not parse, or if one that must be there is empty;
-    ``bad`` holds the raw fields and the line in ``_corrupt_line``.
+    Columns are bound by name, by the header of each file. The lines of all
+    files are read as one table that takes the header of its file by a join, so
+    neither a list of files nor a file has to pass through one place; only the
+    distinct headers reach the driver. A row is bad if its line has too few or
+    too many fields, if a field does not parse, or if one that must be there is
+    empty; ``bad`` holds the raw fields and the line in ``_corrupt_line``.
 
     Fields are read as text and cast here, so which rows are bad never depends
     on the columns a later step happens to use.
     """
     declared = spark_schema(avro_json)
     names = declared.fieldNames()
-    parts = []
-    for line, files in headers(spark, path):
-        order = [name.strip() for name in next(csv.reader([line.lstrip("\ufeff")]))]
+    lines = _lines(spark, path)
+    heads = materialise(_heads(lines), "csv-heads")
+    fields = None
+    for row in heads.select("header").distinct().orderBy("header").collect():
+        order = [name.strip() for name in next(csv.reader([row.header.lstrip("\ufeff")]))]
         if sorted(order) != sorted(names):
             raise ValueError(f"header {order} does not hold the declared columns {names}")
-        layout = T.StructType([T.StructField(name, T.StringType()) for name in [*order, CORRUPT]])
-        read = (
-            spark.read.schema(layout)
-            .option("header", True)
-            .option("enforceSchema", False)
-            .option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", CORRUPT)
-            .csv(files)
-        )
-        parts.append(read.select(*names, CORRUPT))
-    if not parts:
-        nothing = T.StructType([T.StructField(name, T.StringType()) for name in [*names, CORRUPT]])
-        parts = [spark.createDataFrame([], nothing)]
-    rows = reduce(DataFrame.unionByName, parts)
+        layout = ", ".join(f"`{name}` string" for name in [*order, CORRUPT])
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+        read = F.from_csv("value", layout, options)
+        same = F.struct(*[read[name].alias(name) for name in [*names, CORRUPT]])
+        fields = F.when(F.col("header") == row.header, same) if fields is None else fields.when(F.col("header") == row.header, same)
+    if fields is None:
+        fields = F.struct(*[F.lit(None).cast("string").alias(name) for name in [*names, CORRUPT]])
+    is_head = F.coalesce(F.col("place") == F.col("head_place"), F.lit(False))
+    body = lines.join(heads, "file").where(~is_head).where(F.trim("value") != "")
+    rows = body.select(fields.alias("row")).select("row.*")
 
     wrong = F.col(CORRUPT).isNotNull()
     for field in declared.fields:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,78 +14,99 @@ from rankloom.session import materialise
 
 
 def read_feed(spark: SparkSession, path: str, schema, glob: str = "*.parquet", ts: str = "ts") -> DataFrame:
-    """A folder of event files as a stream, with a UTC event time.
-
-    Watermarks need a timestamp with a zone, so zone-less times are cast.
-    """
+    """A folder of event files as a stream, with a UTC event time."""
     stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path)
     return stream.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def deduplicated(stream: DataFrame, delay: str, id: str = "event_id", ts: str = "ts") -> DataFrame:
-    """Each event once: a repeat within ``delay`` of the first is dropped, and
-    the ids remembered are those of the last ``delay`` only."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([id])
+def ingest_events(
+    stream: DataFrame, sink: str, checkpoint: str, id: str = "event_id", ts: str = "ts"
+) -> StreamingQuery:
+    """Append new events to the dataset at ``sink``; run until none is left.
+
+    Each micro-batch is freed of repeats and of the events stored before on the
+    days it touches, however late it comes; nothing is dropped for its age. A
+    batch lies in a folder of its own, so one that is run again replaces itself.
+    """
+
+    def append(batch: DataFrame, number: int) -> None:
+        fresh = batch.dropDuplicates([id]).withColumn("day", F.to_date(ts))
+        stored = stored_batches(batch.sparkSession, sink, number)
+        if stored is not None:
+            days = materialise(fresh.select("day").distinct(), "days")
+            known = stored.join(days, "day", "left_semi").select(id)
+            fresh = fresh.join(known, id, "left_anti")
+        fresh.write.partitionBy("day").mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    return each_batch(stream, checkpoint, append)
+
+
+def stored_batches(spark: SparkSession, sink: str, before: int | None = None) -> DataFrame | None:
+    """The batches at ``sink``, or those before a number; None if there are none yet."""
+    try:
+        stored = spark.read.parquet(sink)
+    except AnalysisException as missing:
+        if any(code in str(missing) for code in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
+            return None
+        raise
+    return stored if before is None else stored.where(F.col("batch") < before)
+
 
+def write_counters(stream: DataFrame, sink: str, checkpoint: str, period: str = "1 day") -> StreamingQuery:
+    """``metric_counters`` of a stream of TS, service, name, value.
 
-def ingest_events(stream: DataFrame, sink: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
-    """Append new events to the dataset at ``sink``; run until none is left."""
-    return drain(deduplicated(stream, delay), sink, checkpoint)
+    Each batch adds what it counted; ``stored_counters`` sums it up. Open
+    periods are there from their first event on, and late events count.
+    """
 
+    def append(batch: DataFrame, number: int) -> None:
+        metric_counters(batch, period).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-def windowed_counters(stream: DataFrame, period: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """``metric_counters`` as a stream over TS, service, name, value: a period
-    comes out once, when the watermark has passed its end."""
-    return metric_counters(stream.withWatermark("TS", delay), period)
+    return each_batch(stream, checkpoint, append)
 
 
-def write_counters(stream: DataFrame, sink: str, checkpoint: str, period: str = "1 day", delay: str = "1 day") -> StreamingQuery:
-    return drain(windowed_counters(stream, period, delay), sink, checkpoint)
+def stored_counters(spark: SparkSession, sink: str) -> DataFrame:
+    """period_start, service, name, total over all batches."""
+    return spark.read.parquet(sink).groupBy("period_start", "service", "name").agg(F.sum("total").alias("total"))
 
 
-def drain(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+def each_batch(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None]) -> StreamingQuery:
     return (
-        stream.writeStream.outputMode("append")
-        .format("parquet")
-        .option("checkpointLocation", checkpoint)
+        stream.writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start(sink)
+        .foreachBatch(work)
+        .start()
     )
 
 
 def refresh_popularity(stream: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
     """Keep item counts up to date between full rebuilds.
 
-    Each batch brings the new totals of the items it touched. They replace the
-    stored totals in a new numbered copy, named after the batch, so a batch
-    that is run again writes the same copy again.
+    Each batch appends the counts of the items it touched and then a commit
+    row. A batch that is run again replaces its own counts.
     """
-    totals = stream.groupBy("ITEM_ID").agg(F.count(F.lit(1)).alias("score"))
 
-    def upsert(changed: DataFrame, batch: int) -> None:
-        merged = changed.select("ITEM_ID", "score")
-        if batch > 0:
-            stored = changed.sparkSession.read.parquet(f"{store}/batch={batch - 1}")
-            merged = merged.unionByName(stored).groupBy("ITEM_ID").agg(F.max("score").alias("score"))
-        merged.write.mode("overwrite").parquet(f"{store}/batch={batch}")
+    def append(batch: DataFrame, number: int) -> None:
+        counts = batch.groupBy("ITEM_ID").agg(F.count(F.lit(1)).alias("score"))
+        counts.write.mode("overwrite").parquet(f"{store}/counts/batch={number}")
+        commit = batch.sparkSession.range(1).select(F.lit(True).alias("done"))
+        commit.write.mode("overwrite").parquet(f"{store}/commits/batch={number}")
 
-    return (
-        totals.writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(upsert)
-        .start()
-    )
+    return each_batch(stream, checkpoint, append)
 
 
 def stored_popularity(spark: SparkSession, store: str, base: DataFrame | None = None) -> DataFrame:
-    """The newest copy of the live item counts, on top of the counts of the
-    last full rebuild if ``base`` (ITEM_ID, score) is given."""
-    newest = spark.read.parquet(store).agg(F.max("batch").alias("batch")).first().batch
-    live = spark.read.parquet(f"{store}/batch={newest}")
-    if base is None:
-        return live
-    return live.unionByName(base).groupBy("ITEM_ID").agg(F.sum("score").alias("score"))
+    """The live item counts of all committed batches, on top of the counts of
+    the last full rebuild if ``base`` (ITEM_ID, score) is given."""
+    committed = spark.read.parquet(f"{store}/commits").select("batch")
+    live = spark.read.parquet(f"{store}/counts").join(committed, "batch", "left_semi").select("ITEM_ID", "score")
+    whole = live if base is None else live.unionByName(base)
+    return whole.groupBy("ITEM_ID").agg(F.sum("score").alias("score"))
+
+
+def compact_popularity(spark: SparkSession, store: str, target: str) -> None:
+    """Sum the committed batches up into a base for a fresh store."""
+    stored_popularity(spark, store).write.mode("errorifexists").parquet(target)
 
 
 def arriving_files(
@@ -95,21 +117,23 @@ def arriving_files(
     valid: Column,
     on_batch: Callable[[DataFrame, int], None],
     counts: str,
+    by_line: bool = False,
 ) -> StreamingQuery:
-    """React to new files: rows ``path``, ``value`` (the whole text) and ``ok``.
+    """React to new files: rows ``path``, ``value`` and ``ok``.
 
-    ``valid`` judges ``value``. Each batch goes to ``on_batch`` and adds a row
-    per outcome (processed, succeeded, failed) to the table at ``counts``.
+    ``valid`` judges ``value``: the whole text, which suits parameter files, or
+    with ``by_line`` each line, which suits data files of any size. A file is ok
+    if all its lines are. Each batch goes to ``on_batch`` and adds a row per
+    outcome (processed, succeeded, failed) to the table at ``counts``.
     """
-    files = spark.readStream.option("pathGlobFilter", glob).option("wholetext", True).format("text").load(root)
+    files = spark.readStream.option("pathGlobFilter", glob).option("wholetext", not by_line).format("text").load(root)
     judged = files.select(F.col("_metadata.file_path").alias("path"), "value", F.coalesce(valid, F.lit(False)).alias("ok"))
 
     def react(batch: DataFrame, number: int) -> None:
         kept = materialise(batch, "arrived")
-        on_batch(kept, number)
-        outcomes = kept.select(F.explode(F.array(F.lit("processed"), F.when(F.col("ok"), "succeeded").otherwise("failed"))).alias("outcome"))
+        per_file = materialise(kept.groupBy("path").agg(F.bool_and("ok").alias("ok")), "arrived-files")
+        on_batch(kept.drop("ok").join(per_file, "path"), number)
+        outcomes = per_file.select(F.explode(F.array(F.lit("processed"), F.when(F.col("ok"), "succeeded").otherwise("failed"))).alias("outcome"))
         outcomes.groupBy("outcome").count().coalesce(1).write.mode("overwrite").parquet(f"{counts}/batch={number}")
 
-    return (
-        judged.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(react).start()
-    )
+    return each_batch(judged, checkpoint, react)

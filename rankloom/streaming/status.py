@@ -1,124 +1,64 @@
-"""Status changes of long-running work, as streams and as a batch twin.
+"""Status changes of long-running work, as a stream and as a batch.
 
-Per key: one CREATING row when it is first seen, one ACTIVE row when it has
-become ACTIVE after the cutoff. ``status_changes`` is built from Spark's own
-deduplication state and is the one to use. ``status_changes_stateful`` picks
-the earliest of several ACTIVE rows inside one micro-batch, at the price of a
-Python call per key.
+Per key: one CREATING row, one UPDATING row when an update of it is first seen,
+and one ACTIVE row when it has become ACTIVE after the cutoff. Sightings without
+a created or last-updated time give no row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from datetime import datetime, timezone
-
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-# The status words of the two rows.
-CREATING, ACTIVE = "CREATING", "ACTIVE"
-
-OUTPUT = "key string, status string, at timestamp, duration long"
-
-
-def status_processor(cutoff: int) -> StatefulProcessor:
-    """The state function; times are microseconds since 1970. The class is
-    local so that it travels to the executors by value and they need not have
-    this package installed."""
-
-    class StatusProcessor(StatefulProcessor):
-        """Remembers per key whether its completion was reported."""
+from pyspark.sql.streaming import StreamingQuery
 
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.reported = handle.getValueState("reported", "completed boolean")
+from rankloom.streaming.feeds import each_batch, stored_batches
 
-        def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-            known = self.reported.get()
-            first, done = None, None
-            for row in rows:
-                if row.created is not None:
-                    first = row.created if first is None else min(first, row.created)
-                    if row.status == ACTIVE and row.last_updated is not None and row.last_updated > cutoff:
-                        pair = (row.last_updated, row.created)
-                        done = pair if done is None else min(done, pair)
-            completes = done is not None and not (known and known[0])
-            if known is None:
-                yield Row(key=key[0], status=CREATING, at=first, duration=None)
-            if completes:
-                yield Row(key=key[0], status=ACTIVE, at=done[0], duration=(done[0] - done[1]) // 1_000_000 or None)
-            if known is None or completes:
-                self.reported.update((completes,))
+# The status words of the three rows.
+CREATING, UPDATING, ACTIVE = "CREATING", "UPDATING", "ACTIVE"
+# Fixed value: how the status of work under update begins.
+UPDATE = "UPDATE"
 
-        def close(self) -> None:
-            pass
-
-    return StatusProcessor()
+OUTPUT = "key string, status string, at timestamp, duration long"
 
 
-def _change_rows(cutoff: str) -> Column:
-    """The changes one sighting may stand for: CREATING always, ACTIVE if ready."""
+def status_changes_batch(df: DataFrame, cutoff: str) -> DataFrame:
+    """Change rows of key, status, created, last_updated: key, status, at,
+    duration (whole seconds, null if 0). Of several sightings the earliest counts."""
+    timed = df.where("created IS NOT NULL AND last_updated IS NOT NULL")
     ready = (F.col("status") == ACTIVE) & (F.col("last_updated") > F.lit(cutoff).cast("timestamp"))
-    seconds = F.timestamp_diff("SECOND", F.col("created"), F.col("last_updated"))
-    creating = F.struct(F.lit(CREATING).alias("status"), F.col("created").alias("at"), F.lit(None).cast("long").alias("duration"))
-    active = F.struct(
-        F.lit(ACTIVE).alias("status"), F.col("last_updated").alias("at"), F.when(seconds != 0, seconds).alias("duration")
-    )
-    return F.array_compact(F.array(creating, F.when(ready & F.col("created").isNotNull(), active)))
-
-
-def status_changes(stream: DataFrame, cutoff: str, delay: str | None = None) -> DataFrame:
-    """Change rows of a stream of key, status, created, last_updated: key,
-    status, at, duration (whole seconds, null if 0).
-
-    The first change of each kind per key comes out, repeats are dropped. With
-    ``delay`` a kind is remembered for that long in event time only, so the
-    state stays bounded; without it every key is remembered.
-    """
-    source = stream if delay is None else stream.withWatermark("last_updated", delay)
-    timed = [] if delay is None else ["last_updated"]
-    changes = source.select("key", *timed, F.explode(_change_rows(cutoff)).alias("change")).select("key", *timed, "change.*")
-    if delay is None:
-        return changes.dropDuplicates(["key", "status"])
-    return changes.dropDuplicatesWithinWatermark(["key", "status"]).drop("last_updated")
-
-
-def status_changes_stateful(stream: DataFrame, cutoff: str) -> DataFrame:
-    """The same rows from a state function; of several ACTIVE rows in one
-    micro-batch the earliest counts. Needs the RocksDB state store."""
-    after = datetime.fromisoformat(cutoff).replace(tzinfo=timezone.utc)
-    times = {name: F.unix_micros(name) for name in ("created", "last_updated")}
-    changes = (
-        stream.withColumns(times)
-        .groupBy("key")
-        .transformWithState(
-            statefulProcessor=status_processor(int(after.timestamp()) * 1_000_000),
-            outputStructType="key string, status string, at long, duration long",
-            outputMode="append",
-            timeMode="None",
-        )
+    updating = F.col("status").startswith(UPDATE)
+    per_key = timed.groupBy("key").agg(
+        F.min("created").alias("first"),
+        F.min(F.when(updating, F.col("last_updated"))).alias("update"),
+        F.min(F.when(ready, F.struct("last_updated", "created"))).alias("done"),
     )
-    return changes.withColumn("at", F.timestamp_micros("at"))
+    seconds = F.timestamp_diff("SECOND", F.col("done.created"), F.col("done.last_updated"))
 
+    def row(status: str, at, duration):
+        return F.struct(F.lit(status).alias("status"), at.alias("at"), duration.cast("long").alias("duration"))
 
-def status_changes_batch(df: DataFrame, cutoff: str) -> DataFrame:
-    """The same rows from a finished table, by aggregation."""
-    ready = (F.col("status") == ACTIVE) & (F.col("last_updated") > F.lit(cutoff).cast("timestamp"))
-    done = F.min(F.when(ready & F.col("created").isNotNull(), F.struct("last_updated", "created")))
-    per_key = df.groupBy("key").agg(F.min("created").alias("first"), done.alias("done"))
-    seconds = F.timestamp_diff("SECOND", F.col("done.created"), F.col("done.last_updated"))
-    none = F.lit(None).cast("long")
     rows = F.array_compact(
         F.array(
-            F.struct(F.lit(CREATING).alias("status"), F.col("first").alias("at"), none.alias("duration")),
-            F.when(
-                F.col("done").isNotNull(),
-                F.struct(
-                    F.lit(ACTIVE).alias("status"),
-                    F.col("done.last_updated").alias("at"),
-                    F.when(seconds != 0, seconds).alias("duration"),
-                ),
-            ),
+            row(CREATING, F.col("first"), F.lit(None)),
+            F.when(F.col("update").isNotNull(), row(UPDATING, F.col("update"), F.lit(None))),
+            F.when(F.col("done").isNotNull(), row(ACTIVE, F.col("done.last_updated"), F.when(seconds != 0, seconds))),
         )
     )
     return per_key.select("key", F.explode(rows).alias("change")).select("key", "change.*")
+
+
+def status_changes(stream: DataFrame, sink: str, checkpoint: str, cutoff: str) -> StreamingQuery:
+    """Append the change rows of a stream of sightings to ``sink``.
+
+    Within a micro-batch the earliest sighting of each kind counts, and kinds
+    stored before are left out, so no state is kept and none expires.
+    """
+
+    def append(batch: DataFrame, number: int) -> None:
+        changes = status_changes_batch(batch, cutoff)
+        stored = stored_batches(batch.sparkSession, sink, number)
+        if stored is not None:
+            changes = changes.join(stored.select("key", "status"), ["key", "status"], "left_anti")
+        changes.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    return each_batch(stream, checkpoint, append)

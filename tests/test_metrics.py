@@ -89,10 +89,8 @@ def planted(spark):
 
 def test_factors_find_planted_groups(spark, planted):
     train, held = planted
-    seen_last = recommend_als(fit_als(train, {"alpha": 10.0}), 60).join(train, ["USER_ID", "ITEM_ID"], "left_anti")
-    from rankloom.operators.ranking import topk
-
-    personal = topk(seen_last.drop("rank"), 25, ["USER_ID"])
+    personal = recommend_als(fit_als(train, {"alpha": 10.0}), train, 25)
+    assert personal.join(train, ["USER_ID", "ITEM_ID"], "left_semi").isEmpty()
     top = popularity(train, 25).collect()
     users = [r.USER_ID for r in train.select("USER_ID").distinct().collect()]
     same = lists_of(spark, {u: [r.ITEM_ID for r in top] for u in users})
@@ -103,6 +101,15 @@ def test_factors_find_planted_groups(spark, planted):
     assert ndcg(personal) > ndcg(same)
 
 
+def test_cold_users_get_the_popular_list(spark, planted):
+    train, _ = planted
+    asked = spark.createDataFrame([(1,), (999,)], "USER_ID long")
+    lists = recommend_als(fit_als(train), train, 5, asked)
+    got = {u: [r.ITEM_ID for r in lists.where(F.col("USER_ID") == u).orderBy("rank").collect()] for u in (1, 999)}
+    assert len(got[1]) == 5 and got[999] == [r.ITEM_ID for r in popularity(train, 5).collect()]
+    assert lists.select("USER_ID").distinct().count() == 2
+
+
 def test_tuning_reports_every_setting(spark, planted):
     train, held = planted
     got = tune_als(train, held, {"rank": [2, 4], "regParam": [0.1]}).collect()

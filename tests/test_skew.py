@@ -7,11 +7,13 @@ shuffles. With small limits that shows on small data.
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankloom.operators import neighbours
 from rankloom.operators.aggregates import fingerprint, nest_children
 from rankloom.operators.coldstart import cold_items
+from rankloom.operators.ranking import topk
 from rankloom.operators.relations import enrich, ownership
 from rankloom.session import materialise
 
@@ -69,11 +71,24 @@ def test_enrichment(spark, small_limits, hot_item):
 
 
 def test_children_of_a_hot_parent(spark, small_limits, hot_item):
-    nested = nest_children(hot_item, "ITEM_ID", ["USER_ID"], 500)
-    rows = nested.collect()
+    """The numbering spreads a parent over ranges, so no part and no window holds all of it."""
+    rows = nest_children(hot_item, "ITEM_ID", ["USER_ID"], 500).collect()
     assert sum(len(r.children) for r in rows) == 60000
-    assert max(len(r.children) for r in rows) < 700
-    assert "skew=true" in nested._jdf.queryExecution().executedPlan().toString()
+    assert max(len(r.children) for r in rows) == 500
+    assert all(r.first == 500 * r.part for r in rows)
+
+
+@pytest.mark.parametrize("k", [3, 5000])
+def test_top_k_of_any_depth_is_cut_before_the_groups_meet(spark, hot_item, k):
+    scored = hot_item.withColumn("score", F.pmod(F.hash("USER_ID"), F.lit(1000)))
+    ranked = topk(scored, k, ["ITEM_ID"], id="USER_ID")
+    cuts = ranked._jdf.queryExecution().executedPlan().toString().count("row_number")
+    assert cuts >= 2
+    got = ranked.groupBy("ITEM_ID").agg(F.count("*").alias("n"), F.max("rank").alias("r"), F.sum("score").alias("s"))
+    whole = Window.partitionBy("ITEM_ID").orderBy(F.col("score").desc(), "USER_ID")
+    want = scored.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k)
+    want = want.groupBy("ITEM_ID").agg(F.count("*").alias("n"), F.max("rank").alias("r"), F.sum("score").alias("s"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_descendants_of_a_hot_parent(spark, small_limits, hot_item):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.session import fresh_path
 from rankloom.streaming import feeds
-from rankloom.streaming.status import OUTPUT, status_changes, status_changes_batch, status_changes_stateful
+from rankloom.streaming.status import status_changes, status_changes_batch
 
 EVENTS = "event_id long, ts timestamp, user_id long, ITEM_ID long"
 START = datetime(2024, 1, 1)
@@ -31,29 +31,28 @@ def test_ingest_in_any_order_and_after_restart(spark):
     first = make(range(50), rng)
     rng.shuffle(first)
     add(spark, source, first + first[:10])
-    feeds.ingest_events(feed(spark, source), sink, checkpoint, "30 days").awaitTermination()
+    feeds.ingest_events(feed(spark, source), sink, checkpoint).awaitTermination()
     add(spark, source, make(range(40, 80), rng))
-    feeds.ingest_events(feed(spark, source), sink, checkpoint, "30 days").awaitTermination()
-    assert sorted(r.event_id for r in spark.read.parquet(sink).collect()) == list(range(80))
+    add(spark, source, [(900, START - timedelta(days=400), 1, 1), (901, START - timedelta(days=400), 1, 1)])
+    feeds.ingest_events(feed(spark, source), sink, checkpoint).awaitTermination()
+    assert sorted(r.event_id for r in spark.read.parquet(sink).collect()) == [*range(80), 900, 901]
 
 
-def test_counters_come_out_once_the_day_is_over(spark):
+def test_counters_hold_open_periods_and_late_events(spark):
     source, sink, checkpoint = (fresh_path(spark, n) for n in ("source", "sink", "checkpoint"))
     rows = make(range(600), random.Random(2))
     random.Random(3).shuffle(rows)
-    add(spark, source, rows)
-    points = feed(spark, source).select(
-        F.col("ts").alias("TS"), F.lit("s").alias("service"), F.lit("n").alias("name"), F.lit(1).alias("value")
-    )
-    feeds.write_counters(points, sink, checkpoint, "1 day", "1 hour").awaitTermination()
-    got = {r.period_start: r.total for r in spark.read.parquet(sink).collect()}
-    end = max(r[1] for r in rows) - timedelta(hours=1)
     want = {}
-    for row in rows:
-        day = row[1].replace(hour=0, minute=0)
-        if day + timedelta(days=1) <= end:
+    for part in (rows[:300], rows[300:], [(1000, START - timedelta(days=90), 1, 1)]):
+        add(spark, source, part)
+        points = feed(spark, source).select(
+            F.col("ts").alias("TS"), F.lit("s").alias("service"), F.lit("n").alias("name"), F.lit(1).alias("value")
+        )
+        feeds.write_counters(points, sink, checkpoint, "1 day").awaitTermination()
+        for row in part:
+            day = row[1].replace(hour=0, minute=0)
             want[day] = want.get(day, 0) + 1
-    assert got == want
+    assert {r.period_start: r.total for r in feeds.stored_counters(spark, sink).collect()} == want
 
 
 def test_live_popularity_follows_new_files(spark):
@@ -82,35 +81,41 @@ def sightings():
         [("a", "CREATE PENDING", at, at), ("b", "CREATE PENDING", at, at), ("old", "ACTIVE", at, at - timedelta(days=1))],
         [("a", "CREATE IN_PROGRESS", at, at + timedelta(hours=1)), ("b", "ACTIVE", at, at + timedelta(hours=2))],
         [("a", "ACTIVE", at, at + timedelta(hours=3)), ("b", "ACTIVE", at, at + timedelta(hours=9)), ("c", "ACTIVE", at + timedelta(hours=5), at + timedelta(hours=5))],
-        [("a", "ACTIVE", at, at + timedelta(hours=8)), ("n", "ACTIVE", None, at + timedelta(hours=8))],
+        [("a", "UPDATE PENDING", at, at + timedelta(hours=4)), ("a", "UPDATE IN_PROGRESS", at, at + timedelta(hours=6)), ("a", "ACTIVE", at, at + timedelta(hours=8)), ("n", "ACTIVE", None, at + timedelta(hours=8))],
     ]
 
 
-def run_status(spark, build):
-    source, sink, checkpoint = (fresh_path(spark, n) for n in ("source", "sink", "checkpoint"))
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        for rows in sightings():
-            add(spark, source, rows, SIGHTING)
-            stream = spark.readStream.schema(SIGHTING).parquet(source)
-            feeds.drain(build(stream), sink, checkpoint).awaitTermination()
-    finally:
-        spark.conf.set(provider, before)
-    return sorted((tuple(r) for r in spark.read.schema(OUTPUT).parquet(sink).collect()), key=str)
-
-
 def test_status_changes_over_restarts(spark):
     cutoff = str(START)
     whole = spark.createDataFrame([r for rows in sightings() for r in rows], SIGHTING)
     want = sorted((tuple(r) for r in status_changes_batch(whole, cutoff).collect()), key=str)
     assert ("b", "ACTIVE", START + timedelta(hours=2), 7200) in want
     assert ("c", "ACTIVE", START + timedelta(hours=5), None) in want
+    assert ("a", "UPDATING", START + timedelta(hours=4), None) in want
     assert not any(r[0] == "old" and r[1] == "ACTIVE" for r in want)
-    assert run_status(spark, lambda s: status_changes(s, cutoff)) == want
-    assert run_status(spark, lambda s: status_changes(s, cutoff, "30 days")) == want
-    assert run_status(spark, lambda s: status_changes_stateful(s, cutoff)) == want
+    assert not any(r[0] == "n" for r in want)
+    source, sink, checkpoint = (fresh_path(spark, n) for n in ("source", "sink", "checkpoint"))
+    for rows in sightings():
+        add(spark, source, rows, SIGHTING)
+        stream = spark.readStream.schema(SIGHTING).parquet(source)
+        status_changes(stream, sink, checkpoint, cutoff).awaitTermination()
+    stored = spark.read.parquet(sink).select("key", "status", "at", "duration")
+    assert sorted((tuple(r) for r in stored.collect()), key=str) == want
+
+
+def test_files_are_judged_by_all_their_lines(spark, tmp_path):
+    checkpoint, counts = fresh_path(spark, "checkpoint"), fresh_path(spark, "counts")
+    (tmp_path / "good.json").write_text('{"x": 1}\n{"x": 2}\n')
+    (tmp_path / "late.json").write_text('{"x": 1}\n' * 50 + "{broken\n")
+    lines = []
+    valid = F.json_object_keys("value").isNotNull()
+    feeds.arriving_files(
+        spark, str(tmp_path), "*.json", checkpoint, valid, lambda b, n: lines.extend(b.collect()), counts, by_line=True
+    ).awaitTermination()
+    assert {r.path.rsplit("/", 1)[-1]: r.ok for r in lines} == {"good.json": True, "late.json": False}
+    assert len(lines) == 53
+    stored = {r.outcome: r["count"] for r in spark.read.parquet(counts).collect()}
+    assert stored == {"processed": 2, "succeeded": 1, "failed": 1}
 
 
 def test_arriving_files_are_counted_once(spark, tmp_path):

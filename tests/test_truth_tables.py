@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import defaults, documents, names, times
 from rankloom.operators.aggregates import dataset_rules, fingerprint, nest_children, well_formed_tags
+from rankloom.operators.coldstart import update_new_items
 from rankloom.operators.filters import changed_since, update_supported
 from rankloom.operators.ranking import latest_per_parent
 from rankloom.operators.relations import ownership, ownership_any_depth, reconcile
@@ -65,6 +66,8 @@ DAY = 86400
         ("FAILED", 1, None, None, "a", "b", False),
         ("FAILED", 1, DAY, None, "a", "a", True),
         ("ACTIVE", 2, DAY, None, "a", "b", False),
+        ("ACTIVE", 1 + 0.5 / DAY, DAY, None, "a", "b", False),
+        ("ACTIVE", 1 - 0.5 / DAY, DAY, None, "a", "b", True),
         ("ACTIVE", 2, DAY, 1, "a", "b", False),
         ("ACTIVE", 2, DAY, 3, "a", "b", True),
         ("ACTIVE", 1, DAY, 0, "a", "b", True),
@@ -202,11 +205,11 @@ def test_ownership_by_depth_and_without(spark):
 
 def test_hot_parent_is_spread_but_whole(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 400, 0).otherwise(F.col("id")).alias("parent"), F.col("id").alias("child"))
-    nested = nest_children(df, "parent", ["child"], max_children=50).collect()
-    hot = [r for r in nested if r.parent == 0]
-    assert len(hot) == hot[0].parts == 8
-    assert sorted(c.child for r in hot for c in r.children) == list(range(400))
-    assert all(r.parts == 1 and len(r.children) == 1 for r in nested if r.parent != 0)
+    nested = nest_children(df, "parent", ["child"], part_size=50).collect()
+    hot = sorted((r for r in nested if r.parent == 0), key=lambda r: r.part)
+    assert [r.first for r in hot] == [0, 50, 100, 150, 200, 250, 300, 350]
+    assert [c.child for r in hot for c in r.children] == list(range(400))
+    assert all(r.part == 0 and len(r.children) == 1 for r in nested if r.parent != 0)
 
 
 def test_fingerprint_sees_content_and_not_order(spark):
@@ -214,3 +217,21 @@ def test_fingerprint_sees_content_and_not_order(spark):
     first = fingerprint(df, ["id", "t"]).first()
     assert first == fingerprint(df.orderBy(F.col("id").desc()).repartition(7), ["id", "t"]).first()
     assert first != fingerprint(df.where("id <> 5"), ["id", "t"]).first()
+
+
+def test_fingerprint_sees_moved_values(spark):
+    schema = "a string, b string, c string"
+    rows = [("a", None, "b"), ("a", "b", None), ("a|b", "", None), ("a", "|b", None), (None, "a", "b"), ("", "a", "b")]
+    sums = {fingerprint(spark.createDataFrame([r], schema), ["a", "b", "c"]).first().checksum for r in rows}
+    assert len(sums) == len(rows)
+
+
+def test_update_with_new_interactions_only(spark):
+    items = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "ITEM_ID long, kind string")
+    old = spark.createDataFrame([(7, 1), (8, 3)], "USER_ID long, ITEM_ID long")
+    new = old.unionByName(spark.createDataFrame([(8, 2)], "USER_ID long, ITEM_ID long"))
+    existing = spark.createDataFrame([(7, 1, 1, 1)], "USER_ID long, ITEM_ID long, score long, rank long")
+    got = update_new_items(existing, items, new, items, "kind", versioned_ix=old).collect()
+    assert {(r.USER_ID, r.ITEM_ID) for r in got if r.origin == "update"} == {(7, 2), (8, 2)}
+    with pytest.raises(ValueError, match="nothing was added"):
+        update_new_items(existing, items, old, items, "kind", versioned_ix=old)

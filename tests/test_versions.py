@@ -51,10 +51,31 @@ def test_pointer_to_another_solution_fails(spark):
     good = spark.createDataFrame([("c", "s", "s/2")], "name string, solution string, version_key string")
     assert [r.ITEM_ID for r in versions.serve_current(results, good).collect()] == [11]
     bad = spark.createDataFrame([("c", "s", "other/2")], "name string, solution string, version_key string")
-    with pytest.raises(Exception, match="expected a version of s but got other"):
+    with pytest.raises(Exception, match="must serve s, not other"):
         versions.serve_current(results, bad).collect()
 
 
+def test_pointer_to_an_absent_version_fails(spark):
+    results = spark.createDataFrame([("s", 1, 10)], "solution string, version long, ITEM_ID long")
+    absent = spark.createDataFrame([("c", "s", "s/7")], "name string, solution string, version_key string")
+    with pytest.raises(Exception, match="without results"):
+        versions.serve_current(results, absent).collect()
+
+
+def test_every_change_of_a_key_in_one_batch_is_a_version(spark):
+    table = versions.first_versions(batch(spark, ("a", "c", "p")), "name", COMPARE)
+    order = "name string, schedule string, payload string, at long"
+    changes = [("a", "c", "p", 1), ("a", "c", "q", 2), ("a", "c", "q", 3), ("a", "c", "p", 4), ("n", "c", "x", 5), ("n", "c", "y", 4)]
+    more = spark.createDataFrame(changes, order)
+    got = versions.versioned_upsert(table, more, "name", COMPARE, arrival=["at"])
+    assert rows(got) == [
+        ("a", 0, "c", "p", 3), ("a", 1, "c", "p", None), ("a", 2, "c", "q", None), ("a", 3, "c", "p", None),
+        ("n", 0, "c", "x", 2), ("n", 1, "c", "y", None), ("n", 2, "c", "x", None),
+    ]
+    with pytest.raises(Exception, match="two rows without an order"):
+        versions.versioned_upsert(table, more, "name", COMPARE).collect()
+
+
 def test_full_import_replaces_and_keeps_old_snapshot(spark):
     root = fresh_path(spark, "snapshots")
     assert full_import(spark.range(3), root, "items") == 1
