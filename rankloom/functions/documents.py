@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,16 +38,19 @@ def json_paths(df: DataFrame, json_col: str, paths: dict[str, str | list[str]])
     return df.withColumns(columns)
 
 
-def json_list(text: Column, path: str) -> Column:
+def json_list(text: Column, path: str, where: Callable[[Column], Column] | None = None) -> Column:
     """The present values at a path with ``[*]`` steps, as one flat array.
 
     ``$.solutions[*].campaigns[*].name`` opens each list in turn; an absent
-    list gives an empty array.
+    list gives an empty array. ``where`` judges the entries of the last list, as
+    JSON text, and only those it holds for are kept.
     """
     *lists, last = path.removeprefix("$").split("[*]")
     found = F.array(text)
     for step in lists:
         found = F.flatten(F.transform(found, _opened(f"${step}")))
+    if where is not None:
+        found = F.filter(found, where)
     if last:
         found = F.transform(found, lambda entry: F.get_json_object(entry, f"${last}"))
     return F.filter(found, lambda value: value.isNotNull())

@@ -66,14 +66,11 @@ def changed_since(
     )
 
 
-# Recipes that accept incremental updates, found inside a recipe's name.
-INCREMENTAL = ("hrnn-coldstart", "user-personalization")
-
-
 def update_supported(
-    df: DataFrame, recipe: str = "recipe", update: str = "update_schedule", incremental: Iterable[str] = INCREMENTAL
+    df: DataFrame, incremental: Iterable[str], recipe: str = "recipe", update: str = "update_schedule"
 ) -> DataFrame:
-    """Rows whose recipe cannot take the incremental update they ask for."""
+    """Rows whose recipe cannot take the incremental update they ask for: none
+    of the ``incremental`` names is part of it."""
     asks = F.coalesce(F.col(update), F.lit("")) != ""
     able = F.lit(False)
     for name in incremental:

@@ -41,8 +41,9 @@ def cosine(c, n_a, n_b):
 def similar_items(ix: DataFrame, k: int = 25, heavy_user_items: int = 2000) -> DataFrame:
     """Best ``k`` neighbours of each item: ITEM_ID, SIMILAR_ID, score, rank.
 
-    ``heavy_user_items`` only moves work between the two ways of counting; it
-    does not change the result.
+    ``heavy_user_items`` only moves work between the two ways of counting. Users
+    above it are compared by profiles, which are told apart by size and two
+    64-bit hashes: the result is the same unless profiles collide in all three.
     """
     chosen = materialise(ix.select("USER_ID", "ITEM_ID").distinct(), "chosen")
     held = chosen.groupBy("USER_ID").agg(F.count(F.lit(1)).alias("held"))

@@ -53,23 +53,31 @@ def ownership(edges: DataFrame, roots: DataFrame, kinds: list[str] | None = None
     return reduce(DataFrame.unionByName, found)
 
 
-def ownership_any_depth(edges: DataFrame, max_doublings: int = 40) -> DataFrame:
+def ownership_any_depth(edges: DataFrame) -> DataFrame:
     """The top owner of every child, for trees of unknown depth: owner, child.
 
-    Each round joins the table with itself, so the steps covered double and a
-    tree of depth d takes about log2(d) rounds. Every round is written to the
-    shared folder, so a lost executor costs one round at most.
+    Each round lets a row look up its owner's owner, so the steps covered double
+    and a tree of depth d takes about log2(d) rounds. Rows that have arrived are
+    written once and only looked up from then on. Every round is written to the
+    shared folder, so a lost executor costs one round at most. A row that comes
+    back to itself, or moves for longer than any tree of so many edges allows,
+    is on a cycle, which is an error.
     """
-    reach = materialise(edges.select(F.col("parent").alias("owner"), "child"), "owners")
-    for _ in range(max_doublings):
-        above = reach.select(F.col("child").alias("owner"), F.col("owner").alias("higher"))
-        doubled = reach.join(above, "owner", "left").select(
+    active = materialise(edges.select(F.col("parent").alias("owner"), "child"), "owners")
+    arrived: list[DataFrame] = []
+    for _ in range(active.count().bit_length() + 1):
+        above = reduce(DataFrame.unionByName, [*arrived, active])
+        above = above.select(F.col("child").alias("owner"), F.col("owner").alias("higher"))
+        doubled = active.join(above, "owner", "left").select(
             F.coalesce("higher", "owner").alias("owner"), "child", F.col("higher").isNotNull().alias("moved")
         )
         doubled = materialise(doubled, "owners")
-        reach = doubled.select("owner", "child")
-        if doubled.where("moved").isEmpty():
-            return reach
+        arrived.append(doubled.where("NOT moved").select("owner", "child"))
+        active = doubled.where("moved").select("owner", "child")
+        if active.isEmpty():
+            return reduce(DataFrame.unionByName, arrived)
+        if not active.where("owner = child").isEmpty():
+            break
     raise ValueError("the edges hold a cycle")
 
 

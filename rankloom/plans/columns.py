@@ -156,11 +156,12 @@ def json_roundtrip(spark, sf_dir):
     """SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS item,
        CASE WHEN event_type = 'error' THEN 'late' ELSE event_type END AS kind,
        CASE WHEN event_type = 'click' THEN json_extract(props, '$.k') || ',' || event_type
-            ELSE CAST(json_extract(props, '$.k') AS VARCHAR) END AS jobs
+            ELSE CAST(json_extract(props, '$.k') AS VARCHAR) END AS jobs,
+       CASE WHEN event_type = 'click' THEN event_type ELSE '' END AS clicks
 FROM events""",
 )
 def json_paths(spark, sf_dir):
-    """Plain path, fallback path, and a list of values as one flat list."""
+    """Plain path, fallback path, a list of values as one flat list, and those entries a condition holds for."""
     late = F.col("event_type") == "error"
     item = F.get_json_object("props", "$.k")
     doc = F.struct(
@@ -174,7 +175,12 @@ def json_paths(spark, sf_dir):
     docs = table(spark, sf_dir, "events").select("event_id", F.to_json(doc).alias("doc"))
     found = documents.json_paths(docs, "doc", {"item": "$.props.k", "kind": ["$.update.kind", "$.kind"]})
     jobs = documents.json_list(F.col("doc"), "$.jobs[*].name")
-    return found.select("event_id", "item", "kind", F.array_join(jobs, ",").alias("jobs"))
+    clicks = documents.json_list(
+        F.col("doc"), "$.jobs[*].name", where=lambda job: F.get_json_object(job, "$.name") == "click"
+    )
+    return found.select(
+        "event_id", "item", "kind", F.array_join(jobs, ",").alias("jobs"), F.array_join(clicks, ",").alias("clicks")
+    )
 
 
 @query(

@@ -282,5 +282,6 @@ def update_supported_query(spark, sf_dir):
     )
     schedule = F.when(F.col("p_size") > 25, "cron(0 * * * ? *)").when(F.col("p_size") > 12, "")
     return update_supported(
-        table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), recipe.alias("recipe"), schedule.alias("update_schedule"))
+        table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), recipe.alias("recipe"), schedule.alias("update_schedule")),
+        ("hrnn-coldstart", "user-personalization"),
     )

@@ -1,25 +1,28 @@
 """Dataset snapshots and versioned results in one shared folder.
 
-A table is written under its version number first; only then a row naming that
-version is appended to the commit log. Readers take the newest committed
-version, so they never see half an import. One writer per name at a time.
+A table is written to a folder of its own first; only then a row that names it
+as the next version is added to the commit log. Readers take the newest
+committed version, so they never see half an import. A version can be committed
+once: of two writers that meant to follow the same version the later one fails
+and changes nothing.
 """
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOG_SCHEMA = "name string, version long, status string, created timestamp, last_updated timestamp"
+LOG_SCHEMA = "name string, version long, status string, created timestamp, last_updated timestamp, folder string"
 
 
 def commit_log(spark: SparkSession, root: str) -> DataFrame:
-    """All commits below ``root``: a run log of name, version, status, times."""
+    """All commits below ``root``: a run log of name, version, status, times, folder."""
     try:
-        return spark.read.schema(LOG_SCHEMA).parquet(f"{root}/_commits")
+        return spark.read.schema(LOG_SCHEMA).parquet(f"{root}/_commits/*")
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" in str(missing):
             return spark.createDataFrame([], LOG_SCHEMA)
@@ -33,28 +36,33 @@ def current_version(spark: SparkSession, root: str, name: str) -> int:
     return log.agg(F.coalesce(F.max("version"), F.lit(0)).alias("version")).first().version
 
 
-def write_version(df: DataFrame, root: str, name: str, now: datetime | None = None) -> int:
-    """Write ``df`` as the next version of ``name`` and commit it."""
+def write_version(df: DataFrame, root: str, name: str, now: datetime | None = None, after: int | None = None) -> int:
+    """Write ``df`` as the next version of ``name`` and commit it.
+
+    ``after`` is the version the caller has read; it is an error if it is no
+    longer the newest one.
+    """
     spark = df.sparkSession
-    version = current_version(spark, root, name) + 1
+    newest = current_version(spark, root, name)
+    if after is not None and after != newest:
+        raise ValueError(f"{name} is at version {newest}, not {after} any more")
+    version = newest + 1
+    folder = f"{name}/version={version}-{uuid.uuid4().hex}"
     started = now or datetime.now(timezone.utc)
-    df.write.mode("overwrite").parquet(version_path(root, name, version))
+    df.write.mode("errorifexists").parquet(f"{root}/{folder}")
     finished = now or datetime.now(timezone.utc)
-    row = [(name, version, "ACTIVE", started, finished)]
-    spark.createDataFrame(row, LOG_SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/_commits")
+    row = spark.createDataFrame([(name, version, "ACTIVE", started, finished, folder)], LOG_SCHEMA)
+    row.coalesce(1).write.mode("errorifexists").parquet(f"{root}/_commits/{name}.{version}")
     return version
 
 
-def version_path(root: str, name: str, version: int) -> str:
-    return f"{root}/{name}/version={version}"
-
-
 def read_snapshot(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
     """A version of ``name``, by default the newest committed one."""
     chosen = version or current_version(spark, root, name)
-    if not chosen:
-        raise ValueError(f"{name} has never been imported")
-    return spark.read.parquet(version_path(root, name, chosen))
+    log = commit_log(spark, root).where((F.col("name") == name) & (F.col("version") == chosen)).first()
+    if log is None:
+        raise ValueError(f"{name} has no version {chosen}" if chosen else f"{name} has never been imported")
+    return spark.read.parquet(f"{root}/{log.folder}")
 
 
 def full_import(df: DataFrame, root: str, dataset: str) -> int:

@@ -134,10 +134,11 @@ def test_batch_jobs_from_a_table_and_from_a_function(spark):
     things = spark.createDataFrame([(3,), (4,)], "ITEM_ID long")
     scores = affinity(ix, near)
     table = rows(batch_inference(people, scores, ix, ("view",), 3))
-    assert table and {r[0] for r in table} <= {1, 2}
+    assert {r[0] for r in table} == {1, 2, 999}
+    assert [r for r in table if r[0] == 999] == [(999, None, None, None)]
     assert table == rows(batch_inference(people, lambda asked: affinity(ix, near, users=asked), ix, ("view",), 3))
     table = rows(batch_segment(things, scores, k=3))
-    assert table and {r[0] for r in table} <= {3, 4}
+    assert {r[0] for r in table} == {3, 4}
     assert table == rows(batch_segment(things, lambda asked: affinity(ix, near, items=asked), k=3))
 
 

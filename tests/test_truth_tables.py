@@ -136,6 +136,8 @@ def test_json_lists_and_keys(spark):
     assert one(spark, text, lambda c: documents.json_list(c, "$.solutions[*].name")) == ["a", "b"]
     assert one(spark, text, lambda c: documents.json_list(c, "$.solutions[*].campaigns[*].name")) == ["x", "y"]
     assert one(spark, text, lambda c: documents.json_list(c, "$.absent[*].name")) == []
+    only_b = documents.json_list(F.col("v"), "$.solutions[*].name", lambda e: F.get_json_object(e, "$.name") == "b")
+    assert one(spark, text, lambda c: only_b) == ["b"]
     allowed = {"solutions": [{"name": None, "campaigns": [{"name": None}]}], "tags": None}
     assert one(spark, text, lambda c: documents.bad_keys(c, allowed)) == ["zzz", "solutions[1].odd"]
 
@@ -174,7 +176,7 @@ def test_rules_report_everything_and_empty_tables(spark):
 def test_update_support(spark):
     rows = [("valid", "user-personalization", "cron"), ("valid", "sims", None), ("valid", "hrnn-coldstart", "cron"), ("invalid", "sims", "cron")]
     df = spark.createDataFrame(rows, "name string, recipe string, update_schedule string")
-    assert [r.name for r in update_supported(df).collect()] == ["invalid"]
+    assert [r.name for r in update_supported(df, ("hrnn-coldstart", "user-personalization")).collect()] == ["invalid"]
 
 
 def test_newest_child_and_missing_parent(spark):
@@ -201,6 +203,10 @@ def test_ownership_by_depth_and_without(spark):
     want = [("r", "a"), ("r", "b"), ("r", "c"), ("r", "d"), ("s", "e")]
     assert sorted((r.owner, r.child) for r in ownership(edges, roots, depth=4).collect()) == want
     assert sorted(tuple(r) for r in ownership_any_depth(edges).collect()) == want
+    for ring in (["a", "b"], ["a", "b", "c"]):
+        cycle = spark.createDataFrame(list(zip(ring, ring[1:] + ring[:1])), "parent string, child string")
+        with pytest.raises(ValueError, match="cycle"):
+            ownership_any_depth(cycle)
 
 
 def test_hot_parent_is_spread_but_whole(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankloom.operators import versions
 from rankloom.operators.training import retrain_full
 from rankloom.session import fresh_path
-from rankloom.sources.snapshots import commit_log, full_import, read_snapshot
+from rankloom.sources.snapshots import commit_log, full_import, read_snapshot, write_version
 
 COMPARE = ["schedule", "payload"]
 
@@ -76,6 +76,16 @@ def test_every_change_of_a_key_in_one_batch_is_a_version(spark):
         versions.versioned_upsert(table, more, "name", COMPARE).collect()
 
 
+def test_a_version_is_committed_once(spark):
+    root = fresh_path(spark, "snapshots")
+    assert write_version(spark.range(3), root, "t", after=0) == 1
+    with pytest.raises(ValueError, match="not 0 any more"):
+        write_version(spark.range(9), root, "t", after=0)
+    assert read_snapshot(spark, root, "t").count() == 3
+    with pytest.raises(ValueError, match="no version 7"):
+        read_snapshot(spark, root, "t", 7)
+
+
 def test_full_import_replaces_and_keeps_old_snapshot(spark):
     root = fresh_path(spark, "snapshots")
     assert full_import(spark.range(3), root, "items") == 1
