@@ -138,7 +138,8 @@ _SENTENCES = [
     ("ogl", "open government", r"open government licen[cs]e", 0.8),
     ("ogl", "crown copyright", r"crown copyright", 0.7),
     ("cecill", "cecill", r"cecill", 0.6),
-    ("etalab", "etalab", r"licence ouverte(?: etalab)?|etalab", 0.7),
+    ("etalab", "licence ouverte", r"licence ouverte(?: etalab)?", 0.7),
+    ("etalab", "etalab", r"etalab", 0.7),
     ("dl-de", "datenlizenz deutschland", r"datenlizenz deutschland", 0.8),
     ("copyright", "copyright", r"copyright (?:c )?(?:19|20)\d\d", 0.5),
     ("copyright", "copyright", r"(?:this|the) (?:work|document|article|book|text) is protected by copyright", 0.6),
@@ -149,7 +150,7 @@ _SENTENCES = [
     ("proprietary", "proprietary", r"proprietary and confidential", 0.8),
     ("proprietary", "confidential", r"confidential information of", 0.6),
     ("proprietary", "prior written permission", r"(?:may not|no part of .{1,60}? may) be reproduced .{0,120}?without .{0,40}?prior written permission", 0.85),
-    ("proprietary", "unauthorized", r"unauthori[sz]ed (?:copying|use|reproduction|distribution) .{0,80}?(?:is )?(?:strictly )?prohibited", 0.8),
+    ("proprietary", "unauthori", r"unauthori[sz]ed (?:copying|use|reproduction|distribution) .{0,80}?(?:is )?(?:strictly )?prohibited", 0.8),
     ("proprietary", "end user license", r"end user licen[cs]e agreement", 0.75),
     ("proprietary", "eula", r"eula", 0.5),
     ("proprietary", "evaluation purposes", r"for evaluation purposes only", 0.6),
@@ -158,7 +159,8 @@ _SENTENCES = [
     ("noncommercial", "polyform", r"polyform noncommercial", 0.85),
     ("personal-use", "personal use", r"for personal use only", 0.7),
     ("research", "research purposes", r"for (?:academic|research) (?:use|purposes) only", 0.7),
-    ("responsible-ai", "openrail", r"openrail|responsible ai license", 0.8),
+    ("responsible-ai", "openrail", r"openrail", 0.8),
+    ("responsible-ai", "responsible ai", r"responsible ai license", 0.8),
     ("terms", "terms of use", r"subject to (?:the|our) terms of use", 0.5),
     ("terms", "terms of service", r"subject to (?:the|our) terms of service", 0.5),
     ("no-derivatives", "derivative works", r"you may not (?:create|distribute|make) derivative works", 0.7),
@@ -175,7 +177,7 @@ def _version(text: str) -> str:
 
 
 def _compiled(label: str, priority: int, keyword: str, pattern: str, confidence: float) -> Rule:
-    return Rule(label, priority, keyword, re.compile(rf"(?<= ){pattern}(?= )"), confidence)
+    return Rule(label, priority, keyword, re.compile(rf"(?<= )(?:{pattern})(?= )"), confidence)
 
 
 def build_rules() -> list[Rule]:

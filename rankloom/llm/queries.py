@@ -76,7 +76,38 @@ QUERIES = {
     "op9_fm_index": op9_fm_index,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-CHECKS: dict[str, str] = {}
+_WORDS = r"""regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"""
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+CHECKS: dict[str, str] = {
+    "op4_bbit_minhash": f"""WITH RECURSIVE worded AS (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM worded, range(1, greatest(len(w) - 2, 2)) t(i)
+  WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id
+  GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * shared.n >= 80 * (p.n + q.n - shared.n)),
+reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+least_ids AS (SELECT a, min(b) AS least_id FROM reached GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(least_id, d.doc_id)) AS component_id,
+       d.doc_id <= coalesce(least_id, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least_ids ON a = d.doc_id""",
+    "op9_fm_index": f"""WITH worded AS (SELECT doc_id, {_WORDS.format(text="text")} AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS nth
+  FROM worded, range(1, len(w) - 18) t(i)),
+gone AS (SELECT DISTINCT doc_id, i + k AS at FROM windows, range(20) t(k) WHERE nth > 1),
+places AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM worded),
+kept AS (
+  SELECT p.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p.at) AS words
+  FROM places p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.at = p.at WHERE g.at IS NULL GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(words, '')) AS kept_sha256
+FROM worded d LEFT JOIN kept k ON k.doc_id = d.doc_id""",
+}
 
 
 def queries():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import brute
@@ -33,7 +34,9 @@ def test_language_odd_cases(spark, odd, twice, empty, docs):
     assert len(found) == odd.count()
     for doc_id in (1, 2, 3):
         assert (found[doc_id]["lang_pred"], found[doc_id]["score"], found[doc_id]["accepted"]) == ("und", 0.0, False)
-    assert found[6]["lang_pred"] == found[7]["lang_pred"] == "en"
+    text = docs.where("lang = 'de' AND length(text) > 500").orderBy("doc_id").first()["text"]
+    assert language.classify(text, tuple(models.items()), 9, 0.01)[0] == "de"
+    assert language.classify(text.upper(), tuple(models.items()), 9, 0.01)[0] == "de"
     assert language.identify(twice, models).count() == twice.count()
     assert language.identify(empty, models).count() == 0
     assert language.train(empty.select("text", "lang")) == {}
@@ -130,9 +133,27 @@ def test_license_places_share_words():
 def test_every_license_rule_contains_its_keyword():
     assert len(build_rules()) >= 200
     for rule in build_rules():
-        assert rule.keyword.replace(" ", "") in rule.pattern.pattern.replace(" ", "").replace("?", "").replace(
-            "\\", ""
-        ) or rule.keyword.split()[0] in rule.pattern.pattern
+        words = re.sub(r"\(\?[^)]*\)|[?\\]", " ", rule.pattern.pattern)
+        assert rule.keyword.split()[0] in words or rule.keyword.split()[0] in rule.pattern.pattern, rule
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("Unauthorised copying of this file is strictly prohibited", "proprietary"),
+        ("Unauthorized use prohibited", "proprietary"),
+        ("under the Licence Ouverte", "etalab"),
+        ("Etalab", "etalab"),
+        ("a Responsible AI License", "responsible-ai"),
+        ("FreeBSD license", "bsd-2-clause"),
+        ("2-clause BSD", "bsd-2-clause"),
+        ("creativecommons.org/licenses/by-sa/4.0/", "cc-by-sa-4.0"),
+        ("Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc-4.0"),
+        ("SPDX-License-Identifier: MIT", "mit"),
+    ],
+)
+def test_license_keywords_open_their_rules(text, label):
+    assert label in licenses.scan(text)[5].split(",")
 
 
 def test_queries_return_every_document(spark):
