@@ -6,10 +6,13 @@ import pathlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_paths: list[str] = []
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -54,7 +57,25 @@ def workspace(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{workspace(spark)}/rankloom/{name}-{uuid.uuid4().hex}"
+    path = f"{workspace(spark)}/rankloom/{name}-{uuid.uuid4().hex}"
+    _paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that the block writes to the shared folder when it ends.
+
+    Results have to be written elsewhere inside the block, as they read those tables.
+    """
+    first = len(_paths)
+    try:
+        yield
+    finally:
+        mine, _paths[first:] = _paths[first:], []
+        for path in mine:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

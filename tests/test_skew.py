@@ -6,6 +6,8 @@ shuffles. With small limits that shows on small data.
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from rankloom.operators.aggregates import fingerprint, nest_children
 from rankloom.operators.coldstart import cold_items
 from rankloom.operators.ranking import topk
 from rankloom.operators.relations import enrich, ownership
-from rankloom.session import materialise
+from rankloom.session import materialise, scratch
 
 SMALL_LIMITS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -113,3 +115,13 @@ def test_fingerprint_does_not_overflow(spark):
     many = spark.range(10).select(F.col("id"))
     row = fingerprint(many, ["id"]).first()
     assert row.row_count == 10 and 0 < row.checksum < 1 << 62
+
+
+def test_scratch_tables_are_deleted(spark, tmp_path):
+    with scratch(spark):
+        df = materialise(spark.range(5), "gone")
+        path = df.inputFiles()[0].removeprefix("file:")
+        df.write.parquet(str(tmp_path / "kept"))
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+    assert spark.read.parquet(str(tmp_path / "kept")).count() == 5
