@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from rankloom.session import materialise
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(
-        edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") % 1000003)).first()
+def _are_stars(edges: DataFrame) -> bool:
+    """Every node either points to one other or is pointed to."""
+    ends = edges.select("a", F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        edges.select(F.col("b").alias("a"), F.lit(0).alias("out"), F.lit(1).alias("into"))
     )
+    sums = ends.groupBy("a").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return sums.where("out > 1 OR (out = 1 AND into = 1)").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,15 +23,13 @@ def components(links: DataFrame) -> DataFrame:
     Each round links every node to the smallest node it sees, first its larger
     neighbours, then the rest; rounds grow with the logarithm of a component's
     diameter. Neighbours are never gathered: a round is a minimum per node,
-    combined map-side, and a join with it. The links shrink to stars, are
-    written after each round, and the driver sees a count and two checksums.
+    combined map-side, and a join with it. The links are written after each
+    round until they are stars.
     """
     edges = materialise(
         links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links"
     )
-    before = None
-    while (now := _state(edges)) != before:
-        before = now
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -175,3 +175,19 @@ def test_removed_text_is_returned(spark):
     found = fm_index.remove_repeats(make(spark, [text, "x y " + text + " z"])).where("n_removed > 0").first()
     assert found["kept"].decode() == "x y z" and found["n_removed"] == 40
     assert found["doc_id"] == 1 and F is not None
+
+
+def test_cloud_of_near_copies_matches_all_pairs(spark, monkeypatch):
+    """Copies with many or few edits of one text: some are linked to few others, some to none."""
+    monkeypatch.setattr(minhash, "CELL", 32)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(160):
+        own = list(base)
+        for at in rng.sample(range(150), rng.randint(0, 12)):
+            own[at] = f"e{k}x{at}"
+        texts.append(" ".join(own))
+    found = minhash.near_duplicates(make(spark, texts), size=4)
+    check_near(found, list(enumerate(texts)), 4)
+    assert 1 < len({r["component_id"] for r in found.collect()}) < 160
