@@ -9,7 +9,7 @@ import xxhash
 SPACES = " \t\n\x0b\x0c\r"
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Words a worker keeps before it starts anew.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 250_000
 
 
 def words_of(text: str | None) -> list[bytes]:
