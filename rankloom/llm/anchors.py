@@ -18,7 +18,7 @@ import numpy as np
 from rankloom.llm.words import mixed
 
 _PLACES = np.uint64(22)
-_CHUNK = 1 << 21
+_CHUNK = 1 << 19
 _BASE = 0x5851F42D4C957F2D | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -65,6 +65,21 @@ class Prints:
         return mixed((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
 
 
+def prefix_prints(units: np.ndarray) -> np.ndarray:
+    """Running sums for the fingerprints of each row of a matrix of units."""
+    power, _ = _power(units.shape[1] + 1)
+    sums = np.zeros((units.shape[0], units.shape[1] + 1), np.uint64)
+    np.cumsum(units * power[:-1], axis=1, out=sums[:, 1:])
+    return sums
+
+
+def stretch_prints(sums: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Of each row the fingerprint of ``length`` units from its own start on."""
+    row = np.arange(len(sums))
+    back = _power(sums.shape[1])[1][start]
+    return mixed((sums[row, start + length] - sums[row, start]) * back + np.uint64(length))
+
+
 def find(units: np.ndarray, prints: Prints, bounds: np.ndarray, scheme: Scheme) -> np.ndarray:
     """Anchors of texts that lie one after the other; ``bounds`` are their ends, the first entry 0."""
     n = len(units)

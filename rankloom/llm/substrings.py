@@ -28,6 +28,7 @@ other; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from rankloom.session import materialise
 
 _UNITS = mixed(np.arange(1, 257, dtype=np.uint64))
 #: Bytes of texts that are searched for anchors together.
-TOGETHER = 4_000_000
+TOGETHER = 1_000_000
 
 
 def _raw(text: str | None) -> bytes:
@@ -133,7 +134,7 @@ def texts_with(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _contexts(texts: DataFrame, chosen: DataFrame, scheme: anchors.Scheme, hot: int) -> DataFrame:
-    """The bytes around chosen anchors. In hot classes one row for each single string."""
+    """The bytes around chosen anchors. In hot classes one row for each single string, named by its digest."""
     per_text = chosen.groupBy("row").agg(F.collect_list(F.struct("at", "cls", "n", "kinds")).alias("anchors"))
 
     def work(batches):
@@ -150,7 +151,7 @@ def _contexts(texts: DataFrame, chosen: DataFrame, scheme: anchors.Scheme, hot:
                     for start in range(low, high - scheme.length + 1):
                         piece = raw[start : start + scheme.length]
                         name = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True)
-                        out.append((name, row, at, start, a["n"], piece))
+                        out.append((name, row, at, start, a["n"], None))
                 yield [list(c) for c in zip(*out)] if out else [[]] * 6
 
     return map_batches(
@@ -160,23 +161,31 @@ def _contexts(texts: DataFrame, chosen: DataFrame, scheme: anchors.Scheme, hot:
 
 def repeated_starts(members: list[tuple], length: int) -> list[np.ndarray]:
     """For members (class, place of the anchor in the content, times, content) the starts, within
-    the content, of the strings that occur more than once among the members of the class."""
+    the content, of the strings that occur more than once among the members of the class.
+
+    Strings of one class are equal only if the anchor is at the same place in
+    them, so one such place is looked at after the other, in all members at once.
+    """
     size = np.array([len(m[3]) for m in members], np.int64)
-    bounds = np.r_[0, np.cumsum(size)]
-    prints = anchors.Prints(_UNITS[np.frombuffer(b"".join(m[3] for m in members), np.uint8)])
-    counts = np.maximum(size - length + 1, 0)
-    owner = np.repeat(np.arange(len(members)), counts)
-    start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + bounds[:-1][owner]
-    times = np.array([m[2] for m in members], np.int64)[owner]
-    name = np.array([m[0] for m in members], np.int64).view(np.uint64)
-    # Strings of one class are equal only if the anchor is at the same place in them.
-    ahead = np.array([m[1] for m in members], np.int64)[owner] - (start - bounds[:-1][owner])
-    key = mixed(prints.of(start, start + length) + mixed(name[owner] + ahead.astype(np.uint64)))
-    _, place = np.unique(key, return_inverse=True)
-    again = np.bincount(place, times)[place] > 1 if len(place) else np.zeros(0, bool)
-    inside = start - bounds[:-1][owner]
-    cuts = np.cumsum(counts)[:-1]
-    return [s[f] for s, f in zip(np.split(inside, cuts), np.split(again, cuts))]
+    anchor = np.array([m[1] for m in members], np.int64)
+    times = np.array([m[2] for m in members], np.int64)
+    name = mixed(np.array([m[0] for m in members], np.int64).view(np.uint64))
+    width = int(size.max(initial=0))
+    raw = np.zeros((len(members), width), np.uint8)
+    for k, m in enumerate(members):
+        raw[k, : len(m[3])] = np.frombuffer(m[3], np.uint8)
+    sums = anchors.prefix_prints(_UNITS[raw])
+    again: list[list[int]] = [[] for _ in members]
+    for ahead in range(int(anchor.max(initial=0)), -1, -1):
+        start = anchor - ahead
+        at = np.flatnonzero((start >= 0) & (start + length <= size))
+        if len(at) < 2 and not (times[at] > 1).any():
+            continue
+        key = mixed(anchors.stretch_prints(sums[at], start[at], length) + name[at])
+        _, place = np.unique(key, return_inverse=True)
+        for k in at[np.bincount(place, times[at])[place] > 1].tolist():
+            again[k].append(int(start[k]))
+    return [np.array(x, np.int64) for x in again]
 
 
 def runs(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -192,7 +201,7 @@ def by_class(batches, columns: list[str]):
     held: list[tuple] = []
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in columns)):
-            if len(held) >= 4096 and row[0] != held[-1][0]:
+            if len(held) >= 2048 and row[0] != held[-1][0]:
                 yield held
                 held = []
             held.append(row)
@@ -205,12 +214,18 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
 
     def work(batches):
         for held in by_class(batches, ["cls", "row", "at", "low", "n", "content"]):
+            single = [r for r in held if r[5] is None]
+            held = [r for r in held if r[5] is not None]
             members = [(cls, at - low, n, content) for cls, _, at, low, n, content in held]
             out = [
                 (row, low + a, low + b + length)
                 for (_, row, _, low, _, _), starts in zip(held, repeated_starts(members, length))
                 for a, b in runs(starts)
             ]
+            seen: Counter = Counter()
+            for cls, _, at, low, n, _ in single:
+                seen[cls, at - low] += n
+            out += [(row, low, low + length) for cls, row, at, low, _, _ in single if seen[cls, at - low] > 1]
             yield [list(c) for c in zip(*out)] if out else [[], [], []]
 
     together = contexts.repartition("cls").sortWithinPartitions("cls")
