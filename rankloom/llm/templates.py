@@ -9,11 +9,16 @@ value of the item must stand for one value of the document and the other way
 round. An item is found in a document if windows of consistent alignments make up
 at least ``min_share`` of its windows.
 
+A name is told by a capital inside a sentence, so a copy that stands elsewhere in its
+sentence can have other marks. The same windows of the plain lower-case tokens meet
+in the same join, which finds literal copies whatever their marks.
+
 Cases: null and empty texts have no tokens; items shorter than a window count as
-one window of their own length, from ``MIN_TOKENS`` tokens on, shorter ones are not
-searched; windows made of marks for the most part are left out, since they meet
-anything; repeated rows give one result per doc_id and item; empty tables give no
-rows; other columns are not read.
+one window of their own length; windows made of marks for the most part are left
+out, since they meet anything; items that have no other windows, and those under
+``MIN_TOKENS`` tokens, are found where all their plain tokens stand one after the
+other, so an item of one word is found wherever that word stands; repeated rows give
+one result per doc_id and item; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from rankloom.session import materialise
 
 #: Marks of names, numbers and units, and a decimal point inside a number. Private-use characters, so no text has them by nature.
 NAME, NUMBER, UNIT, POINT = "\ue000", "\ue001", "\ue002", "\ue003"
+#: Items of fewer tokens have no template.
 MIN_TOKENS = 4
 #: Given names that are names wherever they stand, also at the start of a sentence.
 NAMES = (
@@ -63,10 +69,21 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda x: x != "")
 
 
-def _windows(toks: Column, size: Column | int) -> Column:
-    """Hash of every window."""
-    size = F.lit(size) if isinstance(size, int) else size
-    places = F.when(F.size(toks) >= size, F.sequence(F.lit(1), F.size(toks) - size + 1))
+def plain(marked_text: Column) -> Column:
+    """The tokens without marks, as many as the template has."""
+    bare = F.translate(marked_text, NAME + NUMBER + UNIT, "")
+    return F.when(marked_text != "", F.split(bare, " ")).otherwise(F.array().cast("array<string>"))
+
+
+def both_tokens(df: DataFrame, key: str) -> DataFrame:
+    """``key`` with the tokens of its text as template (toks) and without marks (plain)."""
+    text = df.select(F.col(key).cast("long").alias(key), marked(F.coalesce("text", F.lit(""))).alias("marked"))
+    return text.select(key, tokens(template(F.col("marked"))).alias("toks"), plain(F.col("marked")).alias("plain"))
+
+
+def _windows(toks: Column, size: int) -> Column:
+    """Hash of the window at every place; the last ones are shorter and meet no item of this size."""
+    places = F.when(F.size(toks) > 0, F.sequence(F.lit(1), F.size(toks)))
     return F.transform(places, lambda i: F.xxhash64(F.slice(toks, i, size)))
 
 
@@ -76,20 +93,30 @@ def _literal_enough(window: Column, size: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """(item_id, item_pos, size, hash, n_windows) of the benchmark."""
-    toks = benchmark.select(
-        F.col("item_id").cast("long").alias("item_id"), tokens(template(marked(F.coalesce("text", F.lit(""))))).alias("toks")
-    ).where(F.size("toks") >= MIN_TOKENS)
+    """(item_id, item_pos, size, hash, n_windows, whole) of the benchmark; ``whole`` items have no template."""
+    toks = both_tokens(benchmark, "item_id").where(F.size("toks") > 0)
     sized = toks.withColumn("size", F.least(F.size("toks"), F.lit(window)))
     places = sized.select(
-        "item_id", "size", "toks", F.explode(F.sequence(F.lit(1), F.size("toks") - F.col("size") + 1)).alias("at")
+        "*", F.explode(F.sequence(F.lit(1), F.size("toks") - F.col("size") + 1)).alias("at")
     )
-    cut = places.select("item_id", "size", "at", F.slice("toks", F.col("at"), F.col("size")).alias("w"))
-    kept = cut.where(_literal_enough(F.col("w"), F.col("size"))).select(
-        "item_id", "size", (F.col("at") - 1).alias("item_pos"), F.xxhash64("w").alias("hash"), F.concat_ws(" ", "w").alias("words")
+    cut = places.select(
+        "item_id",
+        "size",
+        (F.col("at") - 1).alias("item_pos"),
+        F.slice("toks", F.col("at"), F.col("size")).alias("w"),
+        F.slice("plain", F.col("at"), F.col("size")).alias("p"),
+        (F.size("toks") >= MIN_TOKENS).alias("long_enough"),
+    ).withColumn("templated", F.col("long_enough") & _literal_enough(F.col("w"), F.col("size")))
+    counts = cut.groupBy("item_id").agg(
+        F.countDistinct("item_pos").alias("n_all"), F.countDistinct(F.when(F.col("templated"), F.col("item_pos"))).alias("n_templated")
+    ).select(
+        "item_id",
+        F.when(F.col("n_templated") > 0, F.col("n_templated")).otherwise(F.col("n_all")).alias("n_windows"),
+        (F.col("n_templated") == 0).alias("whole"),
     )
-    counts = kept.groupBy("item_id").agg(F.countDistinct("item_pos").alias("n_windows"))
-    return kept.join(counts, "item_id").distinct()
+    kept = cut.join(counts, "item_id").where("templated OR whole")
+    hashes = F.when(F.col("templated"), F.array(F.xxhash64("w"), F.xxhash64("p"))).otherwise(F.array(F.xxhash64("p")))
+    return kept.select("item_id", "item_pos", "size", "n_windows", "whole", F.explode(hashes).alias("hash")).distinct()
 
 
 def _slots(rows: DataFrame, key: str, pos: str, value: str) -> DataFrame:
@@ -98,21 +125,16 @@ def _slots(rows: DataFrame, key: str, pos: str, value: str) -> DataFrame:
     return placed.where(F.col(value).rlike(rf"^[{NAME}-{UNIT}]"))
 
 
-def hits(docs: DataFrame, windows: DataFrame, window: int) -> DataFrame:
-    """(doc_id, doc_pos, item_id, item_pos, size) where templates meet."""
-    names = broadcast_if_small(windows.select("hash", "size", "item_id", "item_pos"))
-    toks = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), tokens(template(marked(F.coalesce("text", F.lit(""))))).alias("toks")
-    )
+def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """(doc_id, doc_pos, item_id, item_pos, size, n_windows, whole) where templates or plain tokens meet."""
+    names = broadcast_if_small(windows)
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most `window` different ones
-    found = None
-    for size in sizes or [window]:
-        one = toks.select("doc_id", F.posexplode(_windows(F.col("toks"), size)).alias("doc_pos", "hash"))
-        one = one.join(names.where(F.col("size") == size), "hash").select(
-            "doc_id", "doc_pos", "item_id", "item_pos", "size"
-        )
-        found = one if found is None else found.unionByName(one)
-    return found
+    toks = both_tokens(docs, "doc_id")
+    # One list after the other, each with a hash for every token.
+    every = [_windows(F.col(c), size) for size in sizes for c in ("toks", "plain")]
+    hashes = F.concat(*every) if every else F.array().cast("array<long>")
+    met = toks.select("doc_id", F.size("toks").alias("n"), F.posexplode(hashes).alias("place", "hash")).join(names, "hash")
+    return met.select("doc_id", (F.col("place") % F.col("n")).alias("doc_pos"), "item_id", "item_pos", "size", "n_windows", "whole")
 
 
 def contaminated(
@@ -120,8 +142,14 @@ def contaminated(
 ) -> DataFrame:
     """doc_id, item_id, n_windows, share and exact for every item found in a document."""
     windows = materialise(item_windows(benchmark, window), "item_windows")
-    met = materialise(hits(docs, windows, window).distinct(), "template_hits")
+    met = materialise(hits(docs, windows).distinct(), "template_hits")
     met = met.withColumn("shift", F.col("doc_pos") - F.col("item_pos"))
+    alignment = ["doc_id", "item_id", "shift"]
+    at_once = met.where("whole").groupBy(*alignment, "n_windows").agg(F.countDistinct("item_pos").alias("n_found"))
+    entire = at_once.where("n_found = n_windows").select(
+        "doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), F.lit(1.0).alias("share"), F.lit(True).alias("exact")
+    ).distinct()
+    met = met.where("NOT whole").drop("n_windows", "whole")
     # Values along an alignment: the marked tokens of the item against those of the document.
     places = met.select(
         "doc_id", "item_id", "shift", F.explode(F.sequence("item_pos", F.col("item_pos") + F.col("size") - 1)).alias("at")
@@ -131,13 +159,13 @@ def contaminated(
     wanted = in_items.select("doc_id").distinct()
     doc_slots = _slots(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"), "doc_id", "doc_pos", "doc_value")
     pairs = in_items.join(doc_slots, ["doc_id", "doc_pos"]).select("doc_id", "item_id", "shift", "item_value", "doc_value").distinct()
-    alignment = ["doc_id", "item_id", "shift"]
     there = pairs.groupBy(*alignment, "item_value").agg(F.count("*").alias("n")).where("n > 1").select(*alignment)
     back = pairs.groupBy(*alignment, "doc_value").agg(F.count("*").alias("n")).where("n > 1").select(*alignment)
     clash = there.unionByName(back).distinct()
-    changed = pairs.where("item_value <> doc_value").select(*alignment).distinct().withColumn("changed", F.lit(1))
+    bare = [F.translate(c, NAME + NUMBER + UNIT, "") for c in ("item_value", "doc_value")]
+    changed = pairs.where(bare[0] != bare[1]).select(*alignment).distinct().withColumn("changed", F.lit(1))
     good = met.join(clash, alignment, "left_anti").join(changed, alignment, "left")
-    totals = windows.select("item_id", "n_windows").distinct()
+    totals = windows.where("NOT whole").select("item_id", "n_windows").distinct()
     found = good.groupBy("doc_id", "item_id").agg(
         F.countDistinct("item_pos").alias("n_found"), F.coalesce(F.max("changed"), F.lit(0)).alias("changed")
     )
@@ -146,6 +174,7 @@ def contaminated(
         found.join(totals, "item_id")
         .where(share >= min_share)
         .select("doc_id", "item_id", F.col("n_found").alias("n_windows"), share.alias("share"), (F.col("changed") == 0).alias("exact"))
+        .unionByName(entire)
     )
 
 

@@ -44,6 +44,21 @@ def test_templates_find_changed_questions(spark, benchmark):
     assert found(spark, benchmark, texts) == {(0, 1): True, (1, 1): False, (4, 1): True, (5, 4): True}
 
 
+def test_literal_copies_need_no_marks(spark):
+    items = ["What is the capital city of Peru?", "Too short", "12, 34, 56 and 78, 90, 11, 13, 17, 19", "\u6cd5\u56fd\u7684\u9996\u90fd\u662f\u54ea\u91cc\uff1f", ITEM]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [
+        "Then he asked What is the capital city of Peru and left.",
+        "It was too short for us. Too long, short.",
+        "Codes: 12, 34, 56 and 78, 90, 11, 13, 17, 19.",
+        "\u95ee\uff1a\u6cd5\u56fd\u7684\u9996\u90fd\u662f\u54ea\u91cc\uff1f\u7b54\u3002",
+        ITEM.upper(),
+        "Codes: 12, 34, 56 and 78, 90, 11, 13, 17 or 34, 56 and 78, 90, 11, 13, 17, 19. What is the capital of Peru?",
+    ]
+    want = {(0, 0): True, (1, 1): True, (2, 2): True, (3, 3): True, (4, 4): True}
+    assert found(spark, benchmark, texts) == want
+
+
 def test_one_document_may_hold_two_versions(spark, benchmark):
     assert found(spark, benchmark, [ITEM + " Again: " + CHANGED]) == {(0, 1): False}
 
