@@ -5,9 +5,12 @@ their value. The template is the same row without the values, so a question with
 other numbers or names has the same template. Windows of ``window`` template
 tokens of the benchmark meet those of the documents in a hash join. Where they
 meet, the values have to agree: along one alignment of document and item each
-value of the item must stand for one value of the document and the other way
-round. An item is found in a document if windows of consistent alignments make up
-at least ``min_share`` of its windows.
+value of the item must stand for one value of the document. Windows where it stands
+for another one than in most of its places are left out, and so are windows in which
+two values became one; the others of the alignment count. Windows with equal words
+count also where a value clashes, if it is the only one. An item is found in a
+document if the counted windows make up at least ``min_share`` of its windows, or if
+``min_run`` of its tokens stand there literally in a row, whatever their share.
 
 A name is told by a capital inside a sentence, so a copy that stands elsewhere in its
 sentence can have other marks. The same windows of the plain lower-case tokens meet
@@ -23,7 +26,7 @@ one result per doc_id and item; empty tables give no rows; other columns are not
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.sizes import broadcast_if_small
@@ -93,7 +96,10 @@ def _literal_enough(window: Column, size: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """(item_id, item_pos, size, hash, n_windows, whole) of the benchmark; ``whole`` items have no template."""
+    """(item_id, item_pos, size, n_windows, whole, counted, hash, literal) of the benchmark.
+
+    ``whole`` items have no template; ``counted`` windows make up the share, ``literal`` ones are of plain tokens.
+    """
     toks = both_tokens(benchmark, "item_id").where(F.size("toks") > 0)
     sized = toks.withColumn("size", F.least(F.size("toks"), F.lit(window)))
     places = sized.select(
@@ -114,9 +120,13 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
         F.when(F.col("n_templated") > 0, F.col("n_templated")).otherwise(F.col("n_all")).alias("n_windows"),
         (F.col("n_templated") == 0).alias("whole"),
     )
-    kept = cut.join(counts, "item_id").where("templated OR whole")
-    hashes = F.when(F.col("templated"), F.array(F.xxhash64("w"), F.xxhash64("p"))).otherwise(F.array(F.xxhash64("p")))
-    return kept.select("item_id", "item_pos", "size", "n_windows", "whole", F.explode(hashes).alias("hash")).distinct()
+    found_by = cut.join(counts, "item_id").withColumn("counted", F.col("templated") | F.col("whole"))
+    literal = F.struct(F.xxhash64("p").alias("hash"), F.lit(True).alias("literal"))
+    hashes = F.when(F.col("templated"), F.array(F.struct(F.xxhash64("w").alias("hash"), F.lit(False).alias("literal")), literal))
+    rows = found_by.select(
+        "item_id", "item_pos", "size", "n_windows", "whole", "counted", F.explode(hashes.otherwise(F.array(literal))).alias("name")
+    ).select("*", "name.*").drop("name")
+    return rows.groupBy([c for c in rows.columns if c != "literal"]).agg(F.max("literal").alias("literal"))
 
 
 def _slots(rows: DataFrame, key: str, pos: str, value: str) -> DataFrame:
@@ -126,7 +136,7 @@ def _slots(rows: DataFrame, key: str, pos: str, value: str) -> DataFrame:
 
 
 def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc_id, doc_pos, item_id, item_pos, size, n_windows, whole) where templates or plain tokens meet."""
+    """doc_id, doc_pos and the windows of items whose template or plain tokens meet there."""
     names = broadcast_if_small(windows)
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most `window` different ones
     toks = both_tokens(docs, "doc_id")
@@ -134,16 +144,17 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     every = [_windows(F.col(c), size) for size in sizes for c in ("toks", "plain")]
     hashes = F.concat(*every) if every else F.array().cast("array<long>")
     met = toks.select("doc_id", F.size("toks").alias("n"), F.posexplode(hashes).alias("place", "hash")).join(names, "hash")
-    return met.select("doc_id", (F.col("place") % F.col("n")).alias("doc_pos"), "item_id", "item_pos", "size", "n_windows", "whole")
+    return met.withColumn("doc_pos", F.col("place") % F.col("n")).drop("place", "n", "hash")
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, window: int = 8, min_share: float = 0.5
+    docs: DataFrame, benchmark: DataFrame, window: int = 8, min_share: float = 0.5, min_run: int = 20
 ) -> DataFrame:
     """doc_id, item_id, n_windows, share and exact for every item found in a document."""
     windows = materialise(item_windows(benchmark, window), "item_windows")
-    met = materialise(hits(docs, windows).distinct(), "template_hits")
-    met = met.withColumn("shift", F.col("doc_pos") - F.col("item_pos"))
+    met = hits(docs, windows)
+    met = met.groupBy([c for c in met.columns if c != "literal"]).agg(F.max("literal").alias("literal"))
+    met = materialise(met, "template_hits").withColumn("shift", F.col("doc_pos") - F.col("item_pos"))
     alignment = ["doc_id", "item_id", "shift"]
     at_once = met.where("whole").groupBy(*alignment, "n_windows").agg(F.countDistinct("item_pos").alias("n_found"))
     entire = at_once.where("n_found = n_windows").select(
@@ -151,28 +162,51 @@ def contaminated(
     ).distinct()
     met = met.where("NOT whole").drop("n_windows", "whole")
     # Values along an alignment: the marked tokens of the item against those of the document.
-    places = met.select(
-        "doc_id", "item_id", "shift", F.explode(F.sequence("item_pos", F.col("item_pos") + F.col("size") - 1)).alias("at")
-    ).distinct()
+    inside = met.select(
+        *alignment, "item_pos", F.explode(F.sequence("item_pos", F.col("item_pos") + F.col("size") - 1)).alias("at")
+    )
+    places = inside.select(*alignment, "at").distinct()
     item_slots = _slots(benchmark, "item_id", "at", "item_value")
     in_items = places.join(item_slots, ["item_id", "at"]).withColumn("doc_pos", F.col("at") + F.col("shift"))
     wanted = in_items.select("doc_id").distinct()
     doc_slots = _slots(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"), "doc_id", "doc_pos", "doc_value")
-    pairs = in_items.join(doc_slots, ["doc_id", "doc_pos"]).select("doc_id", "item_id", "shift", "item_value", "doc_value").distinct()
-    there = pairs.groupBy(*alignment, "item_value").agg(F.count("*").alias("n")).where("n > 1").select(*alignment)
-    back = pairs.groupBy(*alignment, "doc_value").agg(F.count("*").alias("n")).where("n > 1").select(*alignment)
-    clash = there.unionByName(back).distinct()
+    pairs = in_items.join(doc_slots, ["doc_id", "doc_pos"]).select(*alignment, "at", "item_value", "doc_value").distinct()
+    # How often the item's value stands for this one of the document, and how often it occurs.
+    alike = F.count("*").over(Window.partitionBy(*alignment, "item_value", "doc_value"))
+    there = F.count("*").over(Window.partitionBy(*alignment, "item_value"))
+    pairs = materialise(pairs.withColumn("alike", alike).withColumn("there", there), "template_values")
     bare = [F.translate(c, NAME + NUMBER + UNIT, "") for c in ("item_value", "doc_value")]
-    changed = pairs.where(bare[0] != bare[1]).select(*alignment).distinct().withColumn("changed", F.lit(1))
-    good = met.join(clash, alignment, "left_anti").join(changed, alignment, "left")
+    by_alignment = pairs.groupBy(*alignment).agg(
+        F.countDistinct(F.when(F.col("alike") < F.col("there"), F.col("item_value"))).alias("n_clashing"),
+        F.max((bare[0] != bare[1]).cast("int")).alias("changed"),
+    )
+    merged = F.size(F.collect_set("doc_value")) < F.size(F.collect_set("item_value"))
+    clashes = inside.join(pairs, [*alignment, "at"]).groupBy(*alignment, "item_pos").agg(
+        (F.max(F.col("alike") * 2 <= F.col("there")) | merged).alias("clash")
+    )
+    in_row = Window.partitionBy(*alignment).orderBy("item_pos")
+    literal = met.where("literal").select(*alignment, "item_pos", "size").distinct()
+    literal = literal.withColumn("run", F.col("item_pos") - F.row_number().over(in_row))
+    run_tokens = F.count("*").over(Window.partitionBy(*alignment, "run")) + F.col("size") - 1
+    runs = literal.withColumn("tokens", run_tokens).where(F.col("tokens") >= min_run)
+    judged = (
+        met.join(clashes, [*alignment, "item_pos"], "left")
+        .join(by_alignment, alignment, "left")
+        .join(runs.select(*alignment, "item_pos", F.lit(True).alias("in_run")), [*alignment, "item_pos"], "left")
+        .withColumn("in_run", F.coalesce("in_run", F.lit(False)))
+    )
+    agrees = ~F.coalesce("clash", F.lit(False)) | (F.col("literal") & (F.col("n_clashing") == 1)) | F.col("in_run")
+    good = judged.where(agrees & (F.col("counted") | F.col("in_run")))
     totals = windows.where("NOT whole").select("item_id", "n_windows").distinct()
     found = good.groupBy("doc_id", "item_id").agg(
-        F.countDistinct("item_pos").alias("n_found"), F.coalesce(F.max("changed"), F.lit(0)).alias("changed")
+        F.countDistinct(F.when(F.col("counted"), F.col("item_pos"))).alias("n_found"),
+        F.coalesce(F.max("changed"), F.lit(0)).alias("changed"),
+        F.max("in_run").alias("in_run"),
     )
     share = F.col("n_found") / F.col("n_windows")
     return (
         found.join(totals, "item_id")
-        .where(share >= min_share)
+        .where((share >= min_share) | F.col("in_run"))
         .select("doc_id", "item_id", F.col("n_found").alias("n_windows"), share.alias("share"), (F.col("changed") == 0).alias("exact"))
         .unionByName(entire)
     )

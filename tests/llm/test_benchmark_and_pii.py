@@ -59,6 +59,27 @@ def test_literal_copies_need_no_marks(spark):
     assert found(spark, benchmark, texts) == want
 
 
+def test_clashes_drop_windows_and_long_runs_are_found(spark):
+    word = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnprstvxz"] * 2
+    twice = " ".join([*word[:14], "3", *word[14:44], "3", *word[44:58]])
+    pair = " ".join([*word[60:74], "3", *word[74:104], "7", *word[104:118]])
+    short = " ".join([*word[200:212], "3", *word[212:216], "3", *word[216:230]])
+    some, many = " ".join(word[120:177]), " ".join(word[50:450])
+    benchmark = spark.createDataFrame(list(enumerate([twice, pair, some, many, short])), "item_id long, text string")
+    texts = [
+        twice.replace(" 3 ", " 4 ", 1),
+        pair.replace(" 3 ", " 5 ").replace(" 7 ", " 5 "),
+        "It says " + " ".join(some.split()[20:45]) + " there.",
+        "And " + " ".join(many.split()[210:400]),
+        short.replace(" 3 ", " 4 ", 1),
+        " ".join(some.split()[20:38]),
+    ]
+    got = found(spark, benchmark, texts)
+    want = {(0, 0): False, (1, 1): False, (2, 2): True, (3, 3): True, (4, 4): False}
+    assert {k: v for k, v in got.items() if k[1] == k[0]} == want
+    assert not any(doc == 5 for doc, _ in got)
+
+
 def test_one_document_may_hold_two_versions(spark, benchmark):
     assert found(spark, benchmark, [ITEM + " Again: " + CHANGED]) == {(0, 1): False}
 
