@@ -14,8 +14,9 @@ is shortened by moving to the interval of all suffixes that share ``length`` wor
 so the state at each place is its matching statistic cut at ``length``. Intervals
 that reach it and hold an earlier occurrence are reported, and their words removed.
 
-A class with more than ``hot`` different surroundings is cut into single passages,
-dealt out by their content, so that no shard grows with it.
+A class with more than ``hot`` different surroundings is cut into single passages. Spark
+finds the first of each by its digest, map-side, and joins it back, so that no shard
+grows with the class or with the copies of one passage.
 
 Cases: null and empty texts have no words; texts below ``length`` words keep all;
 passages never cross documents; rows with one doc_id count as one place, so equal
@@ -159,9 +160,9 @@ def _scan(docs: DataFrame, scheme: anchors.Scheme) -> DataFrame:
     return map_batches(docs.select("row", "text"), work, "row long, at int, cls long, around long")
 
 
-def _stretches(texts: DataFrame, chosen: DataFrame, scheme: anchors.Scheme, hot: int) -> DataFrame:
-    """The words around chosen anchors, as hashes. In hot classes one row for each single passage."""
-    per_text = chosen.groupBy("row").agg(F.collect_list(F.struct("at", "cls", "kinds")).alias("anchors"))
+def _stretches(texts: DataFrame, chosen: DataFrame, scheme: anchors.Scheme) -> DataFrame:
+    """The words around chosen anchors, as hashes."""
+    per_text = chosen.groupBy("row").agg(F.collect_list(F.struct("at", "cls")).alias("anchors"))
 
     def work(batches):
         for batch in batches:
@@ -172,13 +173,7 @@ def _stretches(texts: DataFrame, chosen: DataFrame, scheme: anchors.Scheme, hot:
                 for a in found:
                     at = a["at"]
                     low, high = max(0, at - scheme.side), min(len(words), at + scheme.core + scheme.side)
-                    if a["kinds"] <= hot:
-                        out.append((a["cls"], doc_id, row, low, words[low:high].tobytes()))
-                        continue
-                    for start in range(low, high - scheme.length + 1):
-                        piece = words[start : start + scheme.length].tobytes()
-                        name = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True)
-                        out.append((name, doc_id, row, start, piece))
+                    out.append((a["cls"], doc_id, row, low, words[low:high].tobytes()))
                 yield [list(c) for c in zip(*out)] if out else [[]] * 5
 
     return map_batches(
@@ -186,6 +181,36 @@ def _stretches(texts: DataFrame, chosen: DataFrame, scheme: anchors.Scheme, hot:
     )
 
 
+def _pieces(texts: DataFrame, chosen: DataFrame, scheme: anchors.Scheme) -> DataFrame:
+    """The digest of every single passage around chosen anchors."""
+    per_text = chosen.groupBy("row").agg(F.collect_list("at").alias("anchors"))
+
+    def work(batches):
+        for batch in batches:
+            texts = _prepare(batch.column("text").to_pylist())
+            docs, rows = (batch.column(c).to_pylist() for c in ("doc_id", "row"))
+            for doc_id, row, words, found in zip(docs, rows, texts, batch.column("anchors").to_pylist()):
+                starts = set()
+                for at in found:
+                    low, high = max(0, at - scheme.side), min(len(words), at + scheme.core + scheme.side)
+                    starts.update(range(low, high - scheme.length + 1))
+                out = [(substrings.digest(words[k : k + scheme.length].tobytes()), doc_id, row, k) for k in starts]
+                yield [list(c) for c in zip(*out)] if out else [[]] * 4
+
+    return map_batches(texts.join(per_text, "row"), work, "piece binary, doc_id long, row long, start int")
+
+
+def _later_pieces(pieces: DataFrame, length: int) -> DataFrame:
+    """Spans of single passages with an earlier occurrence. The first ones are written, so that Spark can
+    split hot ones in the join."""
+    pieces = materialise(pieces, "word_pieces")
+    firsts = pieces.groupBy("piece").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("one"))
+    firsts = materialise(firsts.where("n > 1").select("piece", "one"), "word_firsts")
+    later = F.struct("doc_id", "start") > F.struct("one.doc_id", "one.start")
+    found = pieces.join(firsts, "piece").where(later)
+    return found.select("row", F.col("start").alias("first"), (F.col("start") + length).alias("last"))
+
+
 def later_starts(members: list[tuple], length: int) -> list[np.ndarray]:
     """For members (doc_id, place of the content in its text, words) of a shard: the starts, within the
     content, of passages that start earlier in some member, by (doc_id, place)."""
@@ -269,9 +294,13 @@ def remove_repeats(docs: DataFrame, length: int = 20, window: int = 14, gram: in
         (F.col("at") + scheme.core + scheme.side).alias("last"),
     )
     chosen = materialise(chosen, "chosen")
-    texts = with_ids(substrings.texts_with(docs, chosen))
-    searched = _search(_stretches(texts, chosen, scheme, hot), length)
-    spans = materialise(settled.unionByName(searched), "word_spans")
+    few, many = chosen.where(F.col("kinds") <= hot), chosen.where(F.col("kinds") > hot)
+    texts = with_ids(substrings.texts_with(docs, few))
+    found = settled.unionByName(_search(_stretches(texts, few, scheme), length))
+    if not many.isEmpty():
+        texts = with_ids(substrings.texts_with(docs, many))
+        found = found.unionByName(_later_pieces(_pieces(texts, many, scheme), length))
+    spans = materialise(found, "word_spans")
     changed = _kept(substrings.texts_with(docs, spans), spans)
     whole = _whole(docs)
     return whole.join(changed, "row", "left").select(

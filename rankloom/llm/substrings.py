@@ -13,8 +13,8 @@ places enough for every byte it would be many times the input. Here only anchors
    string around them repeats. One of each such group goes on.
 3. Of the rest the surroundings are fetched, and all strings of the full length
    around a class's anchors are compared by their hashes. A class with more than
-   ``hot`` different surroundings is cut into single strings first, which are dealt
-   out by their content.
+   ``hot`` different surroundings is cut into single strings first, which Spark counts
+   by their digest, map-side, and joins back.
 4. Bytes covered by repeated strings are removed.
 
 Texts are read twice: once for the anchors, once for those documents that have
@@ -28,7 +28,6 @@ other; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -133,9 +132,9 @@ def texts_with(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return docs.select("row", "text").join(ids, "row", "left_semi")
 
 
-def _contexts(texts: DataFrame, chosen: DataFrame, scheme: anchors.Scheme, hot: int) -> DataFrame:
-    """The bytes around chosen anchors. In hot classes one row for each single string, named by its digest."""
-    per_text = chosen.groupBy("row").agg(F.collect_list(F.struct("at", "cls", "n", "kinds")).alias("anchors"))
+def _contexts(texts: DataFrame, chosen: DataFrame, scheme: anchors.Scheme) -> DataFrame:
+    """The bytes around chosen anchors."""
+    per_text = chosen.groupBy("row").agg(F.collect_list(F.struct("at", "cls", "n")).alias("anchors"))
 
     def work(batches):
         for batch in batches:
@@ -145,13 +144,7 @@ def _contexts(texts: DataFrame, chosen: DataFrame, scheme: anchors.Scheme, hot:
                     at = a["at"]
                     low = max(0, at - scheme.side)
                     high = min(len(raw), at + scheme.core + scheme.side)
-                    if a["kinds"] <= hot:
-                        out.append((a["cls"], row, at, low, a["n"], raw[low:high]))
-                        continue
-                    for start in range(low, high - scheme.length + 1):
-                        piece = raw[start : start + scheme.length]
-                        name = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True)
-                        out.append((name, row, at, start, a["n"], None))
+                    out.append((a["cls"], row, at, low, a["n"], raw[low:high]))
                 yield [list(c) for c in zip(*out)] if out else [[]] * 6
 
     return map_batches(
@@ -159,6 +152,39 @@ def _contexts(texts: DataFrame, chosen: DataFrame, scheme: anchors.Scheme, hot:
     )
 
 
+def digest(piece: bytes) -> bytes:
+    """Name of a single string; there may be billions, so 128 bits."""
+    return hashlib.blake2b(piece, digest_size=16).digest()
+
+
+def _pieces(texts: DataFrame, chosen: DataFrame, scheme: anchors.Scheme) -> DataFrame:
+    """The digest of every single string around chosen anchors, with the anchor's place in it."""
+    per_text = chosen.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("anchors"))
+
+    def work(batches):
+        for batch in batches:
+            for row, text, found in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "anchors"))):
+                raw, out = _raw(text), []
+                for a in found:
+                    at = a["at"]
+                    low = max(0, at - scheme.side)
+                    high = min(len(raw), at + scheme.core + scheme.side)
+                    for start in range(low, high - scheme.length + 1):
+                        out.append((digest(raw[start : start + scheme.length]), at - start, row, start, a["n"]))
+                yield [list(c) for c in zip(*out)] if out else [[]] * 5
+
+    return map_batches(texts.join(per_text, "row"), work, "piece binary, ahead int, row long, start int, n long")
+
+
+def _counted(pieces: DataFrame, length: int) -> DataFrame:
+    """Spans of single strings that occur again. The repeated names are written first, so that Spark can
+    split hot ones in the join."""
+    pieces = materialise(pieces, "pieces")
+    again = pieces.groupBy("piece", "ahead").agg(F.sum("n").alias("times")).where("times > 1").select("piece", "ahead")
+    found = pieces.join(materialise(again, "again"), ["piece", "ahead"], "left_semi")
+    return found.select("row", F.col("start").alias("first"), (F.col("start") + length).alias("last"))
+
+
 def repeated_starts(members: list[tuple], length: int) -> list[np.ndarray]:
     """For members (class, place of the anchor in the content, times, content) the starts, within
     the content, of the strings that occur more than once among the members of the class.
@@ -214,18 +240,12 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
 
     def work(batches):
         for held in by_class(batches, ["cls", "row", "at", "low", "n", "content"]):
-            single = [r for r in held if r[5] is None]
-            held = [r for r in held if r[5] is not None]
             members = [(cls, at - low, n, content) for cls, _, at, low, n, content in held]
             out = [
                 (row, low + a, low + b + length)
                 for (_, row, _, low, _, _), starts in zip(held, repeated_starts(members, length))
                 for a, b in runs(starts)
             ]
-            seen: Counter = Counter()
-            for cls, _, at, low, n, _ in single:
-                seen[cls, at - low] += n
-            out += [(row, low, low + length) for cls, row, at, low, _, _ in single if seen[cls, at - low] > 1]
             yield [list(c) for c in zip(*out)] if out else [[], [], []]
 
     together = contexts.repartition("cls").sortWithinPartitions("cls")
@@ -277,8 +297,11 @@ def repeated_spans(docs: DataFrame, scheme: anchors.Scheme, hot: int) -> DataFra
         (F.col("at") + scheme.core + scheme.side).alias("last"),
     )
     chosen = materialise(chosen, "chosen")
-    compared = _compare(_contexts(texts_with(docs, chosen), chosen, scheme, hot), scheme.length)
-    return materialise(settled.unionByName(compared), "spans")
+    few, many = chosen.where(F.col("kinds") <= hot), chosen.where(F.col("kinds") > hot)
+    found = settled.unionByName(_compare(_contexts(texts_with(docs, few), few, scheme), scheme.length))
+    if not many.isEmpty():
+        found = found.unionByName(_counted(_pieces(texts_with(docs, many), many, scheme), scheme.length))
+    return materialise(found, "spans")
 
 
 def remove_repeats(

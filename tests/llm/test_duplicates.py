@@ -191,3 +191,19 @@ def test_cloud_of_near_copies_matches_all_pairs(spark, monkeypatch):
     found = minhash.near_duplicates(make(spark, texts), size=4)
     check_near(found, list(enumerate(texts)), 4)
     assert 1 < len({r["component_id"] for r in found.collect()}) < 160
+
+
+def test_no_task_gathers_the_copies_of_a_hot_passage(spark, monkeypatch):
+    """One passage in ever other surroundings: its copies are counted by Spark and reach no shard."""
+    shared = " ".join(f"s{k}" for k in range(12))
+    rows = [(i, f"{' '.join(f'a{i}x{k}' for k in range(9))} {shared} {' '.join(f'b{i}x{k}' for k in range(9))}") for i in range(60)]
+    reached = []
+    for module, name in ((fm_index, "_search"), (substrings, "_compare")):
+        whole = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda df, length, f=whole: (reached.append(df.count()), f(df, length))[1])
+    docs = make(spark, [t for _, t in rows])
+    found = fm_index.remove_repeats(docs, length=8, window=5, gram=2, hot=10)
+    assert [tuple(r)[1:4] for r in found.orderBy("doc_id").collect()] == brute.repeated_words(rows, 8)
+    found = substrings.remove_repeats(docs, length=30, window=15, gram=4, hot=10)
+    assert [tuple(r)[1:5] for r in found.orderBy("doc_id").collect()] == brute.repeated_bytes(rows, 30)
+    assert len(reached) == 2 and max(reached) < 60
