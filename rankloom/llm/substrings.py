@@ -1,14 +1,14 @@
-"""Removing repeated byte strings by distributed prefix doubling.
+"""Removing repeated byte strings by fingerprints around anchors, in place of prefix doubling.
 
 Which ``length`` bytes start again elsewhere is what a suffix array shows; with
 places enough for every byte it would be many times the input. Here only anchors
-(see ``anchors``) are sorted, and doubling runs over the bytes from the anchor on:
+(see ``anchors``) are looked at, and no ranks are sorted:
 
-1. An anchor's first rank is that of its first 50 bytes. Spark counts the ranks and
-   drops anchors that are alone. The next rank is that of the pair (rank, rank of
-   the bytes at the growing offset), and again, until the core is passed. Ranks
-   are 64-bit names, since only equality matters, and all of them together name a
-   class of anchors with equal cores.
+1. One scan takes fingerprints of an anchor's first 50 bytes and of the stretches
+   behind them, each end at double the last, until the core is passed. Spark counts
+   the first, drops anchors that are alone, and goes on with the hash of (name so
+   far, next fingerprint). Only equality matters, and the last name is the class of
+   anchors with equal cores.
 2. Anchors of a class whose whole surroundings are equal too are settled: every
    string around them repeats. One of each such group goes on.
 3. Of the rest the surroundings are fetched, and all strings of the full length
