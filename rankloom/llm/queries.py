@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import fm_index, language, licenses, minhash, packing, repetition, substrings, surrogates, templates, token_files
+from rankloom.llm import fm_index, language, licenses, minhash, packing, repetition, substrings, surrogates, templates, token_files, whitening
 from rankloom.llm.tokens import vocabulary_path
 from rankloom.session import fresh_path
 
@@ -64,6 +64,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary_path("word_bpe_49k.json"))
 
 
+def op11_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return whitening.whiten(vectors).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES = {
     "op1_compression_language": op1_compression_language,
     "op2_repetition_rules": op2_repetition_rules,
@@ -75,6 +80,7 @@ QUERIES = {
     "op5_bit_packed_tokens": op5_bit_packed_tokens,
     "op9_fm_index": op9_fm_index,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_bit_sliced_whitening": op11_bit_sliced_whitening,
 }
 _WORDS = r"""regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"""
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
