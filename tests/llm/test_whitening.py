@@ -107,7 +107,7 @@ def test_unusable_rows_drop_out(spark):
     check(rows, good)
     anonymous = df.where("vec_id < 2").unionByName(df.where("vec_id < 2").withColumn("vec_id", df["vec_id"] - df["vec_id"]))
     assert len(whitened(anonymous)) == 4 * 3
-    nameless = df.selectExpr("CAST(NULL AS BIGINT) AS vec_id", "embedding").where("embedding[0] IS NOT NULL")
+    nameless = df.selectExpr("CAST(NULL AS BIGINT) AS vec_id", "embedding").where("get(embedding, 0) IS NOT NULL")
     assert {r["vec_id"] for r in whitened(nameless)} == {None}
 
 
@@ -119,7 +119,7 @@ def test_no_variance_and_no_rows(spark):
     for empty in (table(spark, []), table(spark, [None, []])):
         found = whitening.whiten(empty)
         assert found.count() == 0
-        assert found.schema == whitening.whiten(table(spark, constant)).schema
+        assert found.dtypes == whitening.whiten(table(spark, constant)).dtypes
 
 
 def test_large_entries_stay_exact(spark):
