@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+
+
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import fm_index, language, licenses, minhash, packing, repetition, substrings, surrogates, templates, token_files, whitening
+from rankloom.llm import fm_index, language, licenses, minhash, packing, periods, repetition, substrings, surrogates, templates, token_files, whitening
 from rankloom.llm.tokens import vocabulary_path
 from rankloom.session import fresh_path
 
@@ -69,6 +73,35 @@ def op11_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(vectors).withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """From some place on, the words of every tenth document (by the hash of its id) repeat with a period."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.find_runs(documents(spark, sf_dir), planted_period)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    # Runs come by start, then period: of the longest the first.
+    longest = F.filter("runs", lambda r: r["length"] == F.array_max(F.transform("runs", lambda x: x["length"])))
+    best = F.get(longest, 0)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_compression_language": op1_compression_language,
     "op2_repetition_rules": op2_repetition_rules,
@@ -81,6 +114,7 @@ QUERIES = {
     "op9_fm_index": op9_fm_index,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_bit_sliced_whitening": op11_bit_sliced_whitening,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 _WORDS = r"""regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"""
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
