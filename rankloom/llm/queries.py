@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-
-
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import fm_index, language, licenses, minhash, packing, periods, repetition, substrings, surrogates, templates, token_files, whitening
+from rankloom.llm import fm_index, language, licenses, minhash, packing, periods, repetition, substrings, surrogates, templates, token_files, warc, whitening
 from rankloom.llm.tokens import vocabulary_path
 from rankloom.session import fresh_path
 
@@ -102,6 +100,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "archives")
+    warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return warc.page_payloads(spark, path).drop("intact")
+
+
 QUERIES = {
     "op1_compression_language": op1_compression_language,
     "op2_repetition_rules": op2_repetition_rules,
@@ -115,6 +119,7 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_bit_sliced_whitening": op11_bit_sliced_whitening,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_warc_transactions": op13_warc_transactions,
 }
 _WORDS = r"""regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"""
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -147,6 +152,17 @@ kept AS (
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(words, '')) AS kept_sha256
 FROM worded d LEFT JOIN kept k ON k.doc_id = d.doc_id""",
+    "op13_warc_transactions": """WITH hashed AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last
+  FROM pages)
+SELECT page_id, n AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + CAST((CAST('0x' || substr(h, 1 + 10 * (k // 8), 10) AS BIGINT) >> (35 - 5 * (k % 8))) & 31 AS INT), 1)
+         FOR k IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM hashed""",
 }
 
 
