@@ -10,7 +10,7 @@ from rankloom.plans.tables import counter_points
 from rankloom.plans.views import table
 from rankloom.session import fresh_path, materialise
 from rankloom.streaming import feeds
-from rankloom.streaming.status import status_changes, status_changes_batch
+from rankloom.streaming.status import status_changes, status_changes_batch, stored_changes
 
 STATUS_CUTOFF = "2000-07-01 00:00:00"
 
@@ -39,8 +39,7 @@ def event_ingest(spark, sf_dir):
     sink, checkpoint = fresh_path(spark, "ingested"), fresh_path(spark, "checkpoint")
     twice = _events_stream(spark, sf_dir).union(_events_stream(spark, sf_dir))
     feeds.ingest_events(twice, sink, checkpoint).awaitTermination()
-    stored = spark.read.parquet(sink)
-    return stored.select(
+    return feeds.stored_events(spark, sink).select(
         "event_id",
         F.col("user_id").alias("USER_ID"),
         F.get_json_object("props", "$.k").cast("long").alias("ITEM_ID"),
@@ -119,7 +118,7 @@ def status_changes_query(spark, sf_dir):
     orders = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
     shipped = materialise(_shipped(spark, sf_dir), "shipped")
     status_changes(_two_sightings(orders, shipped), sink, checkpoint, STATUS_CUTOFF).awaitTermination()
-    return _plain(spark.read.parquet(sink))
+    return _plain(stored_changes(spark, sink))
 
 
 @query("status_changes_batch", STATUS_ROWS)
@@ -148,5 +147,4 @@ def arriving_files(spark, sf_dir):
     feeds.arriving_files(
         spark, f"{root}/nation=*", "*.txt", checkpoint, valid, lambda batch, number: None, counts, by_line=True
     ).awaitTermination()
-    stored = spark.read.schema("outcome string, count long").parquet(f"{counts}/batch=*")
-    return stored.groupBy("outcome").agg(F.sum("count").alias("files"))
+    return feeds.stored_outcomes(spark, counts).select("outcome", F.col("count").alias("files"))

@@ -7,11 +7,12 @@ a created or last-updated time give no row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rankloom.streaming.feeds import each_batch, stored_batches
+from rankloom.sources.run_store import RunStore
+from rankloom.streaming.feeds import each_batch, stored_rows
 
 # The status words of the three rows.
 CREATING, UPDATING, ACTIVE = "CREATING", "UPDATING", "ACTIVE"
@@ -20,18 +21,26 @@ UPDATE = "UPDATE"
 
 OUTPUT = "key string, status string, at timestamp, duration long"
 
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
-def status_changes_batch(df: DataFrame, cutoff: str) -> DataFrame:
-    """Change rows of key, status, created, last_updated: key, status, at,
-    duration (whole seconds, null if 0). Of several sightings the earliest counts."""
+
+def earliest(df: DataFrame, cutoff: str) -> DataFrame:
+    """Per key the earliest creation, update, and time (with its creation) of having become ready."""
     timed = df.where("created IS NOT NULL AND last_updated IS NOT NULL")
     ready = (F.col("status") == ACTIVE) & (F.col("last_updated") > F.lit(cutoff).cast("timestamp"))
     updating = F.col("status").startswith(UPDATE)
-    per_key = timed.groupBy("key").agg(
+    return timed.groupBy("key").agg(
         F.min("created").alias("first"),
         F.min(F.when(updating, F.col("last_updated"))).alias("update"),
         F.min(F.when(ready, F.struct("last_updated", "created"))).alias("done"),
     )
+
+
+def change_rows(per_key: DataFrame) -> DataFrame:
+    """The change rows of ``earliest``."""
     seconds = F.timestamp_diff("SECOND", F.col("done.created"), F.col("done.last_updated"))
 
     def row(status: str, at, duration):
@@ -47,18 +56,40 @@ def status_changes_batch(df: DataFrame, cutoff: str) -> DataFrame:
     return per_key.select("key", F.explode(rows).alias("change")).select("key", "change.*")
 
 
+def status_changes_batch(df: DataFrame, cutoff: str) -> DataFrame:
+    """Change rows of key, status, created, last_updated: key, status, at,
+    duration (whole seconds, null if 0). Of several sightings the earliest counts."""
+    return change_rows(earliest(df, cutoff))
+
+
+def _store(spark: SparkSession, sink: str) -> RunStore:
+    return RunStore(spark, sink, ["key"], {"first": "min", "update": "min", "done": "min"})
+
+
 def status_changes(stream: DataFrame, sink: str, checkpoint: str, cutoff: str) -> StreamingQuery:
-    """Append the change rows of a stream of sightings to ``sink``.
+    """Keep the changes of a stream of sightings at ``sink``; read them with ``stored_changes``.
 
-    Within a micro-batch the earliest sighting of each kind counts, and kinds
-    stored before are left out, so no state is kept and none expires.
+    The earliest times of a key are streaming state, with no watermark: a key
+    never expires, and an earlier sighting that comes late moves its change.
+    State lies in RocksDB, off the heap, and its changes in the checkpoint. A
+    batch reads its own rows and the state of its keys, and stores the keys it
+    touched.
     """
 
     def append(batch: DataFrame, number: int) -> None:
-        changes = status_changes_batch(batch, cutoff)
-        stored = stored_batches(batch.sparkSession, sink, number)
-        if stored is not None:
-            changes = changes.join(stored.select("key", "status"), ["key", "status"], "left_anti")
-        changes.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        _store(batch.sparkSession, sink).add(batch, number, checkpoint)
+
+    conf = stream.sparkSession.conf
+    before = {name: conf.get(name, None) for name in STATE_SETTINGS}
+    for name, value in STATE_SETTINGS.items():
+        conf.set(name, value)
+    try:  # the stream keeps the settings it starts with
+        return each_batch(earliest(stream, cutoff), checkpoint, append, "update")
+    finally:
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
+
 
-    return each_batch(stream, checkpoint, append)
+def stored_changes(spark: SparkSession, sink: str) -> DataFrame:
+    """The change rows of all batches: key, status, at, duration."""
+    return change_rows(stored_rows(_store(spark, sink)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.session import fresh_path
 from rankloom.streaming import feeds
-from rankloom.streaming.status import status_changes, status_changes_batch
+from rankloom.streaming.status import status_changes, status_changes_batch, stored_changes
 
 EVENTS = "event_id long, ts timestamp, user_id long, ITEM_ID long"
 START = datetime(2024, 1, 1)
@@ -33,9 +33,10 @@ def test_ingest_in_any_order_and_after_restart(spark):
     add(spark, source, first + first[:10])
     feeds.ingest_events(feed(spark, source), sink, checkpoint).awaitTermination()
     add(spark, source, make(range(40, 80), rng))
+
     add(spark, source, [(900, START - timedelta(days=400), 1, 1), (901, START - timedelta(days=400), 1, 1)])
     feeds.ingest_events(feed(spark, source), sink, checkpoint).awaitTermination()
-    assert sorted(r.event_id for r in spark.read.parquet(sink).collect()) == [*range(80), 900, 901]
+    assert sorted(r.event_id for r in feeds.stored_events(spark, sink).collect()) == [*range(80), 900, 901]
 
 
 def test_counters_hold_open_periods_and_late_events(spark):
@@ -99,10 +100,31 @@ def test_status_changes_over_restarts(spark):
         add(spark, source, rows, SIGHTING)
         stream = spark.readStream.schema(SIGHTING).parquet(source)
         status_changes(stream, sink, checkpoint, cutoff).awaitTermination()
-    stored = spark.read.parquet(sink).select("key", "status", "at", "duration")
+    stored = stored_changes(spark, sink)
     assert sorted((tuple(r) for r in stored.collect()), key=str) == want
 
 
+def test_status_changes_do_not_depend_on_the_order_of_arrival(spark):
+    cutoff = str(START)
+    whole = spark.createDataFrame([r for rows in sightings() for r in rows], SIGHTING)
+    want = sorted((tuple(r) for r in status_changes_batch(whole, cutoff).collect()), key=str)
+    source, sink, checkpoint = (fresh_path(spark, n) for n in ("source", "sink", "checkpoint"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before, read = spark.conf.get(provider), []
+    for rows in reversed(sightings()):  # later times first, a restart in between
+        add(spark, source, rows, SIGHTING)
+        stream = spark.readStream.schema(SIGHTING).parquet(source)
+        query = status_changes(stream, sink, checkpoint, cutoff)
+        query.awaitTermination()
+        read.append(sum(p.numInputRows for p in query.recentProgress))
+        state = query.lastProgress.stateOperators[0]
+    assert sorted((tuple(r) for r in stored_changes(spark, sink).collect()), key=str) == want
+    assert read == [len(rows) for rows in reversed(sightings())]  # a batch reads its own rows only
+    assert state.numRowsTotal == 4 and any("rocksdb" in k.lower() for k in state.customMetrics)
+    assert spark.conf.get(provider) == before
+    assert "Python" not in query._jsq.explainInternal(False)
+
+
 def test_files_are_judged_by_all_their_lines(spark, tmp_path):
     checkpoint, counts = fresh_path(spark, "checkpoint"), fresh_path(spark, "counts")
     (tmp_path / "good.json").write_text('{"x": 1}\n{"x": 2}\n')
@@ -114,7 +136,7 @@ def test_files_are_judged_by_all_their_lines(spark, tmp_path):
     ).awaitTermination()
     assert {r.path.rsplit("/", 1)[-1]: r.ok for r in lines} == {"good.json": True, "late.json": False}
     assert len(lines) == 53
-    stored = {r.outcome: r["count"] for r in spark.read.parquet(counts).collect()}
+    stored = {r.outcome: r["count"] for r in feeds.stored_outcomes(spark, counts).collect()}
     assert stored == {"processed": 2, "succeeded": 1, "failed": 1}
 
 
@@ -132,5 +154,4 @@ def test_arriving_files_are_counted_once(spark, tmp_path):
     (tmp_path / "d.json").write_text('{\n "x": 2\n}')
     feeds.arriving_files(spark, str(tmp_path), "*.json", checkpoint, valid, note, counts).awaitTermination()
     assert sorted(arrived) == ["a.json", "d.json"]
-    stored = spark.read.parquet(counts).groupBy("outcome").agg(F.sum("count").alias("files")).collect()
-    assert {r.outcome: r.files for r in stored} == {"processed": 3, "succeeded": 2, "failed": 1}
+    assert {r.outcome: r["count"] for r in feeds.stored_outcomes(spark, counts).collect()} == {"processed": 3, "succeeded": 2, "failed": 1}
