@@ -3,12 +3,14 @@
 A table is written to a folder of its own first; only then a row that names it
 as the next version is added to the commit log. Readers take the newest
 committed version, so they never see half an import. A version can be committed
-once: of two writers that meant to follow the same version the later one fails
-and changes nothing.
+once, as its row is a file that is put in place only if none is there: of two
+writers that follow the same version, however close, the later one fails and
+changes nothing.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from datetime import datetime, timezone
 
@@ -16,13 +18,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.sources.commits import delete, put_if_absent
+
 LOG_SCHEMA = "name string, version long, status string, created timestamp, last_updated timestamp, folder string"
 
 
 def commit_log(spark: SparkSession, root: str) -> DataFrame:
     """All commits below ``root``: a run log of name, version, status, times, folder."""
     try:
-        return spark.read.schema(LOG_SCHEMA).parquet(f"{root}/_commits/*")
+        return spark.read.schema(LOG_SCHEMA).json(f"{root}/_commits/*.json")
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" in str(missing):
             return spark.createDataFrame([], LOG_SCHEMA)
@@ -51,8 +55,13 @@ def write_version(df: DataFrame, root: str, name: str, now: datetime | None = No
     started = now or datetime.now(timezone.utc)
     df.write.mode("errorifexists").parquet(f"{root}/{folder}")
     finished = now or datetime.now(timezone.utc)
-    row = spark.createDataFrame([(name, version, "ACTIVE", started, finished, folder)], LOG_SCHEMA)
-    row.coalesce(1).write.mode("errorifexists").parquet(f"{root}/_commits/{name}.{version}")
+    row = {
+        "name": name, "version": version, "status": "ACTIVE",
+        "created": started.isoformat(), "last_updated": finished.isoformat(), "folder": folder,
+    }
+    if not put_if_absent(spark, f"{root}/_commits/{name}.{version}.json", json.dumps(row)):
+        delete(spark, f"{root}/{folder}")
+        raise ValueError(f"{name} is not at version {newest} any more")
     return version
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import threading
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from rankloom.operators import versions
 from rankloom.operators.training import retrain_full
 from rankloom.session import fresh_path
+from rankloom.sources import commits, snapshots
 from rankloom.sources.snapshots import commit_log, full_import, read_snapshot, write_version
 
 COMPARE = ["schedule", "payload"]
@@ -86,6 +88,36 @@ def test_a_version_is_committed_once(spark):
         read_snapshot(spark, root, "t", 7)
 
 
+def test_one_of_two_writers_between_check_and_commit(spark, monkeypatch):
+    root = fresh_path(spark, "snapshots")
+    write_version(spark.range(3), root, "t")
+    both, results = threading.Barrier(2, timeout=60), []
+
+    def held(session, path, text):
+        both.wait()  # both have seen version 1 and written their tables
+        return commits.put_if_absent(session, path, text)
+
+    monkeypatch.setattr(snapshots, "put_if_absent", held)
+
+    def write(n):
+        try:
+            results.append((n, write_version(spark.range(n), root, "t")))
+        except ValueError as late:
+            results.append((n, str(late)))
+
+    threads = [threading.Thread(target=write, args=(n,)) for n in (5, 7)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    (won,) = [n for n, got in results if got == 2]
+    (lost,) = [got for _, got in results if got != 2]
+    assert lost == "t is not at version 1 any more"
+    assert read_snapshot(spark, root, "t").count() == won
+    assert commit_log(spark, root).count() == 2
+    assert len(commits.names(spark, f"{root}/t")) == 2  # the loser's table is gone
+
+
 def test_full_import_replaces_and_keeps_old_snapshot(spark):
     root = fresh_path(spark, "snapshots")
     assert full_import(spark.range(3), root, "items") == 1
