@@ -6,11 +6,11 @@ metadata with its ``page-id``; request and metadata name the response's record a
 concurrent. A row of text is a record and the line separator is the record's end,
 so Spark's text writer makes the files and commits them.
 
-Reading: Spark's text reader cuts the files where a record ends and the next
-begins, in splits where the files are not compressed. A payload may hold such a
-place too. A piece that has just its declared length is a record; in files with
-any other piece the pieces are told apart in order, by declared lengths alone,
-and those of one record are joined again. Payloads stay bytes.
+Reading: Spark's text reader cuts the files before each version number of the
+format, in splits where the files are not compressed. A payload may hold one too.
+A piece that has just its declared length is a record; in files with any other
+piece the pieces are told apart in order, by declared lengths alone, and those of
+one record are joined again. Payloads stay bytes.
 
 Captures: a request or metadata record belongs to the response, revisit or
 resource that it names as concurrent, otherwise to the smallest of those that
@@ -134,12 +134,16 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, compression:
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
     """file, part and place (their order in it), text: what stands between two beginnings of a record,
-    head_bytes, declared (null if the header doesn't say)."""
-    raw = spark.read.option("lineSep", END + MAGIC).text(path).select(
+    head_bytes, declared (null if the header doesn't say). What stands before the first is empty.
+
+    The first letter of the separator is not in it again. Where a separator may
+    begin inside another, the reader can miss it at the border of its buffer.
+    """
+    raw = spark.read.option("lineSep", MAGIC).text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("part"),
         F.monotonically_increasing_id().alias("place"),
-        F.when(F.startswith("value", F.lit(MAGIC)), F.substring("value", len(MAGIC) + 1, 2**31 - 1)).otherwise(F.col("value")).alias("text"),
+        F.col("value").alias("text"),
     )
     return _measured(raw)
 
@@ -151,14 +155,14 @@ def _measured(pieces: DataFrame) -> DataFrame:
 
 
 def _is_whole() -> Column:
-    """The block has its declared length; behind the last record of a file stands its end."""
+    """The block has its declared length; the end of the record may be missing behind it."""
     rest = F.octet_length("text") - F.col("head_bytes") - len(END) - F.col("declared")
-    return F.coalesce(rest.isin(0, len(END)), F.lit(False))
+    return F.coalesce(rest.isin(0, len(END)), F.lit(False)) | (F.octet_length("text") == 0)
 
 
 def _rejoined(pieces: DataFrame) -> DataFrame:
     """The records of files in which some piece is not a whole record."""
-    gap = len(END) + len(MAGIC)
+    gap = len(MAGIC)
 
     def number(batches):
         file, record, missing = None, 0, 0
@@ -179,7 +183,7 @@ def _rejoined(pieces: DataFrame) -> DataFrame:
     numbers = materialise(map_batches(in_order, number, "file string, part long, place long, record long"), "record-numbers")
     joined = pieces.join(numbers, ["file", "part", "place"])
     texts = F.transform(F.sort_array(F.collect_list(F.struct("part", "place", "text"))), lambda x: x["text"])
-    return _measured(joined.groupBy("file", "record").agg(F.array_join(texts, END + MAGIC).alias("text")))
+    return _measured(joined.groupBy("file", "record").agg(F.array_join(texts, MAGIC).alias("text")))
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -198,7 +202,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
     rest = F.octet_length("text") - F.col("head_bytes") - len(END)
     block = F.substring(F.col("text").cast("binary"), F.col("head_bytes") + len(END) + 1, F.coalesce("declared", rest).cast("int"))
-    return pieces.withColumn("head", lines).select(
+    return pieces.where("text <> ''").withColumn("head", lines).select(
         "file",
         field("WARC-Record-ID").alias("record_id"),
         F.lower(field("WARC-Type")).alias("kind"),
@@ -213,22 +217,23 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _owners(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """capture, record_id, kind, target_uri, date, text of all requests and metadata, and the links
-    (record_id, other) they were found by."""
+def _companions(records: DataFrame) -> DataFrame:
+    """capture, record_id, kind, target_uri, date, text of all requests and metadata."""
     is_primary = F.col("kind").isin(*PRIMARY)
-    links = records.where("record_id IS NOT NULL").select(
-        "record_id", is_primary.alias("primary"), F.explode("concurrent_to").alias("other")
-    )
-    links = materialise(links, "concurrent")
-    primaries = materialise(records.where(is_primary).select(F.col("record_id").alias("other")).distinct(), "primaries")
+    slim = materialise(
+        records.select(
+            "record_id", "kind", "target_uri", "date", "concurrent_to",
+            F.when(F.col("kind").isin("request", "metadata"), F.col("block").cast("string")).alias("text"),
+        ),
+        "records",
+    )
+    links = slim.where("record_id IS NOT NULL").select("record_id", is_primary.alias("primary"), F.explode("concurrent_to").alias("other"))
+    primaries = slim.where(is_primary).select(F.col("record_id").alias("other")).distinct()
     named = links.where("NOT primary").join(primaries, "other", "left_semi").groupBy("record_id").agg(F.min("other").alias("capture"))
-    companions = records.where(F.col("kind").isin("request", "metadata")).select(
-        "record_id", "kind", "target_uri", "date", F.col("block").cast("string").alias("text")
-    )
+    companions = slim.where(F.col("kind").isin("request", "metadata")).drop("concurrent_to")
     companions = materialise(companions.join(named, "record_id", "left"), "companions")
     if companions.where("capture IS NULL").isEmpty():
-        return companions, links
+        return companions
     # Some name no primary record: look further along the identifiers.
     members = materialise(components(links.select(F.col("record_id").alias("a"), F.col("other").alias("b"))), "captures")
     held = members.join(primaries.withColumnRenamed("other", "node"), "node").groupBy("component").agg(F.min("node").alias("nearest"))
@@ -237,7 +242,7 @@ def _owners(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     lost = companions.where("capture IS NULL").drop("capture").join(found, "record_id", "left")
     lost = lost.withColumn("capture", F.coalesce("connected", "record_id")).drop("connected")
-    return companions.where("capture IS NOT NULL").unionByName(lost), links
+    return companions.where("capture IS NOT NULL").unionByName(lost)
 
 
 def captures(records: DataFrame) -> DataFrame:
@@ -248,7 +253,7 @@ def captures(records: DataFrame) -> DataFrame:
     ``payload`` is what follows the HTTP header; ``intact`` whether it has the
     recorded digest, null for revisits and digests other than SHA-1.
     """
-    companions, _ = _owners(records)
+    companions = _companions(records)
 
     def of(kind: str, value: Column) -> Column:
         return F.when(F.col("kind") == kind, value)

@@ -85,6 +85,13 @@ def test_one_file_read_in_small_splits(spark):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_payloads_that_end_like_a_record(spark):
+    """Record ends at every place of the reader's buffer, more than one behind the other."""
+    rows = [(k, "u", "x" * (k % 97) + "\r\n" * (k % 5)) for k in range(4000)]
+    path = archived(spark, table(spark, rows).coalesce(1))
+    assert page_rows(spark, path) == sorted(brute(rows), key=str)
+
+
 def test_query_on_its_table(spark):
     found = queries.QUERIES["op13_warc_transactions"](spark, SF_DIR)
     rows = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/pages.parquet").select("page_id", "url", "html").collect()]
