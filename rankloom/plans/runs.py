@@ -14,6 +14,8 @@ from rankloom.operators.runlog import freshness_gate, new_data_available
 from rankloom.plans import sql
 from rankloom.plans.registry import query
 from rankloom.plans.views import NOW, epoch_seconds, ntz, runs, table
+from rankloom.session import fresh_path
+from rankloom.sources.version_store import VersionStore
 
 CUTOFF = "2000-07-01 00:00:00"
 DAY = 86400
@@ -189,6 +191,47 @@ def versioned_upsert(spark, sf_dir):
     )
 
 
+CHANGES = """ordered AS (
+  SELECT o_custkey AS key, o_orderpriority AS payload, lag(o_orderpriority) OVER w AS old, row_number() OVER w AS nth
+  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+changes AS (
+  SELECT key, payload, count(*) OVER (PARTITION BY key ORDER BY nth) AS version FROM ordered
+  WHERE nth = 1 OR payload IS DISTINCT FROM old)"""
+
+
+def _stored_orders(spark, sf_dir):
+    """A stored table with the orders before the cutoff, then those after it."""
+    store = VersionStore(spark, fresh_path(spark, "versions"), "key", ["payload"], buckets=16)
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("payload"), "o_orderdate", "o_orderkey"
+    )
+    early = F.col("o_orderdate") < ntz(CUTOFF)
+    for batch in (orders.where(early), orders.where(~early)):
+        store.upsert(batch, arrival=["o_orderdate", "o_orderkey"])
+    return store
+
+
+@query(
+    "stored_versions",
+    sql.with_(CHANGES)
+    + """SELECT key, payload, version, CAST(-1 AS BIGINT) AS latest FROM changes
+UNION ALL SELECT key, max_by(payload, version), 0, max(version) FROM changes GROUP BY key""",
+)
+def stored_versions(spark, sf_dir):
+    return _shown(_stored_orders(spark, sf_dir).read())
+
+
+@query(
+    "stored_versions_of_keys",
+    sql.with_(CHANGES)
+    + """SELECT key, max_by(payload, version) AS payload, max(version) AS latest FROM changes
+WHERE key IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY key""",
+)
+def stored_versions_of_keys(spark, sf_dir):
+    some = table(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("key"))
+    return _stored_orders(spark, sf_dir).read(0, some).select("key", "payload", "latest")
+
+
 @query(
     "read_version",
     sql.with_(ORDERED, HISTORY) + "SELECT key, payload, CAST(version AS BIGINT) AS version FROM history WHERE version IN (0, 3)",
