@@ -3,8 +3,6 @@ the layout under test and reads it back through the operator."""
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import functions as F
 
 from rankloom.operators.batch import batch_inference, batch_segment
@@ -16,7 +14,7 @@ from rankloom.plans.registry import query
 from rankloom.plans.views import ix_events, items, table, users
 from rankloom.session import fresh_path
 from rankloom.sources.batch_files import read_batch_input, read_batch_output, write_batch_output
-from rankloom.sources.csv_files import import_csv, newest_rows, resolve_parts
+from rankloom.sources.csv_files import deliver_csv, import_csv, newest_delivery, resolve_parts
 from rankloom.sources.snapshots import full_import, read_snapshot
 
 INTERACTIONS = {
@@ -60,6 +58,35 @@ def import_typed_csv(spark, sf_dir):
     return both.groupBy("outcome", "USER_ID").agg(F.count(F.lit(1)).alias("row_count"), F.sum("TIMESTAMP").alias("seconds"))
 
 
+TEXTS = {
+    "type": "record",
+    "name": "Texts",
+    "fields": [
+        {"name": "ITEM_ID", "type": "long"},
+        {"name": "DESCRIPTION", "type": ["null", "string"]},
+        {"name": "SOURCE", "type": ["null", "string"]},
+    ],
+}
+
+
+@query(
+    "import_quoted_csv",
+    """SELECT doc_id AS "ITEM_ID", source AS "SOURCE", CASE WHEN text <> '' THEN sha256(text) END AS digest,
+       CASE WHEN text <> '' THEN len(text) - len(replace(text, chr(10), '')) END AS line_breaks FROM documents""",
+)
+def import_quoted_csv(spark, sf_dir):
+    """Free text with line breaks, commas and quotes, as item metadata has it."""
+    path = fresh_path(spark, "csv")
+    texts = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("ITEM_ID"), F.col("text").alias("DESCRIPTION"), F.col("source").alias("SOURCE")
+    )
+    kept = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
+    texts.write.options(header=True, **kept).csv(path)
+    good, _ = import_csv(spark, path, TEXTS)
+    breaks = F.length("DESCRIPTION") - F.length(F.replace("DESCRIPTION", F.lit("\n"), F.lit("")))
+    return good.select("ITEM_ID", "SOURCE", F.sha2("DESCRIPTION", 256).alias("digest"), breaks.cast("long").alias("line_breaks"))
+
+
 ALL_ROWS = (
     sql.with_(sql.IX_EVENTS)
     + """SELECT CAST(ITEM_ID AS VARCHAR) AS "ITEM_ID", CAST(USER_ID AS VARCHAR) AS "USER_ID", "TIMESTAMP",
@@ -123,14 +150,12 @@ USERS = {
     'SELECT c_custkey AS "USER_ID", c_mktsegment AS "SEGMENT" FROM customer WHERE c_custkey % 2 = 1',
 )
 def newest_file_query(spark, sf_dir):
-    """Customers in two files, one written after the other; the rows of the newer one count."""
+    """Customers in two deliveries, one after the other; the rows of the newer one count."""
     path = fresh_path(spark, "arrivals")
     people = users(spark, sf_dir).select("USER_ID", "SEGMENT")
     for odd in (0, 1):
-        part = people.where(F.col("USER_ID") % 2 == odd).coalesce(1)  # one file, as it is one file that is asked for
-        part.write.mode("append").option("header", True).csv(path)
-        time.sleep(1.1)  # file systems may keep times in whole seconds
-    return newest_rows(spark, path, USERS)
+        deliver_csv(people.where(F.col("USER_ID") % 2 == odd), path)
+    return newest_delivery(spark, path, USERS)
 
 
 @query("batch_input", "SELECT c_custkey AS \"USER_ID\" FROM customer")

@@ -7,7 +7,7 @@ import pathlib
 import pytest
 
 from rankloom.sources.batch_files import read_batch_input, read_batch_output, write_batch_output
-from rankloom.sources.csv_files import import_csv, locate, newest_file, resolve_parts
+from rankloom.sources.csv_files import deliver_csv, import_csv, locate, newest_delivery, newest_file, resolve_parts
 from rankloom.sources.nested import flatten_documents
 from rankloom.sources.schemas import spark_schema
 
@@ -85,6 +85,19 @@ def test_newest_file(spark, tmp_path):
     assert newest_file(spark, str(tmp_path), ".parquet").isEmpty()
 
 
+def test_newest_delivery_is_the_last_one_committed(spark, tmp_path):
+    root, layout = str(tmp_path / "arrivals"), "USER_ID string, AGE int, GENDER string"
+    with pytest.raises(ValueError, match="nothing has been delivered"):
+        newest_delivery(spark, root, USERS)
+    many = spark.createDataFrame([(f"u{k}", k, 'say "x",\n y') for k in range(40)], layout).repartition(5)
+    assert deliver_csv(spark.createDataFrame([("old", 1, "F")], layout), root) == 1
+    assert deliver_csv(many, root) == 2
+    many.write.csv(f"{root}/deliveries/half-written")  # not committed
+    found = newest_delivery(spark, root, USERS)
+    assert rows(found) == rows(many)
+    assert len(list((tmp_path / "arrivals" / "deliveries").glob("*/part-*.csv"))) >= 11
+
+
 def test_batch_files(spark, tmp_path):
     source = write(tmp_path / "job_config.json", '{"userId": "1"}\n{"userId": "2"}\n{"userId": "1"}\nnonsense\n')
     assert rows(read_batch_input(spark, source, "user", "long")) == [(1,), (1,), (2,)]
