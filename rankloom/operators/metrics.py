@@ -7,6 +7,7 @@ without a list scores zero.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,10 +26,11 @@ def temporal_split(ix: DataFrame, cutoff: Column) -> tuple[DataFrame, DataFrame]
     return train, held
 
 
-def hits_by_user(lists: DataFrame, held: DataFrame) -> DataFrame:
-    """The one hit table behind all rank metrics: a row per held-out user."""
-    ranked = lists.select("USER_ID", "ITEM_ID", "rank")
-    hit = held.join(ranked, ["USER_ID", "ITEM_ID"], "left")
+def hits_by_user(lists: DataFrame, held: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The one hit table behind all rank metrics: a row per held-out user (and value of ``by``)."""
+    by = by or []
+    ranked = lists.select(*by, "USER_ID", "ITEM_ID", "rank")
+    hit = held.join(ranked, [*by, "USER_ID", "ITEM_ID"], "left")
 
     def gain(depth: int) -> Column:
         inside = F.col("rank") <= depth
@@ -37,7 +39,7 @@ def hits_by_user(lists: DataFrame, held: DataFrame) -> DataFrame:
     def hits(depth: int) -> Column:
         return F.sum(F.when(F.col("rank") <= depth, 1).otherwise(0))
 
-    return hit.groupBy("USER_ID").agg(
+    return hit.groupBy(*by, "USER_ID").agg(
         F.count(F.lit(1)).alias("relevant"),
         F.min(F.when(F.col("rank") <= MRR_DEPTH, F.col("rank"))).alias("first_hit"),
         *[gain(d).alias(f"gain_{d}") for d in NDCG_DEPTHS],
@@ -54,10 +56,19 @@ def _ideal_gain(depth: int) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in sums]), F.least(F.col("relevant"), F.lit(depth)).cast("int"))
 
 
-def rank_metrics(lists: DataFrame, held: DataFrame) -> DataFrame:
-    """One row with the seven rank metrics, from one pass over the hit table."""
-    per_user = hits_by_user(lists, held)
-    return per_user.agg(
+def rank_metrics(
+    lists: DataFrame, held: DataFrame, setting: str | None = None, settings: Iterable[int] = ()
+) -> DataFrame:
+    """One row with the seven rank metrics, from one pass over the hit table.
+
+    With a column ``setting`` in the lists, one row for each of ``settings``, also for
+    those whose lists hit nothing.
+    """
+    by = [setting] if setting else []
+    if setting:
+        held = held.withColumn(setting, F.explode(F.array(*map(F.lit, settings))))
+    per_user = hits_by_user(lists, held, by)
+    return per_user.groupBy(*by).agg(
         round6(F.avg(F.coalesce(F.lit(1.0) / F.col("first_hit"), F.lit(0.0)))).alias("mean_reciprocal_rank_at_25"),
         *[
             round6(F.avg(F.col(f"gain_{d}") / _ideal_gain(d))).alias(f"normalized_discounted_cumulative_gain_at_{d}")

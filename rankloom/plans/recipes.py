@@ -359,8 +359,19 @@ def serve_current_query(spark, sf_dir):
 # --- latent factors --------------------------------------------------------
 
 
+def _als_lists(spark, sf_dir):
+    train, _ = split_orders(spark, sf_dir)
+    return trained(spark, sf_dir, "lists-als", lambda: recommend_als(fit_als(train), train, users=users(spark, sf_dir)))
+
+
+@query("personalised_als")
+def personalised_als(spark, sf_dir):
+    """Lists for everyone. They hang on the factors; ``personalised_als_ranks`` checks what does not."""
+    return _als_lists(spark, sf_dir)
+
+
 @query(
-    "personalised_als",
+    "personalised_als_ranks",
     sql.with_(
         sql.IX_ORDERS,
         sql.USERS,
@@ -371,29 +382,34 @@ def serve_current_query(spark, sf_dir):
     + """SELECT USER_ID, r AS rank, FALSE AS seen_before
 FROM users LEFT JOIN seen USING (USER_ID), goods, range(1, 26) t(r) WHERE r <= n - coalesce(held, 0)""",
 )
-def personalised_als(spark, sf_dir):
+def personalised_als_ranks(spark, sf_dir):
     """What does not hang on the factors: whole lists for everyone, without seen items."""
+    train, _ = split_orders(spark, sf_dir)
+    marks = train.select("USER_ID", "ITEM_ID").distinct().withColumn("seen", F.lit(True))
+    marked = _als_lists(spark, sf_dir).join(marks, ["USER_ID", "ITEM_ID"], "left")
+    return marked.select("USER_ID", "rank", F.coalesce("seen", F.lit(False)).alias("seen_before"))
 
-    def build() -> DataFrame:
-        train, _ = split_orders(spark, sf_dir)
-        lists = recommend_als(fit_als(train), train, users=users(spark, sf_dir))
-        marks = train.select("USER_ID", "ITEM_ID").distinct().withColumn("seen", F.lit(True))
-        marked = lists.join(marks, ["USER_ID", "ITEM_ID"], "left")
-        return marked.select("USER_ID", "rank", F.coalesce("seen", F.lit(False)).alias("seen_before"))
 
-    return trained(spark, sf_dir, "lists-als", build)
+def _tuned(spark, sf_dir):
+    train, held = split_orders(spark, sf_dir)
+    grid = {"rank": [5, 10], "regParam": [0.05, 0.5]}
+    return trained(spark, sf_dir, "tuned-als", lambda: tune_als(train, held, grid))
+
+
+@query("tune_als")
+def tune_als_query(spark, sf_dir):
+    """The settings of the grid with their NDCG on the held-out orders."""
+    return _tuned(spark, sf_dir)
 
 
 @query(
-    "tune_als",
+    "tune_als_settings",
     """SELECT CAST(r AS DOUBLE) AS rank, CAST(p AS DOUBLE) AS "regParam", TRUE AS in_range
 FROM (VALUES (5), (10)) a(r), (VALUES (0.05), (0.5)) b(p)""",
 )
-def tune_als_query(spark, sf_dir):
-    """The settings of the grid, each with a figure between 0 and 1 on the held-out orders."""
-    train, held = split_orders(spark, sf_dir)
-    tuned = tune_als(train, held, {"rank": [5, 10], "regParam": [0.05, 0.5]})
-    return tuned.select("rank", "regParam", F.col("ndcg_at_25").between(0, 1).alias("in_range"))
+def tune_als_settings(spark, sf_dir):
+    """Every setting is there, with a figure between 0 and 1."""
+    return _tuned(spark, sf_dir).select("rank", "regParam", F.col("ndcg_at_25").between(0, 1).alias("in_range"))
 
 
 # --- offline metrics -------------------------------------------------------

@@ -115,6 +115,11 @@ def test_tuning_reports_every_setting(spark, planted):
     got = tune_als(train, held, {"rank": [2, 4], "regParam": [0.1]}).collect()
     assert sorted(r.rank for r in got) == [2.0, 4.0]
     assert got[0].ndcg_at_25 >= got[1].ndcg_at_25
+    asked = held.select("USER_ID").distinct()
+    for row in got:  # each setting alone
+        lists = recommend_als(fit_als(train, {"rank": int(row["rank"]), "regParam": row.regParam}), train, 25, asked)
+        alone = metrics.rank_metrics(lists, held).first()["normalized_discounted_cumulative_gain_at_25"]
+        assert abs(alone - row.ndcg_at_25) < 1e-6
 
 
 def test_dense_index_is_dense(spark):
@@ -122,3 +127,4 @@ def test_dense_index_is_dense(spark):
     rows = dense_index(df, "x", "x").collect()
     assert sorted(r["index"] for r in rows) == list(range(137))
     assert len({r.x for r in rows}) == 137
+    assert [r.x for r in sorted(rows, key=lambda r: r["index"])] == [1000 * k for k in range(137)]
