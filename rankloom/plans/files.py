@@ -17,6 +17,7 @@ from rankloom.sources.batch_files import read_batch_input, read_batch_output, wr
 from rankloom.sources.csv_files import deliver_csv, import_csv, newest_delivery, resolve_parts
 from rankloom.sources.snapshots import full_import, read_snapshot
 
+# Column and type names of the interactions and users schemas.
 INTERACTIONS = {
     "type": "record",
     "name": "Interactions",

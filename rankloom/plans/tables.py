@@ -258,6 +258,7 @@ def unexpected_keys_query(spark, sf_dir):
     return unexpected_keys(docs, "doc", ALLOWED, "event_id")
 
 
+# The recipe names, and the keys of a tag above.
 RECIPES = """recipes AS (
   SELECT p_partkey AS id,
          CASE p_type WHEN 'ECONOMY' THEN 'recipe/sims' WHEN 'PROMO' THEN 'recipe/popularity-count'

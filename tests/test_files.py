@@ -11,6 +11,7 @@ from rankloom.sources.csv_files import deliver_csv, import_csv, locate, newest_d
 from rankloom.sources.nested import flatten_documents
 from rankloom.sources.schemas import spark_schema
 
+# Column and type names of a users schema.
 USERS = {
     "type": "record",
     "name": "Users",
