@@ -43,6 +43,11 @@ NAMES = (
     "Laura Lucas Margaret Maria Mary Matthew Michael Nancy Natalie Nicholas Olivia Patricia Patrick Paul Peter Rachel "
     "Rebecca Richard Robert Samuel Sarah Sophia Stephen Susan Thomas Timothy Victoria Vincent William Zachary"
 ).split()
+#: Words that are numbers; "one" is a pronoun more often.
+NUMBER_WORDS = (
+    "two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|"
+    "nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million"
+)
 UNITS = (
     "km|m|cm|mm|miles?|yards?|feet|foot|inch(?:es)?|kg|g|mg|grams?|kilograms?|tons?|pounds?|lbs?|ounces?|oz|"
     "l|ml|lit(?:er|re)s?|gallons?|cups?|seconds?|minutes?|min|hours?|hrs?|days?|weeks?|months?|years?|"
@@ -58,6 +63,7 @@ def marked(text: Column) -> Column:
     out = F.lower(out)
     out = F.regexp_replace(out, r"(?<=\p{N})[.,](?=\p{N})", POINT)
     out = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{N}}{POINT}])(?=\p{{N}})", NUMBER)
+    out = F.regexp_replace(out, rf"\b(?=(?:{NUMBER_WORDS})\b)", NUMBER)
     out = F.regexp_replace(out, rf"[^\p{{L}}\p{{N}}\p{{M}}{NAME}-{POINT}]+", " ")
     out = F.regexp_replace(out, rf"({NUMBER}[^ ]* )(?=(?:{UNITS})(?: |$))", f"$1{UNIT}")
     return F.trim(out)
@@ -84,10 +90,22 @@ def both_tokens(df: DataFrame, key: str) -> DataFrame:
     return text.select(key, tokens(template(F.col("marked"))).alias("toks"), plain(F.col("marked")).alias("plain"))
 
 
-def _windows(toks: Column, size: int) -> Column:
-    """Hash of the window at every place; the last ones are shorter and meet no item of this size."""
-    places = F.when(F.size(toks) > 0, F.sequence(F.lit(1), F.size(toks)))
-    return F.transform(places, lambda i: F.xxhash64(F.slice(toks, i, size)))
+def with_windows(df: DataFrame, column: str, sizes: list[int]) -> DataFrame:
+    """Adds ``column``_1, _2, ...: the hash of the window at every place, for each size.
+
+    A window is two shorter ones, of a power of two each, that may share tokens: no
+    token is hashed more than once. The last windows are cut short and meet no item.
+    """
+
+    def joined(half: Column, gap: int) -> Column:
+        return F.transform(half, lambda h, i: F.xxhash64(h, F.get(half, i + gap)))
+
+    df = df.withColumn(f"{column}_1", F.transform(column, lambda x: F.xxhash64(x)))
+    powers = [1 << k for k in range(1, max(sizes, default=1).bit_length())]
+    for size in [*powers, *sorted(set(sizes) - {1, *powers})]:
+        half = 1 << ((size - 1).bit_length() - 1)
+        df = df.withColumn(f"{column}_{size}", joined(F.col(f"{column}_{half}"), size - half))
+    return df
 
 
 def _literal_enough(window: Column, size: Column) -> Column:
@@ -101,7 +119,14 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     ``whole`` items have no template; ``counted`` windows make up the share, ``literal`` ones are of plain tokens.
     """
     toks = both_tokens(benchmark, "item_id").where(F.size("toks") > 0)
+    sizes = list(range(1, window + 1))
+    for name in ("toks", "plain"):
+        toks = with_windows(toks, name, sizes)
+    of_size = {name: F.array(*[F.col(f"{name}_{k}") for k in sizes]) for name in ("toks", "plain")}
     sized = toks.withColumn("size", F.least(F.size("toks"), F.lit(window)))
+    sized = sized.select(
+        "item_id", "toks", "size", *[F.get(column, F.col("size") - 1).alias(f"{name}_hash") for name, column in of_size.items()]
+    )
     places = sized.select(
         "*", F.explode(F.sequence(F.lit(1), F.size("toks") - F.col("size") + 1)).alias("at")
     )
@@ -110,7 +135,7 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
         "size",
         (F.col("at") - 1).alias("item_pos"),
         F.slice("toks", F.col("at"), F.col("size")).alias("w"),
-        F.slice("plain", F.col("at"), F.col("size")).alias("p"),
+        *[F.get(f"{name}_hash", F.col("at") - 1).alias(f"{name}_hash") for name in of_size],
         (F.size("toks") >= MIN_TOKENS).alias("long_enough"),
     ).withColumn("templated", F.col("long_enough") & _literal_enough(F.col("w"), F.col("size")))
     counts = cut.groupBy("item_id").agg(
@@ -121,8 +146,8 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
         (F.col("n_templated") == 0).alias("whole"),
     )
     found_by = cut.join(counts, "item_id").withColumn("counted", F.col("templated") | F.col("whole"))
-    literal = F.struct(F.xxhash64("p").alias("hash"), F.lit(True).alias("literal"))
-    hashes = F.when(F.col("templated"), F.array(F.struct(F.xxhash64("w").alias("hash"), F.lit(False).alias("literal")), literal))
+    literal = F.struct(F.col("plain_hash").alias("hash"), F.lit(True).alias("literal"))
+    hashes = F.when(F.col("templated"), F.array(F.struct(F.col("toks_hash").alias("hash"), F.lit(False).alias("literal")), literal))
     rows = found_by.select(
         "item_id", "item_pos", "size", "n_windows", "whole", "counted", F.explode(hashes.otherwise(F.array(literal))).alias("name")
     ).select("*", "name.*").drop("name")
@@ -140,8 +165,10 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     names = broadcast_if_small(windows)
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most `window` different ones
     toks = both_tokens(docs, "doc_id")
+    for name in ("toks", "plain"):
+        toks = with_windows(toks, name, sizes)
     # One list after the other, each with a hash for every token.
-    every = [_windows(F.col(c), size) for size in sizes for c in ("toks", "plain")]
+    every = [F.col(f"{name}_{size}") for size in sizes for name in ("toks", "plain")]
     hashes = F.concat(*every) if every else F.array().cast("array<long>")
     met = toks.select("doc_id", F.size("toks").alias("n"), F.posexplode(hashes).alias("place", "hash")).join(names, "hash")
     return met.withColumn("doc_pos", F.col("place") % F.col("n")).drop("place", "n", "hash")
@@ -150,7 +177,10 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, window: int = 8, min_share: float = 0.5, min_run: int = 20
 ) -> DataFrame:
-    """doc_id, item_id, n_windows, share and exact for every item found in a document."""
+    """doc_id, item_id, n_windows, share and exact for every item found in a document.
+
+    ``exact`` is what stands there word for word: the whole item, or a long run of it and nothing else.
+    """
     windows = materialise(item_windows(benchmark, window), "item_windows")
     met = hits(docs, windows)
     met = met.groupBy([c for c in met.columns if c != "literal"]).agg(F.max("literal").alias("literal"))
@@ -200,14 +230,16 @@ def contaminated(
     totals = windows.where("NOT whole").select("item_id", "n_windows").distinct()
     found = good.groupBy("doc_id", "item_id").agg(
         F.countDistinct(F.when(F.col("counted"), F.col("item_pos"))).alias("n_found"),
+        F.countDistinct(F.when(F.col("counted") & F.col("literal"), F.col("item_pos"))).alias("n_literal"),
         F.coalesce(F.max("changed"), F.lit(0)).alias("changed"),
         F.max("in_run").alias("in_run"),
     )
     share = F.col("n_found") / F.col("n_windows")
+    exact = (F.col("changed") == 0) & (F.col("n_literal") == F.col("n_found")) & ((F.col("n_found") == F.col("n_windows")) | F.col("in_run"))
     return (
         found.join(totals, "item_id")
         .where((share >= min_share) | F.col("in_run"))
-        .select("doc_id", "item_id", F.col("n_found").alias("n_windows"), share.alias("share"), (F.col("changed") == 0).alias("exact"))
+        .select("doc_id", "item_id", F.col("n_found").alias("n_windows"), share.alias("share"), exact.alias("exact"))
         .unionByName(entire)
     )
 
