@@ -59,11 +59,11 @@ def marked(text: Column) -> Column:
     """Tokens joined by blanks; names, numbers and units with their mark before the value."""
     known = "|".join(NAMES)
     out = F.regexp_replace(text, rf"(?<=[\p{{Ll}},;:] )(?=\p{{Lu}}\p{{Ll}})|\b(?=(?:{known})\b)", NAME)
-    out = F.regexp_replace(out, rf"{NAME}+", NAME)
+    out = F.when(F.contains(text, F.lit(NAME)), F.regexp_replace(out, rf"{NAME}+", NAME)).otherwise(out)
     out = F.lower(out)
     out = F.regexp_replace(out, r"(?<=\p{N})[.,](?=\p{N})", POINT)
-    out = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{N}}{POINT}])(?=\p{{N}})", NUMBER)
-    out = F.regexp_replace(out, rf"\b(?=(?:{NUMBER_WORDS})\b)", NUMBER)
+    number = rf"\p{{N}}|(?:{NUMBER_WORDS})(?![\p{{L}}\p{{N}}])"
+    out = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{N}}{POINT}])(?={number})", NUMBER)
     out = F.regexp_replace(out, rf"[^\p{{L}}\p{{N}}\p{{M}}{NAME}-{POINT}]+", " ")
     out = F.regexp_replace(out, rf"({NUMBER}[^ ]* )(?=(?:{UNITS})(?: |$))", f"$1{UNIT}")
     return F.trim(out)
@@ -78,10 +78,16 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda x: x != "")
 
 
+def bare(marked_text: Column) -> Column:
+    """Without the marks of names, numbers and units."""
+    for mark in (NAME, NUMBER, UNIT):
+        marked_text = F.replace(marked_text, F.lit(mark), F.lit(""))
+    return marked_text
+
+
 def plain(marked_text: Column) -> Column:
     """The tokens without marks, as many as the template has."""
-    bare = F.translate(marked_text, NAME + NUMBER + UNIT, "")
-    return F.when(marked_text != "", F.split(bare, " ")).otherwise(F.array().cast("array<string>"))
+    return F.when(marked_text != "", F.split(bare(marked_text), " ")).otherwise(F.array().cast("array<string>"))
 
 
 def both_tokens(df: DataFrame, key: str) -> DataFrame:
@@ -205,10 +211,9 @@ def contaminated(
     alike = F.count("*").over(Window.partitionBy(*alignment, "item_value", "doc_value"))
     there = F.count("*").over(Window.partitionBy(*alignment, "item_value"))
     pairs = materialise(pairs.withColumn("alike", alike).withColumn("there", there), "template_values")
-    bare = [F.translate(c, NAME + NUMBER + UNIT, "") for c in ("item_value", "doc_value")]
     by_alignment = pairs.groupBy(*alignment).agg(
         F.countDistinct(F.when(F.col("alike") < F.col("there"), F.col("item_value"))).alias("n_clashing"),
-        F.max((bare[0] != bare[1]).cast("int")).alias("changed"),
+        F.max((bare(F.col("item_value")) != bare(F.col("doc_value"))).cast("int")).alias("changed"),
     )
     merged = F.size(F.collect_set("doc_value")) < F.size(F.collect_set("item_value"))
     clashes = inside.join(pairs, [*alignment, "at"]).groupBy(*alignment, "item_pos").agg(
