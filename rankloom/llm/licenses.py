@@ -50,11 +50,32 @@ def detections(joined: str) -> list[tuple[int, int, str, float]]:
             for rule in rules:
                 for hit in rule.pattern.finditer(joined):
                     found.append((rule.priority, hit.start() - hit.end(), hit.start(), hit.end(), rule))
-    taken: list[tuple[int, int, str, float]] = []
-    for _, _, start, end, rule in sorted(found, key=lambda x: x[:4]):
-        if not any(a <= start and end <= b for a, b, _, _ in taken):
-            taken.append((start, end, rule.label, rule.confidence))
-    return sorted(taken)
+    found.sort(key=lambda x: x[:4])
+    kept = uncontained([(start, end) for _, _, start, end, _ in found])
+    return sorted((found[k][2], found[k][3], found[k][4].label, found[k][4].confidence) for k in kept)
+
+
+def uncontained(spans: list[tuple[int, int]]) -> list[int]:
+    """Places of the spans that lie in no earlier kept one.
+
+    A tree of greatest ends over the starts (as Fenwick sums prefixes) tells whether
+    a kept span that begins no later ends no sooner.
+    """
+    order = {start: k + 1 for k, start in enumerate(sorted({start for start, _ in spans}))}
+    ends, kept = [-1] * (len(order) + 1), []
+    for place, (start, end) in enumerate(spans):
+        k, furthest = order[start], -1
+        while k:
+            furthest = max(furthest, ends[k])
+            k &= k - 1
+        if furthest >= end:
+            continue
+        kept.append(place)
+        k = order[start]
+        while k < len(ends):
+            ends[k] = max(ends[k], end)
+            k += k & -k
+    return kept
 
 
 def scan(text: str | None) -> tuple:

@@ -126,6 +126,24 @@ def test_license_labels(text, labels):
     assert licenses.scan(text)[5] == labels
 
 
+def test_contained_detections_against_all_pairs():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 5, 40, 300):
+        starts = rng.integers(0, 60, size)
+        spans = list(zip(starts.tolist(), (starts + rng.integers(1, 30, size)).tolist()))
+        want: list[int] = []
+        for k, (start, end) in enumerate(spans):
+            if not any(spans[j][0] <= start and end <= spans[j][1] for j in want):
+                want.append(k)
+        assert licenses.uncontained(spans) == want
+
+
+def test_a_long_file_of_license_lines():
+    text = "Copyright 2020 Some Body. All rights reserved. SPDX-License-Identifier: MIT\n" * 40_000
+    n_words, n_base, first, *_ = licenses.scan(text)
+    assert (n_base, first) == (40_000, 4) and n_words == 40_000 * 11
+
+
 def test_license_places_share_words():
     assert licenses.scan("cc by cc by")[1:4] == (2, 0, 2)
 
