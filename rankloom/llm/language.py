@@ -10,7 +10,8 @@ Training reads all labelled rows and keeps a bounded sample: per language at
 most ``pieces`` stretches of ``piece_chars`` characters, one for each bucket of
 the texts' hashes, the text with the smallest hash in it. So no more than
 languages x pieces x piece_chars characters reach the driver, and copies of one
-text count once. Prediction sees nothing but the text.
+text count once. Labels of more than ``max_languages`` kinds are an error, so that a
+dirty column cannot fill the driver. Prediction sees nothing but the text.
 
 Cases: null texts and texts without a letter are ``und`` with score 0, not
 accepted; without any labelled text everything is; ties go to the language
@@ -35,8 +36,14 @@ BLOCK = 2048
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
-def train(labelled: DataFrame, pieces: int = 192, piece_chars: int = 512) -> dict[str, bytes]:
+def train(
+    labelled: DataFrame, pieces: int = 192, piece_chars: int = 512, max_languages: int = 256
+) -> dict[str, bytes]:
     """Dictionaries by language from the columns ``text`` and ``lang``, the most frequent language first."""
+    counts = labelled.where("lang IS NOT NULL").groupBy("lang").count().limit(max_languages + 1).collect()
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} different labels; clean the column lang or raise max_languages")
+    often = {r["lang"]: r["count"] for r in counts}
     texts = labelled.where("lang IS NOT NULL").where(F.col("text").rlike(r"\p{L}")).select(
         "lang", "text", F.xxhash64("text").alias("h")
     )
@@ -44,14 +51,13 @@ def train(labelled: DataFrame, pieces: int = 192, piece_chars: int = 512) -> dic
     chosen = texts.groupBy("lang", bucket.alias("bucket")).agg(F.min("h").alias("h")).select("lang", "h")
     start = F.pmod(F.shiftright("h", 20), F.greatest(F.length("text") - piece_chars, F.lit(1))).cast("int") + 1
     rows = (
-        texts.join(chosen, ["lang", "h"])  # at most languages x pieces rows
+        texts.join(F.broadcast(chosen), ["lang", "h"])  # at most max_languages x pieces rows, so texts stay where they are
         .select("lang", "h", F.substring(F.col("text"), start, F.lit(piece_chars)).alias("piece"))
         .groupBy("lang", "h")
         .agg(F.min("piece").alias("piece"))
         .orderBy("lang", "h")
         .collect()
     )
-    often = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     found: dict[str, list[bytes]] = {}
     for row in sorted(rows, key=lambda r: (-often[r["lang"]], r["lang"])):
         found.setdefault(row["lang"], []).append(plain(row["piece"]))
