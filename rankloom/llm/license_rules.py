@@ -183,12 +183,16 @@ def _compiled(label: str, priority: int, keyword: str, pattern: str, confidence:
 def build_rules() -> list[Rule]:
     """All rules, the most specific first: identifiers, versions, then names and sentences."""
     rules = []
+    tagged = set()
     for stem, versions, keyword, pattern in _FAMILIES:
         for version in versions.split():
             named = pattern.replace("{v}", _version(version))
             rules.append(_compiled(f"{stem}-{version}", 20, keyword, named, 0.9))
         tag = rf"spdx license identifier {re.escape(stem).replace(chr(92) + '-', ' ')}"
         for version in versions.split():
+            if (stem, version) in tagged:  # a family may have two spellings, its identifiers have one
+                continue
+            tagged.add((stem, version))
             rules.append(_compiled(f"{stem}-{version}", 10, "spdx", rf"{tag} {_version(version)}(?: only)?", 1.0))
             rules.append(
                 _compiled(f"{stem}-{version}-or-later", 9, "spdx", rf"{tag} {_version(version)} or later", 1.0)

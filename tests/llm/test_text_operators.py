@@ -43,6 +43,29 @@ def test_language_odd_cases(spark, odd, twice, empty, docs):
     assert {r["lang_pred"] for r in language.identify(odd, {}).collect()} == {"und"}
 
 
+def test_language_samples_against_plain_python(spark, docs):
+    labelled = docs.where("lang IS NOT NULL").select("text", "lang", F.xxhash64("text").alias("h")).collect()
+    chosen = {}
+    for row in labelled:
+        if row["text"] and any(map(str.isalpha, row["text"])):
+            key = row["lang"], row["h"] % 5
+            chosen[key] = min(chosen.get(key, (row["h"], row["text"])), (row["h"], row["text"]))
+    want = {}
+    for (lang, _), (h, text) in chosen.items():
+        start = (h >> 20) % max(len(text) - 64, 1)
+        want.setdefault(lang, []).append((h, text[start : start + 64]))
+    got = language.train(docs.select("text", "lang"), pieces=5, piece_chars=64)
+    assert got == {lang: b"".join(language.plain(t) for _, t in sorted(rows)) for lang, rows in want.items()}
+
+
+def test_too_many_languages_are_an_error(spark):
+    rows = [(f"some text {i}", f"l{i}") for i in range(9)] + [("a text without a label", None)]
+    labelled = spark.createDataFrame(rows, "text string, lang string")
+    assert len(language.train(labelled, max_languages=9)) == 9
+    with pytest.raises(ValueError, match="more than 8"):
+        language.train(labelled, max_languages=8)
+
+
 def test_language_rejects_narrow_margins(docs):
     models = tuple(language.train(docs.select("text", "lang")).items())
     clear = docs.where("lang = 'en' AND length(text) > 2000").first()["text"]
@@ -144,6 +167,11 @@ def test_a_long_file_of_license_lines():
     assert (n_base, first) == (40_000, 4) and n_words == 40_000 * 11
 
 
+def test_license_rules_are_all_different():
+    every = [(r.label, r.priority, r.pattern.pattern) for r in build_rules()]
+    assert len(every) == len(set(every))
+
+
 def test_license_places_share_words():
     assert licenses.scan("cc by cc by")[1:4] == (2, 0, 2)
 
