@@ -37,6 +37,7 @@ class _Available:
     def pair(self, gap: int, held: list[int]) -> list[int] | None:
         """The two lengths adding up to ``gap``, the first as large as it can be."""
         low = np.arange((gap + 1) // 2, gap)
+        # At most two lengths are held, so at most two candidates can be blocked by them: three tries are enough.
         for a in low[(self.n[low] > 0) & (self.n[gap - low] > 0)][::-1][:3].tolist():
             if self.times([*held, a, gap - a]):
                 return [a, gap - a]

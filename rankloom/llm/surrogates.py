@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.sizes import broadcast_if_small
+from rankloom.llm.sizes import BROADCAST_ROWS, broadcast_if_small
 from rankloom.session import materialise
 
 #: Given names by gender and script, known from the start and used as surrogates.
@@ -375,8 +375,10 @@ def replace(docs: DataFrame, key: str, evidence: int = EVIDENCE) -> DataFrame:
     whole = F.struct(F.xxhash64("text").alias("h"), F.length("text").alias("size"))
     texts = docs.where("text IS NOT NULL").select(whole.alias("id"), "text").select("id.*", "text")
     names = materialise(names_of(texts, evidence), "names")
+    # A row holds all names of a text, so what bounds a broadcast is the number of words, not of rows.
+    words = names.agg(F.sum(F.size("names"))).first()[0] or 0
     names = names.select(F.struct("h", "size").alias(name), F.col("names").alias(f"{name}n"))
-    named = docs.withColumn(name, whole).join(broadcast_if_small(names), name, "left")
+    named = docs.withColumn(name, whole).join(F.broadcast(names) if words <= BROADCAST_ROWS else names, name, "left")
     # Every place of a document's names; the words hold nothing that a pattern could misread.
     own = F.array_join(F.transform(f"{name}n", lambda n: n["word"]), "|")
     pattern = F.when(

@@ -113,6 +113,13 @@ def test_full_spaces_and_long_texts(spark):
     assert "somewhere" not in new and len(new) > 1_000_000 and new.startswith("Nothing is here. " * 60_000)
 
 
+def test_names_beyond_the_broadcast_limit_are_joined_by_a_shuffle(spark, monkeypatch):
+    texts = ["Mrs Ann Lee met Mr. Lee.", "Nobody came.", "Later Mary Smith left a@b.example.com."]
+    small = replaced(spark, texts)
+    monkeypatch.setattr(surrogates, "BROADCAST_ROWS", 0)
+    assert replaced(spark, texts) == small != texts
+
+
 def test_nothing_is_found_in_no_text(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, _surrogate_parts string, h long, names string, ident string")
     assert surrogates.replace(docs, "k").count() == 0 and surrogates.replace(docs, "k").columns == docs.columns
