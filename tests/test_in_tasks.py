@@ -1,10 +1,11 @@
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 
 import pytest
 
-from rankloom.operators import in_tasks, neighbours
+from rankloom.operators import in_tasks, neighbours, segments
 from test_neighbours import as_ix, brute_personal, brute_similar, random_pairs, rows
 
 
@@ -70,3 +71,53 @@ def test_no_rows(spark):
     near = neighbours.similar_items(empty, 3)
     assert near.count() == 0
     assert neighbours.personalised_knn(empty, near, 3).count() == 0
+
+
+def brute_users(pairs, similar):
+    """Affinity of each user to each item, in millionths."""
+    total = Counter()
+    for user, item in set(pairs):
+        for a, b, score, _ in similar:
+            if a == item:
+                total[user, b] += round(score * 1e6)
+    return total
+
+
+def best_first(total, k):
+    groups = defaultdict(list)
+    for (user, group), score in total.items():
+        groups[group].append((-score, user))
+    return sorted((g, u, -s / 1e6, r) for g, found in groups.items() for r, (s, u) in enumerate(sorted(found)[:k], start=1))
+
+
+@pytest.mark.parametrize("hot", [1_000_000, 30])
+def test_segments_of_items(spark, monkeypatch, hot):
+    monkeypatch.setattr(segments, "HOT", hot)
+    monkeypatch.setattr(segments, "LIST", 3)
+    monkeypatch.setattr(segments, "CONTRIBUTIONS", 40)
+    pairs = random_pairs(5)
+    near = brute_similar(pairs, 6)
+    similar = spark.createDataFrame(near, "ITEM_ID long, SIMILAR_ID long, score double, rank long")
+    wanted = spark.createDataFrame([(i,) for i in range(30)], "ITEM_ID long")
+    got = segments.item_segments(as_ix(spark, pairs), similar, wanted, 4)
+    assert rows(got) == [r for r in best_first(brute_users(pairs, near), 4) if r[0] < 30]
+    if hot > 30:
+        assert operators(got)[0] == "MapInArrow"
+
+
+@pytest.mark.parametrize("heavy", [2000, 5])
+def test_segments_of_values(spark, monkeypatch, heavy):
+    monkeypatch.setattr(segments, "CONTRIBUTIONS", 40)
+    pairs = random_pairs(6)
+    near = brute_similar(pairs, 6)
+    similar = spark.createDataFrame(near, "ITEM_ID long, SIMILAR_ID long, score double, rank long")
+    goods = spark.createDataFrame([(i, f"b{i % 4}") for i in range(40)] + [(40, None)], "ITEM_ID long, BRAND string")
+    asked = spark.createDataFrame([("b1",), ("b2",), ("b2",), ("none",), (None,)], "BRAND string")
+    total = Counter()
+    for (user, item), score in brute_users(pairs, near).items():
+        if item % 4 in (1, 2):
+            total[user, f"b{item % 4}"] += score
+    got = segments.attribute_segments(as_ix(spark, pairs), similar, goods, "BRAND", asked, 5, heavy)
+    assert rows(got) == best_first(total, 5)
+    if heavy == 2000:
+        assert "MapInArrow" in operators(got)
