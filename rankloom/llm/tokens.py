@@ -9,6 +9,8 @@ place, so the ids equal those of one call over the whole text (tested).
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import numpy as np
 
@@ -16,6 +18,8 @@ _SPACES = re.compile(r"\s\s|^\s|\s$")
 _SPACE = re.compile(r"\s")
 #: Words a worker keeps before it starts anew; bounds its memory to about 200 MB.
 KEPT_WORDS = 800_000
+#: Words and lines that go to the library in one call. What it returns takes some hundred bytes a token.
+LINE, LINES = 64, 16
 _encoders: dict[str, Encoder] = {}
 
 
@@ -47,12 +51,17 @@ class Encoder(dict):
     def _raw(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=self.dtype).tobytes()
 
+    def _encoded(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        """Ids of each text, from calls of bounded size."""
+        for some in batched(texts, LINES):
+            for found in self.library.encode_batch_fast(list(some), add_special_tokens=False):
+                yield found.ids
+
     def _learn(self, words: list[str]) -> None:
         plain = [w for w in words if self.mark_id is not None and w and not _SPACE.search(w) and "\0" not in w]
-        lines = [plain[i : i + 64] for i in range(0, len(plain), 64)]
-        joined = [self.mark.join(self.lead + w for w in line) + self.mark for line in lines]
-        for line, found in zip(lines, self.library.encode_batch_fast(joined, add_special_tokens=False)):
-            ids = np.array(found.ids, dtype=self.dtype)
+        lines = [plain[i : i + LINE] for i in range(0, len(plain), LINE)]
+        for line, found in zip(lines, self._encoded(self.mark.join(self.lead + w for w in x) + self.mark for x in lines)):
+            ids = np.array(found, dtype=self.dtype)
             ends = np.flatnonzero(ids == self.mark_id).tolist()
             if len(ends) != len(line):  # a word of its own tokenises to the mark
                 continue
@@ -61,9 +70,8 @@ class Encoder(dict):
                 self[word] = raw[width * start : width * end]
                 start = end + 1
         rest = [w for w in words if w not in self]
-        alone = self.library.encode_batch_fast([self.lead + w for w in rest], add_special_tokens=False)
-        for word, found in zip(rest, alone):
-            self[word] = self._raw(found.ids)
+        for word, found in zip(rest, self._encoded(self.lead + w for w in rest)):
+            self[word] = self._raw(found)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each whole text, without special tokens."""
