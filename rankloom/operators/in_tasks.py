@@ -4,18 +4,20 @@ Pairs and single contributions are far more rows than what they come from or
 lead to. Rows with whole lists are shuffled instead, so that everything that
 belongs to one answer meets in one task; the task unfolds the lists, adds up and
 cuts to the best k there. Work is dealt by counts: a task gets a bounded number of
-pairs or contributions, and their number of tasks follows the data.
+pairs or contributions, and their number of tasks follows the data. Much of it goes in
+several rounds, each with a part of the blocks or groups.
 """
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
@@ -25,9 +27,15 @@ from rankloom.session import materialise, ship_package
 #: Ordered pairs and contributions that one task unfolds.
 PAIRS, CONTRIBUTIONS = 16_000_000, 4_000_000
 #: Pairs whose keys are held before they are counted, and unfolded at once.
-KEYS_HELD, UNFOLDED = 8_000_000, 2_000_000
+KEYS_HELD, UNFOLDED = 20_000_000, 2_000_000
+#: Entries of baskets or lists that are shuffled in one round, and the most rounds.
+SHUFFLED, ROUNDS = 250_000_000, 8
+#: Codes up to which a task has a table of item sizes.
+TABLE = 1 << 24
 LAST_INT = (1 << 31) - 1
 LOW = (1 << 32) - 1
+#: An odd factor; the high bits of the product spread codes over blocks.
+SPREAD = 2_654_435_769
 
 
 def tasks_for(spark, work: float, per_task: int) -> int:
@@ -35,6 +43,18 @@ def tasks_for(spark, work: float, per_task: int) -> int:
     return max(configured, math.ceil(work / per_task))
 
 
+def rounds_for(entries: float) -> int:
+    return min(ROUNDS, max(1, math.ceil(entries / SHUFFLED)))
+
+
+def in_rounds(some: Callable[[int], DataFrame], rounds: int, name: str) -> DataFrame:
+    """The rows of ``some(0)``, ``some(1)``, ... Several are written one after the other, so that the disk holds one
+    round's shuffle at a time."""
+    if rounds == 1:
+        return some(0)
+    return functools.reduce(DataFrame.unionByName, [materialise(some(turn), name) for turn in range(rounds)])
+
+
 def is_integral(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, (ByteType, ShortType, IntegerType, LongType))
 
@@ -50,6 +70,14 @@ def fits_int(df: DataFrame, *columns: str) -> bool:
 # --- pairs of items of one user ---------------------------------------------
 
 
+def block_of(code, tasks: int):
+    """The block of a code from 0 to 2^31 - 1, the same for columns and arrays."""
+    spread = code * SPREAD
+    if isinstance(code, Column):
+        return F.shiftright(spread.bitwiseAND(F.lit(LOW)) * F.lit(tasks), 32)
+    return (spread & LOW) * tasks >> 32
+
+
 def best_neighbours(seen: DataFrame, pairs: float, k: int) -> DataFrame:
     """ITEM_ID, SIMILAR_ID, score, rank from (USER_ID, ITEM_ID, n), distinct, n being the item's users.
 
@@ -64,21 +92,24 @@ def best_neighbours(seen: DataFrame, pairs: float, k: int) -> DataFrame:
     else:
         index = materialise(dense_index(seen, "ITEM_ID", "item-order"), "item-codes")
         coded = seen.join(index.withColumnRenamed("index", "code"), "ITEM_ID")
-    tasks = tasks_for(spark, pairs, PAIRS)
-    most = seen.agg(F.max("n").alias("most")).first().most or 0
-    n = F.col("n").cast("short" if most < 1 << 15 else "int")
-    by_user = (
-        coded.where(F.col("USER_ID").isNotNull())
-        .select("USER_ID", "code", n.alias("n"), F.pmod(F.xxhash64("code"), F.lit(tasks)).cast("int").alias("block"))
-        .repartition("USER_ID")
+    tasks, rounds = tasks_for(spark, pairs, PAIRS), rounds_for(pairs)
+    size = coded.agg(F.max("n").alias("most"), F.max("code").alias("last")).first()
+    n = F.col("n").cast("short" if (size.most or 0) < 1 << 15 else "int")
+    held = F.collect_list(F.struct("code", n.alias("n"), block_of(F.col("code").cast("long"), tasks).alias("block")))
+    baskets = coded.where(F.col("USER_ID").isNotNull()).groupBy("USER_ID").agg(held.alias("held"))
+    baskets = baskets.select(
+        F.col("held.code").alias("codes"), F.col("held.n").alias("counts"), F.array_distinct("held.block").alias("blocks")
     )
-    baskets = by_user.groupBy("USER_ID").agg(F.collect_list(F.struct("code", "n")).alias("held"))
-    own = by_user.groupBy("USER_ID", "block").agg(F.collect_list("code").alias("own"))
-    dealt = own.join(baskets.hint("merge"), "USER_ID").select(
-        "block", "own", F.col("held.code").alias("codes"), F.col("held.n").alias("counts")
-    )
-    dealt = dealt.repartitionById(tasks, F.col("block"))
-    best = dealt.mapInArrow(_count_pairs(k), "a int, b int, score double, rank long")
+    if rounds > 1:
+        baskets = materialise(baskets, "baskets")
+
+    def some(turn: int) -> DataFrame:
+        mine = F.filter("blocks", lambda b: b % rounds == turn) if rounds > 1 else F.col("blocks")
+        dealt = baskets.select(F.explode(mine).alias("block"), "codes", "counts")
+        dealt = dealt.repartitionById(-(-tasks // rounds), F.floor(F.col("block") / rounds).cast("int"))
+        return dealt.mapInArrow(_count_pairs(k, tasks, size.last or 0), "a int, b int, score double, rank long")
+
+    best = in_rounds(some, rounds, "near-part")
     if index is None:
         return best.select(F.col("a").cast(kind).alias("ITEM_ID"), F.col("b").cast(kind).alias("SIMILAR_ID"), "score", "rank")
     return (
@@ -93,28 +124,30 @@ def flat(lists) -> tuple[np.ndarray, np.ndarray]:
     return pc.list_flatten(lists).to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
 
 
-def _unfold(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    """Keys (item, other item of the basket) for the items in ``own``, some at a time."""
-    own, n_own = flat(batch.column("own"))
-    codes, n_held = flat(batch.column("codes"))
-    starts = np.repeat(np.cumsum(n_held) - n_held, n_own)
-    widths = np.repeat(n_held, n_own).astype(np.int64)
+def _unfold(batch: pa.RecordBatch, tasks: int) -> Iterator[np.ndarray]:
+    """Keys (item, item of the basket) for the items of the row's block, some at a time; an item meets itself too."""
+    codes, held = flat(batch.column("codes"))
+    codes, held = codes.astype(np.int64), held.astype(np.int64)
+    own = np.flatnonzero(block_of(codes, tasks) == np.repeat(batch.column("block").to_numpy(), held))
+    row = np.repeat(np.arange(len(held)), held)[own]
+    items, starts, widths = codes[own] << 32, (np.cumsum(held) - held)[row], held[row]
     ends = np.cumsum(widths)
     at = 0
     while at < len(own):
         until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + UNFOLDED, "right")))
         width = widths[at:until]
-        place = np.arange(width.sum()) + np.repeat(starts[at:until] - (np.cumsum(width) - width), width)
-        a, b = np.repeat(own[at:until], width).astype(np.int64), codes[place]
-        other = a != b
-        yield a[other] << 32 | b[other]
+        place = np.arange(width.sum())
+        place += np.repeat(starts[at:until] - (np.cumsum(width) - width), width)
+        keys = np.repeat(items[at:until], width)
+        keys |= codes[place]
+        yield keys
         at = until
 
 
 def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, rising, and how often each is there."""
+    """Distinct keys, rising, and how often each is there. Without counts the keys are sorted where they are."""
     if counts is None:
-        keys = np.sort(keys)
+        keys.sort()
     else:
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
@@ -123,19 +156,39 @@ def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return keys[first], times.astype(np.int64)
 
 
-def _count_pairs(k: int):
+class Sizes:
+    """Users of each item, by code: a table while codes are small, sorted pairs beyond."""
+
+    def __init__(self, last: int):
+        self.table = np.zeros(last + 1, np.int32) if last < TABLE else None
+        self.pairs = np.empty(0, np.int64)
+
+    def add(self, codes: np.ndarray, counts: np.ndarray) -> None:
+        if self.table is not None:
+            self.table[codes] = counts
+        else:
+            more = counted(codes.astype(np.int64) << 32 | counts.astype(np.int64))[0]
+            self.pairs = counted(np.concatenate([self.pairs, more]))[0]
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table[codes].astype(float)
+        return (self.pairs[np.searchsorted(self.pairs, codes << 32)] & LOW).astype(float)
+
+
+def _count_pairs(k: int, tasks: int, last: int):
     def work(batches) -> Iterator[pa.RecordBatch]:
-        waiting, held, keys, times, sizes = [], 0, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        waiting, held, keys, times, sizes = [], 0, np.empty(0, np.int64), np.empty(0, np.int64), Sizes(last)
 
         def take_in():
-            more, often = counted(np.concatenate(waiting))
+            new = np.concatenate(waiting)
             waiting.clear()
+            more, often = counted(new)
             return counted(np.concatenate([keys, more]), np.concatenate([times, often])) if len(keys) else (more, often)
 
         for batch in batches:
-            pairs = (flat(batch.column("codes"))[0].astype(np.int64) << 32) | flat(batch.column("counts"))[0].astype(np.int64)
-            sizes = counted(np.concatenate([sizes, counted(pairs)[0]]))[0]
-            for some in _unfold(batch):
+            sizes.add(flat(batch.column("codes"))[0], flat(batch.column("counts"))[0])
+            for some in _unfold(batch, tasks):
                 waiting.append(some)
                 held += len(some)
                 # Beyond the keys at hand, so that a very frequent item's pairs are merged few times.
@@ -150,33 +203,43 @@ def _count_pairs(k: int):
     return work
 
 
-def _best_pairs(keys: np.ndarray, times: np.ndarray, sizes: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+def _best_pairs(keys: np.ndarray, times: np.ndarray, sizes: Sizes, k: int) -> Iterator[pa.RecordBatch]:
     """The best ``k`` of each item among counted pairs, by score as ``cosine`` rounds it, then id."""
-    codes, n = sizes >> 32, (sizes & LOW).astype(float)
     starts = np.flatnonzero(np.concatenate([[True], (keys[1:] >> 32) != (keys[:-1] >> 32)]))
     bounds = np.append(starts, len(keys))
     at = 0
     while at < len(starts):  # some items at a time; an item's pairs stay together
         until = max(at + 1, int(np.searchsorted(bounds, bounds[at] + UNFOLDED, "right")) - 1)
-        some, c = keys[bounds[at] : bounds[until]], times[bounds[at] : bounds[until]].astype(float)
-        a, b = some >> 32, some & LOW
-        size_a, size_b = n[np.searchsorted(codes, a)], n[np.searchsorted(codes, b)]
-        score = np.floor(c / np.sqrt(size_a * size_b) * 1e6 + 0.5) / 1e6
-        group = np.repeat(np.arange(until - at), np.diff(bounds[at : until + 1]))
+        some, c = keys[bounds[at] : bounds[until]], times[bounds[at] : bounds[until]]
+        width = np.diff(bounds[at : until + 1])
+        a, b, group = some >> 32, some & LOW, np.repeat(np.arange(until - at), width)
+        size_a = np.repeat(sizes.of(keys[starts[at:until]] >> 32), width)
+        other = a != b
+        a, b, group, c, size_a = a[other], b[other], group[other], c[other], size_a[other]
+        score = np.floor(c / np.sqrt(size_a * sizes.of(b)) * 1e6 + 0.5).astype(np.int64)
         order, rank = best_places(group, score, k)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(a[order].astype(np.int32)), pa.array(b[order].astype(np.int32)), pa.array(score[order]), pa.array(rank)],
+            [pa.array(a[order].astype(np.int32)), pa.array(b[order].astype(np.int32)), pa.array(score[order] / 1e6), pa.array(rank)],
             names=["a", "b", "score", "rank"],
         )
         at = until
 
 
 def best_places(group: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the best ``k`` rows of each group and their ranks; equal scores keep their order."""
-    order = np.lexsort((-score, group))
-    group = group[order]
-    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.empty(0, np.int64)
-    rank = np.arange(len(group)) - np.repeat(first, np.diff(np.append(first, len(group)))) + 1
+    """Places of the best ``k`` rows of each group and their ranks; groups rise, equal scores keep their order."""
+    n = len(group)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    best, place_bits = score.max(), n.bit_length()
+    score_bits = int(best - score.min()).bit_length() if score.dtype.kind == "i" else 64
+    if int(group[-1]).bit_length() + score_bits + place_bits < 64:  # all in one number, which sorts faster
+        order = (group << score_bits | best - score) << place_bits | np.arange(n)
+        order.sort()
+        order &= (1 << place_bits) - 1
+    else:
+        order = np.lexsort((-score, group))
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    rank = np.arange(n) - np.repeat(first, np.diff(np.append(first, n))) + 1
     return order[rank <= k], rank[rank <= k].astype(np.int64)
 
 
@@ -206,6 +269,14 @@ def _coded(values) -> tuple[np.ndarray, pa.Array]:
     return place[coded.indices.to_numpy()], coded.dictionary.take(order)
 
 
+def _plain(values) -> bool:
+    """Whether all values are integers from 0 to 2^31 - 1."""
+    if not pa.types.is_integer(values.type) or values.null_count or not len(values):
+        return False
+    ends = pc.min_max(values).as_py()
+    return ends["min"] >= 0 and ends["max"] <= LAST_INT
+
+
 def _add_up(group: str, id: str, k: int, own: str | None):
     def work(batches) -> Iterator[pa.RecordBatch]:
         batches = list(batches)
@@ -219,31 +290,54 @@ def _add_up(group: str, id: str, k: int, own: str | None):
         def entries(column: str):
             return pc.list_flatten(table[column]) if column in lists else table[column].take(row)
 
-        ids = entries(id)
-        if own:
-            ids = pa.concat_arrays([*ids.chunks, *table[own].cast(ids.type).chunks])
-        codes, names = _coded(ids)
+        ids, names, marks = entries(id), None, None
+        if _plain(ids):  # such ids are their own codes
+            kind, codes = ids.type, ids.to_numpy().astype(np.int64)
+            if own:
+                marks = pc.fill_null(table[own].cast(pa.int64()), -1).to_numpy()
+        else:
+            if own:
+                ids = pa.concat_arrays([*ids.chunks, *table[own].cast(ids.type).chunks])
+            codes, names = _coded(ids)
+            if own:
+                codes, marks = np.split(codes, [len(codes) - table.num_rows])
         if group in lists:
             groups, group_names = _coded(entries(group))
         else:
             of_row, group_names = _coded(table[group])
             groups = of_row[row]
-        score = entries("score")
-        unit = 1e6 if pa.types.is_integer(score.type) else 1.0
-        score = score.to_numpy().astype(float)
-        key = groups << 32 | codes[: len(groups)]
-        order = np.argsort(key, kind="stable")
-        key, score = key[order], score[order]
-        if not len(key):
+        if not len(codes):
             return
+        scores = entries("score")
+        # Millionths stay whole numbers.
+        score = scores.to_numpy().astype(np.int64 if pa.types.is_integer(scores.type) and not scores.null_count else float)
+        id_bits = int(codes.max()).bit_length()
+        key = groups << id_bits | codes
+        score_bits = int(score.max()).bit_length() if score.dtype.kind == "i" and score.min() >= 0 else 64
+        if int(groups.max()).bit_length() + id_bits + score_bits < 64:  # all in one number, which sorts faster
+            key = key << score_bits | score
+            key.sort()
+            key, score = key >> score_bits, key & ((1 << score_bits) - 1)
+        else:
+            order = np.argsort(key, kind="stable")
+            key, score = key[order], score[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        key, total = key[first], np.floor(np.add.reduceat(score, first) / unit * 1e6 + 0.5) / 1e6
+        key, total = key[first], np.add.reduceat(score, first)
+        if total.dtype.kind == "f":
+            unit = 1e6 if pa.types.is_integer(scores.type) else 1.0
+            total = np.floor(total / unit * 1e6 + 0.5) / 1e6
         if own:
-            marks = of_row << 32 | codes[len(groups) :]
-            fresh = ~np.isin(key, marks)
+            known = (marks >= 0) & (marks < 1 << id_bits)
+            marks = of_row[known] << id_bits | marks[known]
+            at = np.minimum(np.searchsorted(key, marks), len(key) - 1)
+            fresh = np.ones(len(key), bool)
+            fresh[at[key[at] == marks]] = False
             key, total = key[fresh], total[fresh]
-        best, rank = best_places(key >> 32, total, k)
-        columns = [group_names.take(pa.array(key[best] >> 32)), names.take(pa.array(key[best] & LOW)), total[best], rank]
+        best, rank = best_places(key >> id_bits, total, k)
+        found = pa.array(key[best] & ((1 << id_bits) - 1))
+        found = found.cast(kind) if names is None else names.take(found)
+        total = total[best] / 1e6 if total.dtype.kind == "i" else total[best]
+        columns = [group_names.take(pa.array(key[best] >> id_bits)), found, total, rank]
         for at in range(0, len(best), 100_000):
             part = [pa.array(c[at : at + 100_000]) if isinstance(c, np.ndarray) else c.slice(at, 100_000) for c in columns]
             yield pa.RecordBatch.from_arrays(part, names=[group, id, "score", "rank"])

@@ -34,6 +34,8 @@ from rankloom.operators.in_tasks import (
     best_neighbours,
     best_sums,
     fits_int,
+    in_rounds,
+    rounds_for,
     tasks_for,
     whole_millionths,
 )
@@ -290,11 +292,18 @@ def _best_of_light(chosen: DataFrame, similar: DataFrame, k: int) -> DataFrame:
     near = similar.groupBy(F.col("ITEM_ID").alias("FROM_ID")).agg(F.collect_list(entry).alias("near"))
     near = materialise(near, "near-lists")
     widest = near.agg(F.max(F.size("near")).alias("widest")).first().widest or 1
-    tasks = tasks_for(chosen.sparkSession, float(chosen.count()) * widest, CONTRIBUTIONS)
-    rows = chosen.join(near, chosen["ITEM_ID"] == near["FROM_ID"], "left").select(
-        "USER_ID", F.col("ITEM_ID").cast(sent).alias("own"), F.col("near.id").alias("ITEM_ID"), F.col("near.score").alias("score")
-    )
-    best = best_sums(rows.repartition(tasks, "USER_ID"), "USER_ID", "ITEM_ID", k, (kinds[0].simpleString(), sent), "own")
+    entries = float(chosen.count()) * widest
+    tasks, rounds = tasks_for(chosen.sparkSession, entries, CONTRIBUTIONS), rounds_for(entries)
+
+    def some(turn: int) -> DataFrame:
+        mine = chosen.where(F.pmod(F.xxhash64("USER_ID"), F.lit(rounds)) == turn) if rounds > 1 else chosen
+        rows = mine.join(near, mine["ITEM_ID"] == near["FROM_ID"], "left").select(
+            "USER_ID", F.col("ITEM_ID").cast(sent).alias("own"), F.col("near.id").alias("ITEM_ID"), F.col("near.score").alias("score")
+        )
+        dealt = rows.repartition(-(-tasks // rounds), "USER_ID")
+        return best_sums(dealt, "USER_ID", "ITEM_ID", k, (kinds[0].simpleString(), sent), "own")
+
+    best = in_rounds(some, rounds, "lists-part")
     return best.withColumn("ITEM_ID", F.col("ITEM_ID").cast(kinds[1]))
 
 

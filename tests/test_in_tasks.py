@@ -121,3 +121,35 @@ def test_segments_of_values(spark, monkeypatch, heavy):
     assert rows(got) == best_first(total, 5)
     if heavy == 2000:
         assert "MapInArrow" in operators(got)
+
+
+def test_several_rounds(spark, monkeypatch):
+    """Blocks and users in parts give what they give at once, and a round's shuffle is gone when it is written."""
+    monkeypatch.setattr(in_tasks, "PAIRS", 50)
+    monkeypatch.setattr(neighbours, "CONTRIBUTIONS", 40)
+    pairs = random_pairs(7)
+    for entries in (100, 1):
+        monkeypatch.setattr(in_tasks, "SHUFFLED", entries)
+        similar = neighbours.similar_items(as_ix(spark, pairs), 5)
+        assert "MapInArrow" not in operators(similar)
+        assert rows(similar) == brute_similar(pairs, 5)
+        near = spark.createDataFrame(similar.collect(), similar.schema)
+        lists = neighbours.personalised_knn(as_ix(spark, pairs), near, 4)
+        assert "MapInArrow" not in operators(lists)
+        assert rows(lists) == brute_personal(pairs, rows(near), 4)
+
+
+def test_codes_beyond_the_table(spark, monkeypatch):
+    monkeypatch.setattr(in_tasks, "TABLE", 3)
+    sizes = in_tasks.Sizes(9)
+    sizes.add(in_tasks.np.array([9, 2, 9], in_tasks.np.int32), in_tasks.np.array([4, 7, 4], in_tasks.np.int16))
+    assert sizes.of(in_tasks.np.array([2, 9])).tolist() == [7.0, 4.0]
+
+
+@pytest.mark.parametrize("wide", [1, 1 << 50])
+def test_best_places(wide):
+    """Scores that fit into one number with group and place, and scores that do not."""
+    np = in_tasks.np
+    group, score = np.array([0, 0, 0, 3, 3]), np.array([1, 5, 5, 2, 9]) * wide
+    order, rank = in_tasks.best_places(group, score, 2)
+    assert order.tolist() == [1, 2, 4, 3] and rank.tolist() == [1, 2, 1, 2]
