@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rankloom.llm.arrow import map_batches, slices
+from rankloom.llm.arrow import map_batches, short_batches, slices
 from rankloom.llm.words import SPACES, words_of
 from rankloom.session import ship_package
 
@@ -187,4 +187,5 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
             yield batch.filter(pa.array(measure(texts, **limits)[-1]))
 
     ship_package(docs.sparkSession)
+    short_batches(docs.sparkSession)
     return docs.mapInArrow(work, docs.schema)

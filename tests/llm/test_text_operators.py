@@ -206,3 +206,18 @@ def test_queries_return_every_document(spark):
     for name in ("op1_compression_language", "op2_repetition_rules", "op8_license_rules"):
         found = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert found.agg(F.countDistinct("doc_id")).first()[0] == 200
+
+
+def test_arrow_batches_are_short(spark):
+    """Batches of rows with whole texts are short before they reach Python; a lower limit of the session stays."""
+    from rankloom.llm import arrow
+
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(limit)
+    try:
+        for given, got in (("10000", str(arrow.ROWS)), ("0", str(arrow.ROWS)), ("7", "7")):
+            spark.conf.set(limit, given)
+            arrow.map_batches(spark.range(3), lambda batches: ([b.column(0)] for b in batches), "id long")
+            assert spark.conf.get(limit) == got
+    finally:
+        spark.conf.set(limit, before)
