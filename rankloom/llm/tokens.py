@@ -4,11 +4,19 @@ Words repeat, so a worker keeps the ids of the words it has seen and asks the
 library only for new ones. A text is cut at single spaces between two other
 characters; both kinds of supported vocabulary never join tokens across such a
 place, so the ids equal those of one call over the whole text (tested).
+
+Most new words are Latin letters, then ASCII marks. For known cuts into pieces
+(``_CUTS``) each of the two is one piece, so the library's model is asked for their
+ids at once; its normaliser and its pre-tokeniser say what each letter becomes.
+All other words pass through the whole library.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import string
+import struct
 from collections.abc import Iterable, Iterator
 from itertools import batched
 
@@ -16,13 +24,45 @@ import numpy as np
 
 _SPACES = re.compile(r"\s\s|^\s|\s$")
 _SPACE = re.compile(r"\s")
-#: Words a worker keeps before it starts anew; bounds its memory to about 200 MB.
-KEPT_WORDS = 800_000
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Words a worker keeps before it starts anew; bounds its memory to about 100 MB.
+KEPT_WORDS = 400_000
+#: Texts whose words are held at once.
+TEXTS = 128
 #: Words and lines that go to the library in one call. What it returns takes some hundred bytes a token.
 LINE, LINES = 64, 16
+#: Latin letters that no normaliser joins with their neighbours, and marks that stand after them in one piece.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # no apostrophe: some vocabularies cut before the letters behind it
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False}
+#: How a vocabulary cuts texts into pieces, and before that the parts of its normaliser: runs of letters and runs of marks.
+_CUTS = [
+    ([_BYTE_LEVEL | {"use_regex": True}], []),
+    (
+        [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            _BYTE_LEVEL | {"use_regex": False},
+        ],
+        [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    ),
+]
 _encoders: dict[str, Encoder] = {}
 
 
+def _parts(step: dict | None, name: str) -> list[dict]:
+    return [] if step is None else step[name] if step["type"] == "Sequence" else [step]
+
+
+def _holds(steps: list[dict], known: list[dict]) -> bool:
+    """Whether the steps are the known ones; what else they say, as on offsets, does not matter."""
+    return len(steps) == len(known) and all(k.items() <= s.items() for s, k in zip(steps, known))
+
+
 class Encoder(dict):
     """Ids of words as little-endian bytes, by word."""
 
@@ -44,12 +84,55 @@ class Encoder(dict):
         self.mark = "\n" if keeps_space else " \0 "
         marks = self._ids(self.mark)
         self.mark_id = marks[0] if len(marks) == 1 else None
+        self.model = self.library.model
+        self.tails: dict[str, bytes] = {}
+        self.letters = self._letter_table()
+
+    def _letter_table(self) -> dict[int, str] | None:
+        """What letters and marks become before the model sees them; None for vocabularies that cut in unknown ways."""
+        whole = json.loads(self.library.to_str())
+        known = [_parts(whole["pre_tokenizer"], "pretokenizers"), _parts(whole["normalizer"], "normalizers")]
+        added = any(_LETTERS.search(t["content"]) and not t["special"] for t in whole["added_tokens"])
+        if added or not any(_holds(known[0], cuts) and _holds(known[1], norms) for cuts, norms in _CUTS):
+            return None
+        table = {}
+        for char in [*MARKS, *_LETTERS.findall(" ".join(map(chr, range(256))))]:
+            normal = self.library.normalizer.normalize_str(char) if self.library.normalizer else char
+            table[ord(char)] = "".join(piece for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(normal))
+        if self.lead:
+            table[32] = self.library.pre_tokenizer.pre_tokenize_str(" a")[0][0][:-1]
+        return table
+
+    def _learn_plain(self, words: Iterable[str]) -> list[str]:
+        """Learn the words of letters and marks; gives back the others."""
+        other, table, tails, tokenize = [], self.letters, self.tails, self.model.tokenize
+        lead, ascii = self.lead.translate(table), string.ascii_letters
+        fold = {ascii: str, ascii.lower(): str.lower}.get(ascii.translate(table))
+        for word in words:
+            head = word.rstrip(MARKS)
+            if fold and head.isascii() and head.isalpha():
+                piece = lead + fold(head)
+            elif _LETTERS.fullmatch(head):
+                piece = lead + head.translate(table)
+            else:
+                other.append(word)
+                continue
+            raw = self._raw([t.id for t in tokenize(piece)])
+            if len(head) < len(word):
+                tail = word[len(head) :]
+                if tail not in tails:
+                    if len(tails) > KEPT_WORDS:
+                        tails.clear()
+                    tails[tail] = self._raw([t.id for t in tokenize(tail.translate(table))])
+                raw += tails[tail]
+            self[word] = raw
+        return other
 
     def _ids(self, text: str) -> list[int]:
         return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _raw(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
 
     def _encoded(self, texts: Iterable[str]) -> Iterator[list[int]]:
         """Ids of each text, from calls of bounded size."""
@@ -58,6 +141,8 @@ class Encoder(dict):
                 yield found.ids
 
     def _learn(self, words: list[str]) -> None:
+        if self.letters is not None:
+            words = self._learn_plain(words)
         plain = [w for w in words if self.mark_id is not None and w and not _SPACE.search(w) and "\0" not in w]
         lines = [plain[i : i + LINE] for i in range(0, len(plain), LINE)]
         for line, found in zip(lines, self._encoded(self.mark.join(self.lead + w for w in x) + self.mark for x in lines)):
@@ -75,20 +160,19 @@ class Encoder(dict):
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each whole text, without special tokens."""
+        return [ids for some in batched(texts, TEXTS) for ids in self._encode(some)]
+
+    def _encode(self, texts: Iterable[str]) -> list[np.ndarray]:
         if len(self) > KEPT_WORDS:
             self.clear()
-        parts = [None if self.lead and _SPACES.search(t) else t.split(" ") for t in texts]
+        parts = [_CUT.split(t) if self.lead and _SPACES.search(t) else t.split(" ") for t in texts]
         new: set[str] = set()
         for words in parts:
-            if words is not None:
-                new.update(words[1:] if self.lead else words)
-        new.difference_update(self.keys())
-        self._learn(list(new))
+            new.update(words[1:] if self.lead else words)
+        self._learn([w for w in new if w not in self])
         out = []
-        for text, words in zip(texts, parts):
-            if words is None:
-                raw = self._raw(self._ids(text))
-            elif self.lead:
+        for words in parts:
+            if self.lead:
                 raw = self._raw(self._ids(words[0])) + b"".join(map(self.__getitem__, words[1:]))
             else:
                 raw = b"".join(map(self.__getitem__, words))

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import random
+
 import pytest
+from tokenizers.pre_tokenizers import Whitespace
 
 from rankloom.llm.tokens import LINE, LINES, Encoder, vocabulary_path
 
@@ -25,3 +28,32 @@ def test_new_words_go_to_the_library_in_small_calls(name):
     found = encoder.encode(texts)
     assert encoder.library.most <= (LINE + LINE) * LINES  # a mark may count as a word
     assert [f.tolist() for f in found] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+WORDS = ["foo", "Bar", "été", "ÀÉ", "ß", "µ", "'s", "don't", "!", "...", "%%%", "22", "中文", "é", "İ", "\n\n", "  ", "\t", "ª", "×"]
+WORDS += ["<|endoftext|>", "\x1c", "\x85", " ", "_", "é.", "ſ", " ", " ", " ", " "]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_are_those_of_the_library(name):
+    encoder, choose = Encoder(vocabulary_path(name)), random.Random(5)
+    texts = ["".join(choose.choices(WORDS, k=choose.randint(0, 14))) for _ in range(3000)]
+    found = encoder.encode(texts)
+    assert [f.tolist() for f in found] == [encoder.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_plain_words_do_not_pass_the_whole_library(name):
+    encoder = Encoder(vocabulary_path(name))
+    plain = encoder.library
+    encoder.library = Recorder(plain)
+    words = [f"{a}{b}{end}" for a in "Straße Äpfel plain".split() for b in "abcdef" for end in ("", ".", "%%%")]
+    encoder._learn(words)
+    assert encoder.library.most == 0
+    assert all(encoder[w] == encoder._raw(plain.encode(encoder.lead + w, add_special_tokens=False).ids) for w in words)
+
+
+def test_an_unknown_way_to_cut_goes_to_the_library():
+    encoder = Encoder(vocabulary_path("byte_bpe_50k.json"))
+    encoder.library.pre_tokenizer = Whitespace()
+    assert encoder._letter_table() is None
