@@ -207,3 +207,27 @@ def test_no_task_gathers_the_copies_of_a_hot_passage(spark, monkeypatch):
     found = substrings.remove_repeats(docs, length=30, window=15, gram=4, hot=10)
     assert [tuple(r)[1:5] for r in found.orderBy("doc_id").collect()] == brute.repeated_bytes(rows, 30)
     assert len(reached) == 2 and max(reached) < 60
+
+
+def test_repeated_starts_of_many_members():
+    """Members of several classes, one of them there twice: what a plain count of strings finds, in rising order."""
+    from collections import Counter
+
+    import numpy as np
+
+    from rankloom.llm.substrings import repeated_starts
+
+    text, length = np.random.default_rng(3).integers(97, 99, 60, dtype=np.uint8).tobytes(), 12
+    members = [(c, 20 - low, times, text[low:high]) for c, low, high, times in
+               [(1, 0, 40, 1), (1, 5, 50, 1), (1, 18, 33, 1), (2, 3, 30, 2), (2, 9, 31, 1), (3, 0, 60, 1)]]
+    seen = Counter()
+    for c, anchor, times, content in members:
+        for start in range(len(content) - length + 1):
+            if start <= anchor:
+                seen[c, anchor - start, content[start : start + length]] += times
+    want = [
+        [s for s in range(len(x) - length + 1) if s <= at and seen[c, at - s, x[s : s + length]] > 1]
+        for c, at, _, x in members
+    ]
+    assert [found.tolist() for found in repeated_starts(members, length)] == want
+    assert repeated_starts([], length) == []
