@@ -5,10 +5,14 @@ library only for new ones. A text is cut at single spaces between two other
 characters; both kinds of supported vocabulary never join tokens across such a
 place, so the ids equal those of one call over the whole text (tested).
 
-Most new words are Latin letters, then ASCII marks. For known cuts into pieces
-(``_CUTS``) each of the two is one piece, so the library's model is asked for their
-ids at once; its normaliser and its pre-tokeniser say what each letter becomes.
-All other words pass through the whole library.
+Most new words are Latin letters, then ASCII marks, and nearly all others add digits
+and line ends. For known ways to cut (``_CUTS``) it is known which pieces these make, so
+the library's model is asked for the ids of each piece at once; its normaliser and its
+pre-tokeniser say what each character becomes. All other words pass through the whole
+library, many in one call.
+
+Words are looked up once, when their ids are put together: a new word of known pieces is
+learned on the way, a text with other new words is put together again when these are learned.
 """
 
 from __future__ import annotations
@@ -16,16 +20,16 @@ from __future__ import annotations
 import json
 import re
 import string
-import struct
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import batched
 
 import numpy as np
 
-_SPACES = re.compile(r"\s\s|^\s|\s$")
 _SPACE = re.compile(r"\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Words a worker keeps before it starts anew; bounds its memory to about 100 MB.
+#: Words a worker keeps, the later half apart: when it is full, those not used since the last time go. Bounds its
+#: memory to about 100 MB.
 KEPT_WORDS = 400_000
 #: Texts whose words are held at once.
 TEXTS = 128
@@ -35,9 +39,14 @@ LINE, LINES = 64, 16
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # no apostrophe: some vocabularies cut before the letters behind it
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False}
-#: How a vocabulary cuts texts into pieces, and before that the parts of its normaliser: runs of letters and runs of marks.
+#: Words of letters, digits and marks, or several of them with one or two line ends between (of more, the first make a piece).
+_KNOWN = f"[A-Za-zÀ-ÖØ-öø-ÿ0-9{re.escape(MARKS)}]+"
+_PLAIN = re.compile(f"{_KNOWN}(?:\n\n?{_KNOWN})*")
+_RUNS = f"[A-Za-zÀ-ÖØ-öø-ÿ]+|[{re.escape(MARKS)}]+|\n"
+#: How a vocabulary cuts texts, before that the parts of its normaliser, and the pieces that come of it: runs of letters,
+#: runs of marks, line ends, and runs of digits or each digit alone.
 _CUTS = [
-    ([_BYTE_LEVEL | {"use_regex": True}], []),
+    ([_BYTE_LEVEL | {"use_regex": True}], [], re.compile(f"{_RUNS}|[0-9]+")),
     (
         [
             {
@@ -49,6 +58,7 @@ _CUTS = [
             _BYTE_LEVEL | {"use_regex": False},
         ],
         [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+        re.compile(f"{_RUNS}|[0-9]"),
     ),
 ]
 _encoders: dict[str, Encoder] = {}
@@ -64,7 +74,7 @@ def _holds(steps: list[dict], known: list[dict]) -> bool:
 
 
 class Encoder(dict):
-    """Ids of words as little-endian bytes, by word."""
+    """Ids of words as bytes of ``dtype``, by word."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -77,7 +87,7 @@ class Encoder(dict):
         if resize:  # the words are kept here; the library's own cache only costs time then
             resize(0)
         self.vocabulary = self.library.get_vocab_size()
-        self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
+        self.dtype = np.dtype("u2" if self.vocabulary <= 1 << 16 else "u4")
         # A vocabulary with byte-level spaces writes the space before a word into its token.
         keeps_space = len(self._ids(" a")) != len(self._ids("a")) or self._ids(" a") != self._ids("a")
         self.lead = " " if keeps_space else ""
@@ -85,54 +95,84 @@ class Encoder(dict):
         marks = self._ids(self.mark)
         self.mark_id = marks[0] if len(marks) == 1 else None
         self.model = self.library.model
-        self.tails: dict[str, bytes] = {}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.waiting: set[str] = set()
+        self.missed = self.ragged = False
+        self.cuts: re.Pattern | None = None
         self.letters = self._letter_table()
+        if self.letters is not None:
+            self.space = self.lead.translate(self.letters)
+            ascii = string.ascii_letters
+            self.fold = {ascii: str, ascii.lower(): str.lower}.get(ascii.translate(self.letters))
 
     def _letter_table(self) -> dict[int, str] | None:
-        """What letters and marks become before the model sees them; None for vocabularies that cut in unknown ways."""
+        """What characters become before the model sees them; None for vocabularies that cut in unknown ways."""
         whole = json.loads(self.library.to_str())
         known = [_parts(whole["pre_tokenizer"], "pretokenizers"), _parts(whole["normalizer"], "normalizers")]
-        added = any(_LETTERS.search(t["content"]) and not t["special"] for t in whole["added_tokens"])
-        if added or not any(_holds(known[0], cuts) and _holds(known[1], norms) for cuts, norms in _CUTS):
+        self.cuts = next((p for cuts, norms, p in _CUTS if _holds(known[0], cuts) and _holds(known[1], norms)), None)
+        if self.cuts is None or any(not t["special"] for t in whole["added_tokens"]):
             return None
         table = {}
-        for char in [*MARKS, *_LETTERS.findall(" ".join(map(chr, range(256))))]:
+        for char in [*MARKS, *string.digits, "\n", *"".join(_LETTERS.findall(" ".join(map(chr, range(256)))))]:
             normal = self.library.normalizer.normalize_str(char) if self.library.normalizer else char
             table[ord(char)] = "".join(piece for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(normal))
         if self.lead:
             table[32] = self.library.pre_tokenizer.pre_tokenize_str(" a")[0][0][:-1]
         return table
 
-    def _learn_plain(self, words: Iterable[str]) -> list[str]:
-        """Learn the words of letters and marks; gives back the others."""
-        other, table, tails, tokenize = [], self.letters, self.tails, self.model.tokenize
-        lead, ascii = self.lead.translate(table), string.ascii_letters
-        fold = {ascii: str, ascii.lower(): str.lower}.get(ascii.translate(table))
-        for word in words:
-            head = word.rstrip(MARKS)
-            if fold and head.isascii() and head.isalpha():
-                piece = lead + fold(head)
-            elif _LETTERS.fullmatch(head):
-                piece = lead + head.translate(table)
-            else:
-                other.append(word)
-                continue
-            raw = self._raw([t.id for t in tokenize(piece)])
-            if len(head) < len(word):
-                tail = word[len(head) :]
-                if tail not in tails:
-                    if len(tails) > KEPT_WORDS:
-                        tails.clear()
-                    tails[tail] = self._raw([t.id for t in tokenize(tail.translate(table))])
-                raw += tails[tail]
-            self[word] = raw
-        return other
+    def __missing__(self, word: str) -> bytes:
+        """The ids of a word that was not used lately; empty, and a note, if they can't be had now."""
+        raw = self.old.pop(word, None)
+        if raw is None:
+            if self.lead and (not word or word[0].isspace() or word[-1].isspace()):
+                self.ragged = True
+                return b""
+            raw = self._of_pieces(word)
+            if raw is None:
+                self.missed = True
+                self.waiting.add(word)
+                return b""
+        self[word] = raw
+        return raw
+
+    def _of_pieces(self, word: str) -> bytes | None:
+        """The ids of a word of letters, digits, marks and line ends; None for others."""
+        table = self.letters
+        if table is None:
+            return None
+        head = word.rstrip(MARKS)
+        if self.fold and head.isascii() and head.isalpha():
+            piece = self.space + self.fold(head)
+        elif _LETTERS.fullmatch(head):
+            piece = self.space + head.translate(table)
+        elif _PLAIN.fullmatch(word):
+            first, *others = self.cuts.findall(word)
+            return self._asked(self.space + first.translate(table)) + b"".join(map(self._piece, others))
+        else:
+            return None
+        if len(head) == len(word):
+            return self._asked(piece)
+        return (self.get(head) or self._asked(piece)) + self._piece(word[len(head) :])
+
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece without a space before it."""
+        raw = self.pieces.get(piece)
+        if raw is None:
+            if len(self.pieces) > KEPT_WORDS // 8:
+                self.pieces.clear()
+            raw = self.pieces[piece] = self._asked(piece.translate(self.letters))
+        return raw
+
+    def _asked(self, piece: str) -> bytes:
+        return self._raw([t.id for t in self.model.tokenize(piece)])
 
     def _ids(self, text: str) -> list[int]:
         return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _raw(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
+        return array(self.code, ids).tobytes()
 
     def _encoded(self, texts: Iterable[str]) -> Iterator[list[int]]:
         """Ids of each text, from calls of bounded size."""
@@ -141,8 +181,9 @@ class Encoder(dict):
                 yield found.ids
 
     def _learn(self, words: list[str]) -> None:
-        if self.letters is not None:
-            words = self._learn_plain(words)
+        found = {w: self._of_pieces(w) for w in words}
+        self.update((w, raw) for w, raw in found.items() if raw is not None)
+        words = [w for w, raw in found.items() if raw is None]
         plain = [w for w in words if self.mark_id is not None and w and not _SPACE.search(w) and "\0" not in w]
         lines = [plain[i : i + LINE] for i in range(0, len(plain), LINE)]
         for line, found in zip(lines, self._encoded(self.mark.join(self.lead + w for w in x) + self.mark for x in lines)):
@@ -163,21 +204,40 @@ class Encoder(dict):
         return [ids for some in batched(texts, TEXTS) for ids in self._encode(some)]
 
     def _encode(self, texts: Iterable[str]) -> list[np.ndarray]:
-        if len(self) > KEPT_WORDS:
+        if len(self) > KEPT_WORDS // 2:
+            self.old = dict(self)
             self.clear()
-        parts = [_CUT.split(t) if self.lead and _SPACES.search(t) else t.split(" ") for t in texts]
-        new: set[str] = set()
-        for words in parts:
-            new.update(words[1:] if self.lead else words)
-        self._learn([w for w in new if w not in self])
-        out = []
-        for words in parts:
-            if self.lead:
-                raw = self._raw(self._ids(words[0])) + b"".join(map(self.__getitem__, words[1:]))
-            else:
-                raw = b"".join(map(self.__getitem__, words))
-            out.append(np.frombuffer(raw, dtype=self.dtype))
-        return out
+        out, again = [], []
+        for k, text in enumerate(texts):
+            self.missed = False
+            out.append(self._whole(text))
+            if self.missed:
+                again.append(k)
+        if again:
+            self._learn(list(self.waiting))
+            self.waiting.clear()
+            for k in again:
+                out[k] = self._whole(texts[k])
+        return [np.frombuffer(raw, dtype=self.dtype) for raw in out]
+
+    def _whole(self, text: str) -> bytes:
+        """The ids of a text, if no word of it is missed."""
+        words = text.split(" ")
+        if not self.lead:
+            return b"".join(map(self.__getitem__, words))
+        self.ragged = len(words) > 1 and words[0][-1:].strip() == ""
+        if not self.ragged:
+            raw = self._spaced(words)
+        if self.ragged:  # a space that is next to another one is no place to cut
+            raw = self._spaced(_CUT.split(text))
+        return raw
+
+    def _spaced(self, words: list[str]) -> bytes:
+        """The ids of words with a space between; those at the ends of a text may have white space there."""
+        first, last = self._raw(self._ids(words[0])), b""
+        if len(words) > 1 and words[-1][-1:].isspace() and not words[-1][0].isspace():
+            last = self._raw(self._ids(self.lead + words.pop()))
+        return first + b"".join(map(self.__getitem__, words[1:])) + last
 
 
 def encoder(path: str) -> Encoder:
