@@ -29,8 +29,8 @@ import numpy as np
 _SPACE = re.compile(r"\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Words a worker keeps, the later half apart: when it is full, those not used since the last time go. Bounds its
-#: memory to about 100 MB.
-KEPT_WORDS = 400_000
+#: memory to about 200 MB.
+KEPT_WORDS = 800_000
 #: Texts whose words are held at once.
 TEXTS = 128
 #: Words and lines that go to the library in one call. What it returns takes some hundred bytes a token.
@@ -94,7 +94,7 @@ class Encoder(dict):
         self.mark = "\n" if keeps_space else " \0 "
         marks = self._ids(self.mark)
         self.mark_id = marks[0] if len(marks) == 1 else None
-        self.model = self.library.model
+        self.tokenize = self.library.model.tokenize
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.old: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -124,16 +124,14 @@ class Encoder(dict):
 
     def __missing__(self, word: str) -> bytes:
         """The ids of a word that was not used lately; empty, and a note, if they can't be had now."""
-        raw = self.old.pop(word, None)
+        raw = self.old.pop(word, None) or self._of_pieces(word)
         if raw is None:
             if self.lead and (not word or word[0].isspace() or word[-1].isspace()):
                 self.ragged = True
-                return b""
-            raw = self._of_pieces(word)
-            if raw is None:
+            else:
                 self.missed = True
                 self.waiting.add(word)
-                return b""
+            return b""
         self[word] = raw
         return raw
 
@@ -143,7 +141,7 @@ class Encoder(dict):
         if table is None:
             return None
         head = word.rstrip(MARKS)
-        if self.fold and head.isascii() and head.isalpha():
+        if head.isascii() and head.isalpha() and self.fold:
             piece = self.space + self.fold(head)
         elif _LETTERS.fullmatch(head):
             piece = self.space + head.translate(table)
@@ -152,9 +150,11 @@ class Encoder(dict):
             return self._asked(self.space + first.translate(table)) + b"".join(map(self._piece, others))
         else:
             return None
-        if len(head) == len(word):
+        if head == word:
             return self._asked(piece)
-        return (self.get(head) or self._asked(piece)) + self._piece(word[len(head) :])
+        raw = self.get(head) or self._asked(piece)
+        tail = word[len(head) :]
+        return raw + (self.pieces.get(tail) or self._piece(tail))
 
     def _piece(self, piece: str) -> bytes:
         """The ids of a piece without a space before it."""
@@ -166,7 +166,7 @@ class Encoder(dict):
         return raw
 
     def _asked(self, piece: str) -> bytes:
-        return self._raw([t.id for t in self.model.tokenize(piece)])
+        return array(self.code, [t.id for t in self.tokenize(piece)]).tobytes()
 
     def _ids(self, text: str) -> list[int]:
         return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids

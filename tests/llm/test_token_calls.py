@@ -87,7 +87,7 @@ def test_words_in_use_are_not_learned_again(name, monkeypatch):
 ENDS = ["a", "Bé", "b2", "!", "'s", " ", "  ", "\n", "\n\n", "\n\n\n", "\t", "\x1c", "\u3000", "\u0301", "日", "٣", "²", "<|endoftext|>"]
 
 
-@pytest.mark.parametrize("kept", [8, 400_000])
+@pytest.mark.parametrize("kept", [8, 800_000])
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_white_space_and_kept_words_do_not_change_ids(name, kept, monkeypatch):
     monkeypatch.setattr(tokens, "KEPT_WORDS", kept)
