@@ -28,8 +28,8 @@ import numpy as np
 
 _SPACE = re.compile(r"\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Words a worker keeps, the later half apart: when it is full, those not used since the last time go. Bounds its
-#: memory to about 200 MB.
+#: Words a worker keeps, in two halves: when the newer one is full, the older one, with what was not used since, goes.
+#: Bounds its memory to about 200 MB.
 KEPT_WORDS = 800_000
 #: Texts whose words are held at once.
 TEXTS = 128
@@ -203,7 +203,7 @@ class Encoder(dict):
         """Ids of each whole text, without special tokens."""
         return [ids for some in batched(texts, TEXTS) for ids in self._encode(some)]
 
-    def _encode(self, texts: Iterable[str]) -> list[np.ndarray]:
+    def _encode(self, texts: tuple[str, ...]) -> list[np.ndarray]:
         if len(self) > KEPT_WORDS // 2:
             self.old = dict(self)
             self.clear()
