@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.operators import metrics
+from rankloom.operators import factors, metrics
 from rankloom.operators.factors import dense_index, fit_als, recommend_als, tune_als
 from rankloom.operators.popularity import popularity
 
@@ -122,6 +122,44 @@ def test_tuning_reports_every_setting(spark, planted):
         assert abs(alone - row.ndcg_at_25) < 1e-6
 
 
+def test_a_fit_has_more_blocks_for_more_ratings(spark, planted, monkeypatch):
+    train, _ = planted
+    assert fit_als(train, {"maxIter": 1}).model.itemFactors.rdd.getNumPartitions() == 10  # few ratings, as in Spark
+    monkeypatch.setattr(factors, "BLOCK_RATINGS", 80, raising=False)
+    given, fit = [], factors.ALS.fit
+    monkeypatch.setattr(factors.ALS, "fit", lambda als, rows: (given.append(rows.rdd.getNumPartitions()), fit(als, rows))[1])
+    model = fit_als(train, {"maxIter": 1}).model
+    blocks = math.ceil(train.distinct().count() / 80)
+    assert blocks > 10
+    assert [model.userFactors.rdd.getNumPartitions(), model.itemFactors.rdd.getNumPartitions(), *given] == [blocks] * 3
+    assert model.userFactors.count() == train.select("USER_ID").distinct().count()
+
+
+def test_large_fits_of_a_search_go_one_after_the_other(spark, planted, monkeypatch):
+    train, held = planted
+    monkeypatch.setattr(factors, "BLOCK_RATINGS", 80, raising=False)
+    monkeypatch.setattr(factors, "FREED_EVERY", 1, raising=False)
+    running, most, fit = [], [], factors.fit_ratings
+
+    def watched(ratings, params=None):
+        running.append(params)
+        most.append(len(running))
+        try:
+            return fit(ratings, params)
+        finally:
+            running.remove(params)
+
+    with monkeypatch.context() as patched:
+        patched.setattr(factors, "fit_ratings", watched)
+        got = tune_als(train, held, {"rank": [2, 4], "maxIter": [2]}).collect()
+    assert most == [1, 1]
+    asked = held.select("USER_ID").distinct()
+    for row in got:  # each setting alone
+        lists = recommend_als(fit_als(train, {"rank": int(row["rank"]), "maxIter": 2}), train, 25, asked)
+        alone = metrics.rank_metrics(lists, held).first()["normalized_discounted_cumulative_gain_at_25"]
+        assert abs(alone - row.ndcg_at_25) < 1e-6
+
+
 def test_dense_index_is_dense(spark):
     df = spark.range(1000).select((F.col("id") % 137 * 1000).alias("x")).repartition(11)
     rows = dense_index(df, "x", "x").collect()
